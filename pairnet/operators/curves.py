@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pairnet.functions import names as N
 from pairnet.operators.joins import attach_scalars
 from pairnet.operators.ranking import prefix_sums
+from pairnet.session import checkpoint
 
 
 def labelled(df: DataFrame, score: str, label_col: str = N.COMBINED_SCORE,
@@ -38,6 +39,8 @@ def curve_counts(df: DataFrame, score: str, **kw) -> DataFrame:
     lab = labelled(df, score, **kw)
     per = lab.groupBy("threshold").agg(F.sum("label").cast("long").alias("pos"),
                                        F.sum(1 - F.col("label")).cast("long").alias("neg"))
+    # One row per distinct score, read twice (running totals, grand totals).
+    per = checkpoint(per)
     ranked = prefix_sums(per, "threshold", ["pos", "neg"], descending=True)
     totals = per.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     return attach_scalars(ranked, totals).withColumnsRenamed({"cum_pos": "tp", "cum_neg": "fp"})

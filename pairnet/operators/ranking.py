@@ -91,7 +91,9 @@ def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], keys: Sequen
     """
     keys = list(keys)
     ranks = value_ranks(df, value, keys, num_blocks)
-    n = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("_cnt"))
+    # Group sizes from the ranked distinct values (already materialised),
+    # not from a second pass over the input.
+    n = ranks.groupBy(*keys).agg((F.max("_last") + 1).alias("_cnt"))
     qarr = F.array(*[F.lit(float(q)) for q in qs])
     t = n.select(*keys, "_cnt", F.explode(qarr).alias("q"))
     h = (F.col("_cnt") - 1).cast("double") * F.col("q")

@@ -37,7 +37,12 @@ def protein_mean_std(stats: DataFrame) -> DataFrame:
 
 def bias_table(stats: DataFrame) -> DataFrame:
     """Each protein's distance from the mean of protein means, raw and in
-    standard deviations, highest mean first (NULLs first)."""
+    standard deviations, highest mean first (NULLs first).
+
+    The per-protein table is read twice (for the global mean and std, and
+    row by row), so it is checkpointed once: one row per protein, written
+    to the shared folder, instead of running the pair pipeline twice."""
+    stats = checkpoint(stats)
     ms = protein_mean_std(stats)
     diff = F.col(N.PROTEIN_AVG) - F.col("mean_of_protein_means")
     return attach_scalars(stats, ms).select(

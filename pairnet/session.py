@@ -68,11 +68,15 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return f"{base}/stage-{name}-{uuid.uuid4().hex[:12]}"
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder: cuts lineage and survives the
-    loss of an executor (never ``localCheckpoint``)."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def checkpoint(df: DataFrame, name: str = "ckpt") -> DataFrame:
+    """Cut lineage: write ``df`` as a Parquet table in the shared folder and
+    read it back. One job computes and writes the rows (an RDD checkpoint
+    would compute them twice and store Java-serialised rows); the table
+    survives the loss of any executor. Never ``localCheckpoint``."""
+    spark = df.sparkSession
+    path = stage_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def is_local_path(path: str) -> bool:
