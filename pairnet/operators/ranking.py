@@ -18,6 +18,7 @@ table. No value set of a whole group is ever held in one buffer (Spark's
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -90,6 +91,8 @@ def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], keys: Sequen
     give no row.
     """
     keys = list(keys)
+    if not keys:
+        return global_quantiles(df, value, qs, interpolation, out)
     ranks = value_ranks(df, value, keys, num_blocks)
     # Group sizes from the ranked distinct values (already materialised),
     # not from a second pass over the input.
@@ -125,7 +128,85 @@ def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], keys: Sequen
     return agg.select(*keys, "q", res.alias(out))
 
 
+def _targets(n: int, q: float, interpolation: str) -> tuple[int, int, float]:
+    h = (n - 1) * q
+    if interpolation == "nearest":
+        k = int(math.floor(h + 0.5))
+        return k, k, 0.0
+    return int(math.floor(h)), int(math.ceil(h)), h - math.floor(h)
+
+
+def global_quantiles(df: DataFrame, value: str, qs: Sequence[float], interpolation: str = "linear",
+                     out: str = "quantile", accuracy: int = 50_000) -> DataFrame:
+    """Exact quantiles of a whole column without ranking all of it.
+
+    1. One aggregate pass: the count and, per quantile, an approximate
+       bracket ``percentile_approx(q -+ 3/accuracy)`` (bounded sketch).
+    2. One aggregate pass: per bracket, the exact number of values below it
+       and inside it. If a bracket does not contain the target ranks (the
+       sketch's guarantee failed), that quantile falls back to the whole
+       column, so the result is exact in every case.
+    3. Only the values inside the brackets (about 6/accuracy of the rows)
+       are ranked by ``value_ranks`` and the target ranks are picked.
+
+    Only scalars (the count, the bracket bounds and counts) reach the
+    driver. Returns ``q, <out>`` (no row for an empty column).
+    """
+    x = F.col(value)
+    v = df.select(x.alias("_x")).where(F.col("_x").isNotNull())
+    margin = 3.0 / accuracy
+    probes = []
+    for q in qs:
+        probes += [max(0.0, q - margin), min(1.0, q + margin)]
+    first = v.agg(F.count(F.lit(1)).alias("n"),
+                  F.percentile_approx("_x", F.array(*[F.lit(p) for p in probes]), accuracy).alias("b")).first()
+    n, bounds = int(first["n"]), first["b"]
+    spark = df.sparkSession
+    if n == 0:
+        return spark.range(0).select(F.lit(0.0).alias("q"), F.lit(None).cast("double").alias(out))
+    brackets = [(bounds[2 * i], bounds[2 * i + 1]) for i in range(len(qs))]
+    checks = []
+    for i, (lo, hi) in enumerate(brackets):
+        checks += [F.sum(F.when(F.col("_x") < F.lit(lo), 1).otherwise(0)).alias(f"b{i}"),
+                   F.sum(F.when((F.col("_x") >= F.lit(lo)) & (F.col("_x") <= F.lit(hi)), 1)
+                         .otherwise(0)).alias(f"i{i}")]
+    counted = v.agg(*checks).first()
+    plan = []  # (index, q, bracket or None, rank offset, k_lo, k_hi, frac)
+    for i, q in enumerate(qs):
+        klo, khi, frac = _targets(n, q, interpolation)
+        below, inside = int(counted[f"b{i}"]), int(counted[f"i{i}"])
+        if below <= klo and khi <= below + inside - 1:
+            plan.append((i, q, brackets[i], below, klo, khi, frac))
+        else:
+            plan.append((i, q, None, 0, klo, khi, frac))
+    tags = [F.when(F.lit(True) if b is None else
+                   (F.col("_x") >= F.lit(b[0])) & (F.col("_x") <= F.lit(b[1])), F.lit(i))
+            for i, _, b, *_ in plan]
+    tagged = v.select("_x", F.explode(F.array(*tags)).alias("_q")).where(F.col("_q").isNotNull())
+    ranks = value_ranks(tagged, "_x", keys=["_q"])
+    parts = []
+    for i, q, _, off, klo, khi, frac in plan:
+        lo_hit = (F.col("_first") <= klo - off) & (klo - off <= F.col("_last"))
+        hi_hit = (F.col("_first") <= khi - off) & (khi - off <= F.col("_last"))
+        one = ranks.where(F.col("_q") == i).agg(F.max(F.when(lo_hit, F.col("_x"))).alias("_vlo"),
+                                                F.max(F.when(hi_hit, F.col("_x"))).alias("_vhi"))
+        res = F.col("_vlo") if frac == 0 else F.col("_vlo") + F.lit(frac) * (F.col("_vhi") - F.col("_vlo"))
+        parts.append(one.select(F.lit(float(q)).alias("q"), res.alias(out)))
+    result = parts[0]
+    for p_ in parts[1:]:
+        result = result.unionByName(p_)
+    return result
+
+
 def exact_quantile(df: DataFrame, value: str, q: float, out: str = "quantile",
                    interpolation: str = "linear") -> DataFrame:
     """One-row frame holding one exact quantile of a column."""
-    return exact_quantiles(df, value, [q], interpolation=interpolation, out=out).select(out)
+    return global_quantiles(df, value, [q], interpolation=interpolation, out=out).select(out)
+
+
+def exact_quantile_value(df: DataFrame, value: str, q: float,
+                         interpolation: str = "linear") -> float | None:
+    """One exact quantile as a number (for use as a literal cut-off that a
+    Parquet scan can apply to row-group statistics)."""
+    row = exact_quantile(df, value, q, "_v", interpolation).first()
+    return None if row is None else row["_v"]

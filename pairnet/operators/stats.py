@@ -15,7 +15,7 @@ from pairnet.functions import names as N
 from pairnet.functions.expr import safe_div
 from pairnet.operators.joins import attach_scalars
 from pairnet.operators.pairs import unpivot_pairs
-from pairnet.operators.ranking import exact_quantile, exact_quantiles
+from pairnet.operators.ranking import exact_quantile, exact_quantile_value, exact_quantiles
 from pairnet.session import checkpoint
 
 
@@ -88,26 +88,41 @@ def filter_cutoff(df: DataFrame, col: str = N.MEAN_CORRECTED, cutoff: float = N.
 
 def filter_top_quantile(df: DataFrame, col: str = N.MEAN_CORRECTED,
                         q: float = N.CASCADE_QUANTILE) -> DataFrame:
-    """Rows at or above the exact ``q`` percentile of the same column."""
-    c = exact_quantile(df, col, q, out="_cutoff")
-    return attach_scalars(df, c).where(F.col(col) >= F.col("_cutoff")).drop("_cutoff")
+    """Rows at or above the exact ``q`` percentile of the same column.
+
+    The cut-off is one number, applied as a literal: a Parquet scan skips
+    row groups whose maximum lies below it."""
+    c = exact_quantile_value(df, col, q)
+    if c is None:
+        return df.where(F.lit(False))
+    return df.where(F.col(col) >= F.lit(c))
 
 
 def quartile_cascade(df: DataFrame, col: str = N.MEAN_CORRECTED, q: float = N.CASCADE_QUANTILE,
                      rounds: int = N.CASCADE_ROUNDS) -> tuple[DataFrame, DataFrame]:
     """Repeat: cut-off = exact ``q`` percentile of what is left, keep rows
     ``>= cut-off``. Returns (survivors, one row per round: ``round, cutoff,
-    kept``). Each round's survivors are checkpointed, so the plan of the
-    next round starts from files, not from the whole lineage."""
+    kept``).
+
+    Survivors are never copied: round ``r`` is the input filtered by the
+    literal cut-offs found so far (pushed to the scan), and each cut-off
+    comes from the bracketed exact quantile, which ranks only a sliver of
+    the values."""
     cur = df
+    cond = F.lit(True)
     steps = []
     for r in range(1, rounds + 1):
-        c = exact_quantile(cur, col, q, out="cutoff")
-        nxt = attach_scalars(cur, c).where(F.col(col) >= F.col("cutoff"))
-        nxt = checkpoint(nxt)
-        steps.append(nxt.groupBy("cutoff").agg(F.count(F.lit(1)).alias("kept"))
-                     .select(F.lit(r).alias("round"), "cutoff", "kept"))
-        cur = nxt.drop("cutoff")
+        c = exact_quantile_value(cur, col, q)
+        if c is None:
+            break
+        cond = cond & (F.col(col) >= F.lit(c))
+        cur = df.where(cond)
+        steps.append(cur.agg(F.count(F.lit(1)).alias("kept"))
+                     .select(F.lit(r).alias("round"), F.lit(c).alias("cutoff"), "kept"))
+    if not steps:
+        empty = df.sparkSession.range(0).select(F.lit(0).alias("round"),
+                                                F.lit(0.0).alias("cutoff"), F.lit(0).cast("long").alias("kept"))
+        return cur, empty
     summary = steps[0]
     for s in steps[1:]:
         summary = summary.unionByName(s)

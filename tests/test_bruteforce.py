@@ -102,3 +102,17 @@ def test_curves_match_brute_force(spark, rows):
         rec = np.array([0] + tps) / P
         prec = np.array(tps) / (np.array(tps) + np.array(fps))
         assert ap == pytest.approx(float(np.sum(np.diff(rec) * prec)), abs=1e-12)
+
+
+@SETTINGS
+@given(st.lists(st.integers(min_value=-500, max_value=500), min_size=1, max_size=200),
+       st.sampled_from([1, 20, 50_000]))
+def test_bracketed_global_quantiles_are_exact(spark, xs, accuracy):
+    from pairnet.operators.ranking import global_quantiles
+
+    pdf = pd.DataFrame({"v": [x / 7 for x in xs]})
+    qs = [0.0, 0.1, 0.5, 0.75, 0.999, 1.0]
+    got = global_quantiles(spark.createDataFrame(pdf), "v", qs, accuracy=accuracy).toPandas()
+    got = got.set_index("q")["quantile"]
+    for q in qs:
+        assert got[q] == pytest.approx(np.percentile(pdf["v"].to_numpy(), q * 100), abs=1e-12)
