@@ -1,0 +1,2 @@
+"""No streaming operator: the analysed jobs are batch only (no watermark,
+window, state or late data in any of them), so nothing is built here."""
