@@ -41,7 +41,7 @@ def curve_counts(df: DataFrame, score: str, **kw) -> DataFrame:
                                        F.sum(1 - F.col("label")).cast("long").alias("neg"))
     # One row per distinct score, read twice (running totals, grand totals).
     per = checkpoint(per)
-    ranked = prefix_sums(per, "threshold", ["pos", "neg"], descending=True)
+    ranked = prefix_sums(per, "threshold", ["pos", "neg"], descending=True, known_rows=per.count())
     totals = per.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     return attach_scalars(ranked, totals).withColumnsRenamed({"cum_pos": "tp", "cum_neg": "fp"})
 

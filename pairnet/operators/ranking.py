@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pairnet.session import checkpoint
 
 _BLK = "_blk"
+DEFAULT_SINGLE_TASK_ROWS = 1_000_000
 
 
 def _blocks(df: DataFrame, num_blocks: int | None) -> int:
@@ -35,17 +36,36 @@ def _blocks(df: DataFrame, num_blocks: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def single_task_rows(df: DataFrame) -> int:
+    """Rows a step may sort in one task once its row count has been checked
+    (session conf ``pairnet.singleTask.maxRows``)."""
+    try:
+        v = df.sparkSession.conf.get("pairnet.singleTask.maxRows")
+    except Exception:  # noqa: BLE001 - unset key
+        v = None
+    return int(v) if v else DEFAULT_SINGLE_TASK_ROWS
+
+
 def prefix_sums(df: DataFrame, order_by: str, sums: Sequence[str], keys: Sequence[str] = (),
                 descending: bool = False, prefix: str = "cum_",
-                num_blocks: int | None = None) -> DataFrame:
+                num_blocks: int | None = None, known_rows: int | None = None) -> DataFrame:
     """Add ``<prefix><c>`` = running total of ``c`` in the order of
     ``order_by`` (inclusive of the row itself) within each ``keys`` group.
 
     Rows must be unique on ``keys + [order_by]`` (aggregate first); then the
     running total is a plain sum of everything that sorts before the row.
+
+    ``known_rows``: an exact row count of ``df``. When it is at most
+    ``single_task_rows``, a plain window does the job (its largest task is
+    bounded by that count); otherwise, or when the count is unknown, the
+    block method below runs.
     """
     keys = list(keys)
     o = F.col(order_by).desc() if descending else F.col(order_by).asc()
+    if known_rows is not None and known_rows <= single_task_rows(df):
+        w = Window.partitionBy(*keys).orderBy(o).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.select(*[F.col(f"`{c}`") for c in df.columns],
+                         *[F.sum(c).over(w).alias(f"{prefix}{c}") for c in sums])
     ranged = df.repartitionByRange(_blocks(df, num_blocks), *[F.col(k) for k in keys], o) \
         .withColumn(_BLK, F.spark_partition_id())
     # Materialise the block assignment once: the two branches below must see
@@ -70,12 +90,19 @@ def prefix_sums(df: DataFrame, order_by: str, sums: Sequence[str], keys: Sequenc
 
 
 def value_ranks(df: DataFrame, value: str, keys: Sequence[str] = (),
-                num_blocks: int | None = None) -> DataFrame:
+                num_blocks: int | None = None, max_rows: int | None = None) -> DataFrame:
     """Distinct non-NULL values per group with their 0-based rank span
-    ``[_first, _last]`` in ascending order (ties share a span)."""
+    ``[_first, _last]`` in ascending order (ties share a span).
+
+    ``max_rows``: a proven upper bound of the input rows (hence of the
+    distinct values); without one, the (value, count) table is materialised
+    and counted to choose between the window and the block method."""
     counts = df.where(F.col(value).isNotNull()) \
         .groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = prefix_sums(counts, value, ["_n"], keys, num_blocks=num_blocks)
+    if max_rows is None:
+        counts = checkpoint(counts, "ranks")
+        max_rows = counts.count()
+    ranked = prefix_sums(counts, value, ["_n"], keys, num_blocks=num_blocks, known_rows=max_rows)
     return ranked.select(*keys, value, (F.col("cum__n") - F.col("_n")).alias("_first"),
                          (F.col("cum__n") - 1).alias("_last"))
 
@@ -153,7 +180,9 @@ def global_quantiles(df: DataFrame, value: str, qs: Sequence[float], interpolati
     driver. Returns ``q, <out>`` (no row for an empty column).
     """
     x = F.col(value)
-    v = df.select(x.alias("_x")).where(F.col("_x").isNotNull())
+    # One job: the non-NULL values as a one-column table, so that the passes
+    # below scan a compact column instead of re-running the input plan.
+    v = checkpoint(df.select(x.alias("_x")).where(F.col("_x").isNotNull()), "values")
     margin = 3.0 / accuracy
     probes = []
     for q in qs:
@@ -183,7 +212,10 @@ def global_quantiles(df: DataFrame, value: str, qs: Sequence[float], interpolati
                    (F.col("_x") >= F.lit(b[0])) & (F.col("_x") <= F.lit(b[1])), F.lit(i))
             for i, _, b, *_ in plan]
     tagged = v.select("_x", F.explode(F.array(*tags)).alias("_q")).where(F.col("_q").isNotNull())
-    ranks = value_ranks(tagged, "_x", keys=["_q"])
+    # Exact bound of the rows to rank: the verified bracket sizes (the whole
+    # column for a quantile that fell back).
+    bound = sum(int(counted[f"i{i}"]) if b is not None else n for i, _, b, *_ in plan)
+    ranks = value_ranks(tagged, "_x", keys=["_q"], max_rows=bound)
     parts = []
     for i, q, _, off, klo, khi, frac in plan:
         lo_hit = (F.col("_first") <= klo - off) & (klo - off <= F.col("_last"))

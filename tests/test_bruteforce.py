@@ -38,9 +38,18 @@ def test_prefix_sums_descending_without_keys(spark, xs, blocks):
     assert list(got["cum_w"]) == list(range(1, len(pdf) + 1))
 
 
+@pytest.fixture(params=["window", "blocks"])
+def rank_path(spark, request):
+    """Run a test with the single-task window path and with the block path."""
+    if request.param == "blocks":
+        spark.conf.set("pairnet.singleTask.maxRows", "1")
+    yield request.param
+    spark.conf.unset("pairnet.singleTask.maxRows")
+
+
 @SETTINGS
 @given(values)
-def test_exact_quantiles_match_numpy(spark, xs):
+def test_exact_quantiles_match_numpy(spark, rank_path, xs):
     pdf = pd.DataFrame({"g": [abs(x) % 2 for x in xs], "v": [x / 16 for x in xs]})
     qs = [0.0, 0.25, 0.5, 0.75, 0.9, 1.0]
     got = exact_quantiles(spark.createDataFrame(pdf), "v", qs, keys=["g"], num_blocks=3).toPandas()
@@ -78,7 +87,7 @@ def test_histogram_matches_numpy(spark, xs, bins):
 @SETTINGS
 @given(st.lists(st.tuples(st.integers(min_value=0, max_value=9), st.integers(min_value=0, max_value=999)),
                 min_size=2, max_size=60))
-def test_curves_match_brute_force(spark, rows):
+def test_curves_match_brute_force(spark, rank_path, rows):
     pdf = pd.DataFrame({"s": [a / 10 for a, _ in rows], "combined_score": [b for _, b in rows]})
     df = spark.createDataFrame(pdf)
     lab = (pdf["combined_score"] >= 400).astype(int)
@@ -107,7 +116,7 @@ def test_curves_match_brute_force(spark, rows):
 @SETTINGS
 @given(st.lists(st.integers(min_value=-500, max_value=500), min_size=1, max_size=200),
        st.sampled_from([1, 20, 50_000]))
-def test_bracketed_global_quantiles_are_exact(spark, xs, accuracy):
+def test_bracketed_global_quantiles_are_exact(spark, rank_path, xs, accuracy):
     from pairnet.operators.ranking import global_quantiles
 
     pdf = pd.DataFrame({"v": [x / 7 for x in xs]})
