@@ -114,7 +114,7 @@ def quartile_cascade(df: DataFrame, col: str = N.MEAN_CORRECTED, q: float = N.CA
     cond = F.lit(True)
     steps = []
     for r in range(1, rounds + 1):
-        c = exact_quantile_value(vals.where(cond), col, q)
+        c = exact_quantile_value(vals.where(cond), col, q, materialize=False)
         if c is None:
             break
         cond = cond & (F.col(col) >= F.lit(c))
