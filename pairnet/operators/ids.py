@@ -6,7 +6,7 @@ key, never a driver-side dictionary; "ids not in a list" is an anti join.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairnet.functions import names as N
@@ -40,10 +40,19 @@ def alias_source_filter(aliases: DataFrame, pattern: str = N.ALIAS_SOURCE_PATTER
     return aliases.where(F.col(N.SOURCE).rlike(pattern))
 
 
+def _key(c: Column, side: str) -> Column:
+    """A join key that is never NULL: a NULL becomes a per-side marker that
+    cannot equal any key of the other side, so NULLs still match nothing.
+    With a nullable key the optimizer would infer ``isnotnull(<key
+    expression>)`` and push it below the distinct of the ids, evaluating the
+    normalisation once per pair row instead of once per distinct id."""
+    return F.coalesce(c, F.lit(f"\u0000null-{side}"))
+
+
 def clean_aliases(aliases: DataFrame, normalize: bool = True) -> DataFrame:
     """``string_id, alias_key``: UniProt-sourced aliases with their join key
     (stripped + lower case; the notebook form only lower-cases)."""
-    key = norm_id(N.ALIAS) if normalize else F.lower(F.col(N.ALIAS))
+    key = _key(norm_id(N.ALIAS) if normalize else F.lower(F.col(N.ALIAS)), "alias")
     return alias_source_filter(aliases).select(N.STRING_ID, key.alias("alias_key"))
 
 
@@ -51,7 +60,7 @@ def id_alias_join(proteins: DataFrame, aliases: DataFrame, normalize: bool = Tru
     """``uniprot_id, string_id`` for every alias hit of every id. The script
     form normalises both keys; ``normalize=False`` (notebook form) compares
     the id as is with the lower-cased alias."""
-    key = norm_id(N.PROTEIN_ID) if normalize else F.col(N.PROTEIN_ID)
+    key = _key(norm_id(N.PROTEIN_ID) if normalize else F.col(N.PROTEIN_ID), "id")
     p = proteins.select(F.col(N.PROTEIN_ID).alias(N.UNIPROT_ID), key.alias("_key"))
     a = clean_aliases(aliases, normalize)
     return p.join(a, p["_key"] == a["alias_key"], "inner").select(N.UNIPROT_ID, N.STRING_ID)

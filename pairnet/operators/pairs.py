@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairnet.functions import names as N
-from pairnet.functions.expr import all_not_null, pair_key
+from pairnet.functions.expr import all_not_null, norm_id, pair_key
 from pairnet.operators.joins import checked_broadcast
 
 # Rule for repeated runs of one pair: best desc, mean desc (NULL last),
@@ -123,13 +123,25 @@ def comparison_pairs(pairs: DataFrame) -> DataFrame:
 
 
 def map_pair_ids(df: DataFrame, idmap: DataFrame, a: str = N.PROTEIN1, b: str = N.PROTEIN2,
-                 out_a: str = N.STRING_ID1, out_b: str = N.STRING_ID2) -> DataFrame:
+                 out_a: str = N.STRING_ID1, out_b: str = N.STRING_ID2,
+                 keep_norm: bool | None = None) -> DataFrame:
     """Look both ids up in ``idmap(uniprot_id, string_id)``; a pair with an
     unmapped id is dropped. The map is broadcast only after its row count is
-    checked; above the limit both lookups are shuffle joins."""
-    m = checked_broadcast(idmap.select(N.UNIPROT_ID, N.STRING_ID))
-    left = m.select(F.col(N.UNIPROT_ID).alias("_ua"), F.col(N.STRING_ID).alias(out_a))
-    right = m.select(F.col(N.UNIPROT_ID).alias("_ub"), F.col(N.STRING_ID).alias(out_b))
+    checked; above the limit both lookups are shuffle joins.
+
+    ``keep_norm=True/False`` also brings the normalised (or raw) evidence id
+    of each side as ``_n1`` / ``_n2``, computed once per map row instead of
+    once per pair row (used for the pair key)."""
+    cols = [N.UNIPROT_ID, N.STRING_ID]
+    if keep_norm is not None:
+        m0 = idmap.select(*cols, norm_id(N.STRING_ID, keep_norm).alias("_n"))
+    else:
+        m0 = idmap.select(*cols)
+    m = checked_broadcast(m0)
+    extra_a = [F.col("_n").alias("_n1")] if keep_norm is not None else []
+    extra_b = [F.col("_n").alias("_n2")] if keep_norm is not None else []
+    left = m.select(F.col(N.UNIPROT_ID).alias("_ua"), F.col(N.STRING_ID).alias(out_a), *extra_a)
+    right = m.select(F.col(N.UNIPROT_ID).alias("_ub"), F.col(N.STRING_ID).alias(out_b), *extra_b)
     j = df.join(left, F.col(a) == F.col("_ua"), "inner").drop("_ua")
     return j.join(right, F.col(b) == F.col("_ub"), "inner").drop("_ub")
 
@@ -159,8 +171,8 @@ def compare_scores(pairs: DataFrame, links: DataFrame, idmap: DataFrame,
     distinct, and one shuffle on the pair key for the left join, whose right
     side arrives already partitioned by its aggregate.
     """
-    mapped = map_pair_ids(comparison_pairs(pairs), idmap)
-    keyed = with_pair_keys(mapped, N.STRING_ID1, N.STRING_ID2, normalize)
+    mapped = map_pair_ids(comparison_pairs(pairs), idmap, keep_norm=normalize)
+    keyed = mapped.withColumns({N.PAIR_KEY1: F.least("_n1", "_n2"), N.PAIR_KEY2: F.greatest("_n1", "_n2")})
     out = keyed.join(link_scores(links, normalize), on=[N.PAIR_KEY1, N.PAIR_KEY2], how="left")
     return out.select(*COMPARISON_COLUMNS)
 
