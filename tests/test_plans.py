@@ -42,11 +42,16 @@ def test_no_python_udf(plans, key):
 
 @pytest.mark.parametrize("key", KEYS)
 def test_single_partition_exchange_only_after_aggregate(plans, key):
+    """A single-partition exchange may follow an aggregate, a top-k, or a
+    scan of a table materialised in the checkpoint folder whose row count
+    was checked against ``pairnet.singleTask.maxRows`` (``stage-`` path)."""
     lines = plans[key].splitlines()
     for i, line in enumerate(lines):
         if "Exchange SinglePartition" in line:
             child = lines[i + 1] if i + 1 < len(lines) else ""
-            assert "Aggregate" in child or "TakeOrderedAndProject" in child, f"{key}: {line} / {child}"
+            ok = ("Aggregate" in child or "TakeOrderedAndProject" in child
+                  or ("Scan parquet" in child and "/stage-" in child))
+            assert ok, f"{key}: {line} / {child}"
 
 
 def test_confident_filter_pushed_to_scan_and_columns_pruned(spark):
