@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pairnet.functions import names as N
 from pairnet.functions.expr import norm_id
-from pairnet.operators.pairs import distinct_proteins, drop_nulls
+from pairnet.operators.pairs import drop_nulls
 
 
 def gene_name_long(pairs: DataFrame, source_gene: str = N.SOURCE_GENE,
@@ -119,6 +119,3 @@ def duplicate_ids(df: DataFrame, key: str = N.UNIPROT_ID) -> DataFrame:
         .where(F.col("occurrences") > 1) \
         .withColumn("surplus", F.col("occurrences") - 1)
 
-
-def proteins_of(pairs: DataFrame) -> DataFrame:
-    return distinct_proteins(pairs)

@@ -8,7 +8,6 @@ the master is local (tests, bench) is a fresh scratch folder created.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -78,6 +77,3 @@ def checkpoint(df: DataFrame, name: str = "ckpt") -> DataFrame:
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
-
-def is_local_path(path: str) -> bool:
-    return path.startswith("/") or path.startswith("file:") or os.path.isabs(path)

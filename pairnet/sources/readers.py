@@ -57,11 +57,16 @@ def cast_longs(df: DataFrame, cols) -> DataFrame:
     return df.withColumns({c: F.col(f"`{c}`").try_cast("bigint") for c in cols})
 
 
-def read_links(spark: SparkSession, path: str) -> DataFrame:
-    """Space-separated links file: ``protein1 protein2 <scores..> combined_score``."""
+def read_links(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
+    """Space-separated links file: ``protein1 protein2 <scores..> combined_score``.
+
+    A gzipped file is read by one task (gzip cannot be split);
+    ``partitions`` spreads the rows right after the scan so that the work
+    downstream runs in parallel (better still: convert once to Parquet)."""
     df = read_delimited(spark, path, " ")
     scores = [c for c in df.columns if c not in (N.PROTEIN1, N.PROTEIN2)]
-    return cast_longs(df, scores)
+    df = cast_longs(df, scores)
+    return df.repartition(partitions) if partitions else df
 
 
 def rename_string_id(df: DataFrame) -> DataFrame:

@@ -4,7 +4,6 @@ import gzip
 import math
 import os
 
-import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 

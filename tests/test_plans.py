@@ -6,7 +6,6 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SF_SMALL
-from pairnet.functions import names as N
 from pairnet.operators import pairs as P
 from pairnet.plans.inputs import Inputs, stage_parquet_inputs
 from pairnet.sources import readers as R
