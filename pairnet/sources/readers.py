@@ -8,8 +8,6 @@ over the data) and the numeric columns are cast afterwards with
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,8 +103,7 @@ def read_evidence(spark: SparkSession, directory: str, data_id: str = N.LINKS_DA
     """
     name = evidence_file_name(data_id, organism, version)
     path = f"{directory.rstrip('/')}/{name}"
-    if _is_local(path) and not os.path.exists(_strip_scheme(path)) \
-            and os.path.exists(_strip_scheme(path) + ".gz"):
+    if not path_exists(spark, path) and path_exists(spark, path + ".gz"):
         path = path + ".gz"
     if data_id == N.ALIASES_DATA_ID:
         df = read_aliases(spark, path)
@@ -121,9 +118,9 @@ def read_evidence(spark: SparkSession, directory: str, data_id: str = N.LINKS_DA
     return df
 
 
-def _is_local(path: str) -> bool:
-    return path.startswith("/") or path.startswith("file:")
-
-
-def _strip_scheme(path: str) -> str:
-    return path[len("file:"):] if path.startswith("file:") else path
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Existence check through the session's Hadoop file system (local
+    disk, HDFS or an object store alike)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
