@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairnet.functions import names as N
-from pairnet.operators.joins import attach_scalars
+from pairnet.operators.joins import scalars
 from pairnet.operators.ranking import prefix_sums
 from pairnet.session import checkpoint
 
@@ -42,8 +42,9 @@ def curve_counts(df: DataFrame, score: str, **kw) -> DataFrame:
     # One row per distinct score, read twice (running totals, grand totals).
     per = checkpoint(per)
     ranked = prefix_sums(per, "threshold", ["pos", "neg"], descending=True, known_rows=per.count())
-    totals = per.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    return attach_scalars(ranked, totals).withColumnsRenamed({"cum_pos": "tp", "cum_neg": "fp"})
+    totals = scalars(per.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")))
+    return ranked.withColumns({"P": totals["P"], "N": totals["N"]}) \
+        .withColumnsRenamed({"cum_pos": "tp", "cum_neg": "fp"})
 
 
 def roc_curve(df: DataFrame, score: str, **kw) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pairnet.functions import names as N
 from pairnet.functions.expr import norm_id
+from pairnet.operators.joins import scalars
 from pairnet.operators.pairs import drop_nulls
 
 
@@ -107,9 +108,8 @@ def matched_missing(proteins: DataFrame, genes: DataFrame, aliases: DataFrame, i
 def mapping_coverage(mapped: DataFrame, total: DataFrame) -> DataFrame:
     """One row: ``mapped, total, percent`` (NULL percent for an empty total)."""
     m = mapped.agg(F.count(F.lit(1)).alias("mapped"))
-    t = total.agg(F.count(F.lit(1)).alias("total"))
-    return m.crossJoin(t).select("mapped", "total",
-                                 F.try_divide(F.col("mapped") * 100.0, F.col("total")).alias("percent"))
+    t = scalars(total.agg(F.count(F.lit(1)).alias("total")))["total"]
+    return m.select("mapped", t.alias("total"), F.try_divide(F.col("mapped") * 100.0, t).alias("percent"))
 
 
 def duplicate_ids(df: DataFrame, key: str = N.UNIPROT_ID) -> DataFrame:

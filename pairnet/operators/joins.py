@@ -1,14 +1,15 @@
 """Join helpers.
 
-A broadcast hint is given only to a side whose size has been checked:
-either a one-row aggregate (a bound by construction) or a table that has
-been materialised in the shared folder and counted. Above the limit the
-join stays a shuffle join (sort-merge, with AQE's skew split).
+A broadcast hint is given only to a side whose size has been checked: a
+table that has been materialised in the shared folder and counted. Above
+the limit the join stays a shuffle join (sort-merge, with AQE's skew
+split). Global scalars (a mean, a maximum) are not joined at all: they are
+scalar subqueries, evaluated once before the main plan.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairnet.session import checkpoint
@@ -35,12 +36,9 @@ def checked_broadcast(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     return F.broadcast(m) if m.count() <= limit else m
 
 
-def scalar_broadcast(one_row: DataFrame) -> DataFrame:
-    """Broadcast a global aggregate (one row by construction)."""
-    return F.broadcast(one_row)
-
-
-def attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Every row of ``df`` with the columns of a one-row aggregate
-    (``BroadcastNestedLoopJoin`` against one row; the big side is not shuffled)."""
-    return df.crossJoin(scalar_broadcast(one_row))
+def scalars(one_row: DataFrame) -> dict[str, Column]:
+    """Each column of a global aggregate (exactly one row) as a scalar
+    subquery. The optimizer merges subqueries over the same aggregate into
+    one, which runs once; its value is then a constant in the main plan (no
+    join, no shuffle of the big side)."""
+    return {c: one_row.select(F.col(f"`{c}`")).scalar() for c in one_row.columns}

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairnet.functions.expr import hist_bin
-from pairnet.operators.joins import attach_scalars
+from pairnet.operators.joins import scalars
 from pairnet.operators.ranking import exact_quantiles
 
 
@@ -20,14 +20,13 @@ def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
     index; the bin list comes from ``range(bins)``."""
     spark = df.sparkSession
     vals = df.select(F.col(col).cast("double").alias("_x")).where(F.col("_x").isNotNull())
-    rng = vals.agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
-    counts = attach_scalars(vals, rng) \
-        .select(hist_bin("_x", "_lo", "_hi", bins).alias("bin")) \
+    rng = scalars(vals.agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi")))
+    counts = vals.select(hist_bin("_x", rng["_lo"], rng["_hi"], bins).alias("bin")) \
         .groupBy("bin").agg(F.count(F.lit(1)).alias("count"))
-    lo = F.when(F.col("_lo") == F.col("_hi"), F.col("_lo") - 0.5).otherwise(F.col("_lo"))
-    hi = F.when(F.col("_lo") == F.col("_hi"), F.col("_hi") + 0.5).otherwise(F.col("_hi"))
+    lo = F.when(rng["_lo"] == rng["_hi"], rng["_lo"] - 0.5).otherwise(rng["_lo"])
+    hi = F.when(rng["_lo"] == rng["_hi"], rng["_hi"] + 0.5).otherwise(rng["_hi"])
     step = (hi - lo) / F.lit(bins)
-    edges = spark.range(bins).select(F.col("id").alias("bin")).crossJoin(F.broadcast(rng)).select(
+    edges = spark.range(bins).select(F.col("id").alias("bin")).select(
         "bin",
         (F.col("bin").cast("double") * step + lo).alias("bin_start"),
         F.when(F.col("bin") == bins - 1, hi)

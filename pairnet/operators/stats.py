@@ -2,8 +2,9 @@
 z-score bias table, ranges, exact percentiles, describe, the quartile
 cascade, scaling and z-scores of a whole column.
 
-Global scalars (mean, std, max, a percentile) are one-row aggregates joined
-back by broadcast; nothing is collected to the driver.
+Global scalars (mean, std, max) are scalar subqueries over one-row
+aggregates: computed once, then constants in the main plan; percentile
+cut-offs are single numbers used as literal filters.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pairnet.functions import names as N
 from pairnet.functions.expr import safe_div
-from pairnet.operators.joins import attach_scalars
+from pairnet.operators.joins import scalars
 from pairnet.operators.pairs import unpivot_pairs
 from pairnet.operators.ranking import exact_quantile, exact_quantile_value, exact_quantiles
 from pairnet.session import checkpoint
@@ -43,12 +44,12 @@ def bias_table(stats: DataFrame) -> DataFrame:
     row by row), so it is checkpointed once: one row per protein, written
     to the shared folder, instead of running the pair pipeline twice."""
     stats = checkpoint(stats)
-    ms = protein_mean_std(stats)
-    diff = F.col(N.PROTEIN_AVG) - F.col("mean_of_protein_means")
-    return attach_scalars(stats, ms).select(
+    ms = scalars(protein_mean_std(stats))
+    diff = F.col(N.PROTEIN_AVG) - ms["mean_of_protein_means"]
+    return stats.select(
         N.PROTEIN_ID, N.INTERACTION_COUNT, N.PROTEIN_AVG,
         diff.alias(N.DIFF_FROM_AVG),
-        safe_div(diff, F.col("std_of_protein_means")).alias(N.STD_UNITS),
+        safe_div(diff, ms["std_of_protein_means"]).alias(N.STD_UNITS),
     ).orderBy(F.col(N.PROTEIN_AVG).desc_nulls_first())
 
 
@@ -74,12 +75,11 @@ def describe(df: DataFrame, col: str) -> DataFrame:
         F.min(col).cast("double").alias("min"), F.max(col).cast("double").alias("max"),
     )
     qs = exact_quantiles(df, col, [0.25, 0.5, 0.75], interpolation="nearest", out="v")
-    quart = qs.groupBy().pivot("q", [0.25, 0.5, 0.75]).agg(F.first("v"))
-    quart = quart.toDF("25%", "50%", "75%")
-    wide = basic.crossJoin(F.broadcast(quart))  # both sides are one row
-    long = wide.select(*[F.col(f"`{s}`").cast("double").alias(s) for s in DESCRIBE_STATS]) \
-        .unpivot([], list(DESCRIBE_STATS), "statistic", "value")
-    return long
+    quart = scalars(qs.agg(*[F.max(F.when(F.col("q") == q, F.col("v"))).alias(name)
+                             for q, name in ((0.25, "25%"), (0.5, "50%"), (0.75, "75%"))]))
+    wide = basic.select(*[(F.col(f"`{s}`") if s in basic.columns else quart[s]).cast("double").alias(s)
+                          for s in DESCRIBE_STATS])
+    return wide.unpivot([], list(DESCRIBE_STATS), "statistic", "value")
 
 
 def filter_cutoff(df: DataFrame, col: str = N.MEAN_CORRECTED, cutoff: float = N.EDGE_CUTOFF) -> DataFrame:
@@ -134,21 +134,19 @@ def quartile_cascade(df: DataFrame, col: str = N.MEAN_CORRECTED, q: float = N.CA
 def scale(df: DataFrame, col: str, method: str = "max", out: str | None = None) -> DataFrame:
     """``x / max`` (default) or ``(x - min) / (max - min)``; a zero divisor gives NULL."""
     out = out or col
-    rng = score_range(df, col)
-    j = attach_scalars(df, rng)
+    rng = scalars(score_range(df, col))
     if method == "max":
-        v = safe_div(F.col(col), F.col("max_value"))
+        v = safe_div(F.col(col), rng["max_value"])
     elif method == "minmax":
-        v = safe_div(F.col(col) - F.col("min_value"), F.col("max_value") - F.col("min_value"))
+        v = safe_div(F.col(col) - rng["min_value"], rng["max_value"] - rng["min_value"])
     else:
         raise ValueError(f"unknown method {method!r}")
-    return j.withColumn(out, v).drop("min_value", "max_value")
+    return df.withColumn(out, v)
 
 
 def zscore(df: DataFrame, col: str, ddof: int = 0, out: str = "z_score") -> DataFrame:
     """``(x - mean) / std`` over the whole column (population std by
     default), two passes of aggregation, no column held in memory."""
     std = F.stddev_pop(col) if ddof == 0 else F.stddev_samp(col)
-    ms = df.agg(F.avg(col).alias("_mu"), std.alias("_sd"))
-    return attach_scalars(df, ms).withColumn(out, safe_div(F.col(col) - F.col("_mu"), F.col("_sd"))) \
-        .drop("_mu", "_sd")
+    ms = scalars(df.agg(F.avg(col).alias("_mu"), std.alias("_sd")))
+    return df.withColumn(out, safe_div(F.col(col) - ms["_mu"], ms["_sd"]))
