@@ -11,7 +11,7 @@ from pairnet.operators import curves as C
 from pairnet.operators import profile as PR
 from pairnet.operators.ranking import exact_quantiles, prefix_sums
 
-SETTINGS = settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+SETTINGS = settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
 values = st.lists(st.integers(min_value=-40, max_value=40), min_size=1, max_size=60)
 
 
