@@ -9,11 +9,15 @@ of the blocks are a running total over that small table, and every row adds
 its block offset to a running total inside its block. The largest single
 task is one block, whatever the data size.
 
+When the exact row count of the table to rank has been checked to be at
+most ``pairnet.singleTask.maxRows``, a plain window does the same work.
+
 Exact quantiles are then found by rank: the distinct values with their
 counts are ranked this way and the values at ranks ``floor(h)`` and
-``ceil(h)`` (``h = (n-1)q``) are picked by a join with a small target
-table. No value set of a whole group is ever held in one buffer (Spark's
-``percentile`` keeps a value->count map of the whole column in one task).
+``ceil(h)`` (``h = (n-1)q``) are picked. For a whole column only the values
+inside a verified ``percentile_approx`` bracket are ranked. No value set of
+a whole group is ever held in one buffer (Spark's ``percentile`` keeps a
+value->count map of the whole column in one task).
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairnet.operators.joins import checked_broadcast
 from pairnet.session import checkpoint
 
 _BLK = "_blk"
@@ -136,8 +141,10 @@ def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], keys: Sequen
         t = t.select(*keys, "q", k.alias("_klo"), k.alias("_khi"), F.lit(0.0).alias("_frac"))
     else:
         raise ValueError(f"unknown interpolation {interpolation!r}")
-    if not keys:
-        t = F.broadcast(t)  # one row per requested quantile
+    # One row per (group, quantile): materialised and counted, then broadcast
+    # when small, so a group holding a third of the values is not sent to one
+    # join task; above the limit the join is a shuffle join with AQE's split.
+    t = checked_broadcast(t)
     r = ranks.alias("r")
     hit_lo = (F.col("r._first") <= F.col("t._klo")) & (F.col("t._klo") <= F.col("r._last"))
     hit_hi = (F.col("r._first") <= F.col("t._khi")) & (F.col("t._khi") <= F.col("r._last"))
@@ -148,7 +155,7 @@ def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], keys: Sequen
     agg = j.groupBy(*[F.col(f"t.{k}").alias(k) for k in keys], F.col("t.q").alias("q")).agg(
         F.max(F.when(hit_lo, F.col(f"r.{value}"))).alias("_vlo"),
         F.max(F.when(hit_hi, F.col(f"r.{value}"))).alias("_vhi"),
-        F.first(F.col("t._frac")).alias("_frac"),
+        F.max(F.col("t._frac")).alias("_frac"),
     )
     res = F.when(F.col("_frac") == 0, F.col("_vlo")) \
         .otherwise(F.col("_vlo") + F.col("_frac") * (F.col("_vhi") - F.col("_vlo")))
