@@ -38,7 +38,8 @@ def protein_mean_std(stats: DataFrame) -> DataFrame:
 
 def bias_table(stats: DataFrame) -> DataFrame:
     """Each protein's distance from the mean of protein means, raw and in
-    standard deviations, highest mean first (NULLs first).
+    standard deviations, highest mean first (NULLs first; ties by protein id,
+    which also lets the range shuffle of the sort split a hot mean value).
 
     The per-protein table is read twice (for the global mean and std, and
     row by row), so it is checkpointed once: one row per protein, written
@@ -50,7 +51,7 @@ def bias_table(stats: DataFrame) -> DataFrame:
         N.PROTEIN_ID, N.INTERACTION_COUNT, N.PROTEIN_AVG,
         diff.alias(N.DIFF_FROM_AVG),
         safe_div(diff, ms["std_of_protein_means"]).alias(N.STD_UNITS),
-    ).orderBy(F.col(N.PROTEIN_AVG).desc_nulls_first())
+    ).orderBy(F.col(N.PROTEIN_AVG).desc_nulls_first(), F.col(N.PROTEIN_ID).asc_nulls_first())
 
 
 def score_range(df: DataFrame, col: str) -> DataFrame:
