@@ -3,8 +3,8 @@
 A broadcast hint is given only to a side whose size has been checked: a
 table that has been materialised in the shared folder and counted. Above
 the limit the join stays a shuffle join (sort-merge, with AQE's skew
-split). Global scalars (a mean, a maximum) are not joined at all: they are
-scalar subqueries, evaluated once before the main plan.
+split). Global scalars (a mean, a maximum) are not joined at all: the
+one-row aggregate runs once and its values enter the plan as literals.
 """
 
 from __future__ import annotations
@@ -37,8 +37,12 @@ def checked_broadcast(df: DataFrame, max_rows: int | None = None) -> DataFrame:
 
 
 def scalars(one_row: DataFrame) -> dict[str, Column]:
-    """Each column of a global aggregate (exactly one row) as a scalar
-    subquery. The optimizer merges subqueries over the same aggregate into
-    one, which runs once; its value is then a constant in the main plan (no
-    join, no shuffle of the big side)."""
-    return {c: one_row.select(F.col(f"`{c}`")).scalar() for c in one_row.columns}
+    """The values of a global aggregate (exactly one row) as typed literals.
+
+    The aggregate runs once (partial aggregates on the executors, one row to
+    the driver); the main plan then holds constants: no join, no shuffle of
+    the big side, and arithmetic on them is folded at planning time. (A
+    scalar subquery referenced many times inside one expression is planned
+    once per reference.)"""
+    row = one_row.first()
+    return {f.name: F.lit(row[f.name]).cast(f.dataType) for f in one_row.schema.fields}

@@ -2,9 +2,9 @@
 z-score bias table, ranges, exact percentiles, describe, the quartile
 cascade, scaling and z-scores of a whole column.
 
-Global scalars (mean, std, max) are scalar subqueries over one-row
-aggregates: computed once, then constants in the main plan; percentile
-cut-offs are single numbers used as literal filters.
+Global scalars (mean, std, max) come from one-row aggregates that run once
+and enter the main plan as literals; percentile cut-offs are single numbers
+used as literal filters.
 """
 
 from __future__ import annotations
