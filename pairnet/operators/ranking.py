@@ -171,7 +171,7 @@ def _targets(n: int, q: float, interpolation: str) -> tuple[int, int, float]:
 
 
 def global_quantiles(df: DataFrame, value: str, qs: Sequence[float], interpolation: str = "linear",
-                     out: str = "quantile", accuracy: int = 10_000, materialize: bool = True) -> DataFrame:
+                     out: str = "quantile", accuracy: int = 10_000, materialize: bool = False) -> DataFrame:
     """Exact quantiles of a whole column without ranking all of it.
 
     1. One aggregate pass: the count and, per quantile, an approximate
@@ -183,13 +183,13 @@ def global_quantiles(df: DataFrame, value: str, qs: Sequence[float], interpolati
     3. Only the values inside the brackets (about 6/accuracy of the rows)
        are ranked by ``value_ranks`` and the target ranks are picked.
 
-    ``materialize=False`` when ``df`` is already a cheap scan (the passes
-    then read it directly instead of a one-column copy). Only scalars (the count, the bracket bounds and counts) reach the
+    The three passes read ``df`` directly (for a Parquet source: one pruned
+    column); ``materialize=True`` first writes the non-NULL values as a
+    one-column table, which pays off when ``df`` is an expensive plan (joins,
+    aggregates). Only scalars (the count, the bracket bounds and counts) reach the
     driver. Returns ``q, <out>`` (no row for an empty column).
     """
     x = F.col(value)
-    # One job: the non-NULL values as a one-column table, so that the passes
-    # below scan a compact column instead of re-running the input plan.
     v = df.select(x.alias("_x")).where(F.col("_x").isNotNull())
     if materialize:
         v = checkpoint(v, "values")
@@ -241,14 +241,14 @@ def global_quantiles(df: DataFrame, value: str, qs: Sequence[float], interpolati
 
 
 def exact_quantile(df: DataFrame, value: str, q: float, out: str = "quantile",
-                   interpolation: str = "linear", materialize: bool = True) -> DataFrame:
+                   interpolation: str = "linear", materialize: bool = False) -> DataFrame:
     """One-row frame holding one exact quantile of a column."""
     return global_quantiles(df, value, [q], interpolation=interpolation, out=out,
                             materialize=materialize).select(out)
 
 
 def exact_quantile_value(df: DataFrame, value: str, q: float, interpolation: str = "linear",
-                         materialize: bool = True) -> float | None:
+                         materialize: bool = False) -> float | None:
     """One exact quantile as a number (for use as a literal cut-off that a
     Parquet scan can apply to row-group statistics)."""
     row = exact_quantile(df, value, q, "_v", interpolation, materialize).first()

@@ -109,13 +109,14 @@ def quartile_cascade(df: DataFrame, col: str = N.MEAN_CORRECTED, q: float = N.CA
     literal cut-offs found so far (pushed to the scan), and each cut-off
     comes from the bracketed exact quantile, which ranks only a sliver of
     the values."""
-    # The cut-offs are computed on the score column alone, written once.
+    # The score column alone, written once: it is read by every pass of
+    # every round, and the input may be a derived plan.
     vals = checkpoint(df.select(col), "cascade")
     cur = df
     cond = F.lit(True)
     steps = []
     for r in range(1, rounds + 1):
-        c = exact_quantile_value(vals.where(cond), col, q, materialize=False)
+        c = exact_quantile_value(vals.where(cond), col, q)
         if c is None:
             break
         cond = cond & (F.col(col) >= F.lit(c))
