@@ -137,3 +137,15 @@ def test_nan_is_not_dropped_by_drop_nulls(spark):
     df = spark.createDataFrame([("r", "a", "b", math.nan, None)], PAIR_SCHEMA)
     assert P.drop_nulls(df, [N.BEST]).count() == 1
     assert P.drop_nulls(df).count() == 0
+
+
+def test_gzip_links_spread_after_scan(spark):
+    d = _local_dir(spark, "gzrep")
+    with gzip.open(f"{d}/links.txt.gz", "wt") as f:
+        f.write("protein1 protein2 combined_score\n")
+        for i in range(50):
+            f.write(f"4932.A{i} 4932.B{i} {i * 10}\n")
+    df = R.read_links(spark, f"{d}/links.txt.gz", partitions=3)
+    assert df.rdd.getNumPartitions() == 3
+    assert df.count() == 50
+    assert R.path_exists(spark, f"{d}/links.txt.gz") and not R.path_exists(spark, f"{d}/nope.txt")
