@@ -149,3 +149,14 @@ def test_gzip_links_spread_after_scan(spark):
     assert df.rdd.getNumPartitions() == 3
     assert df.count() == 50
     assert R.path_exists(spark, f"{d}/links.txt.gz") and not R.path_exists(spark, f"{d}/nope.txt")
+
+
+def test_shared_folder_comes_from_the_session(spark):
+    from pairnet.session import shared_dir
+
+    d = shared_dir(spark)
+    assert d == spark.sparkContext.getCheckpointDir()
+    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if conf:  # set by the environment: the folder lives below it
+        assert conf.rstrip("/").split("/")[-1] in d
+    assert stage_path(spark, "x").startswith(d.rstrip("/") + "/stage-x-")
