@@ -8,14 +8,14 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairnet.session import shared_dir
 from pairnet.sources.fixtures import table
 
 __all__ = ["documents", "narrow", "quoted", "input_bytes", "parts_for", "text_batches",
-           "shared_dir", "table", "shuffle_parts"]
+           "shared_dir", "table", "shuffle_parts", "held_out", "bounded_sample"]
 
 
 def quoted(name: str) -> Column:
@@ -66,3 +66,17 @@ def text_batches(batches: Iterable[pa.RecordBatch], max_bytes: int = 4 << 20,
                 end += 1
             yield b.slice(at, end - at)
             at = end
+
+
+def held_out(doc_id: Column, folds: int = 5) -> Column:
+    """Whether a row is held out of learning: crc32 of its id's digits mod
+    ``folds`` is 0 (a null id counts as the empty string and is held out)."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == 0
+
+
+def bounded_sample(rows: DataFrame, per: str, most: int) -> DataFrame:
+    """At most ``most`` rows of each value of ``per``: the smallest hashes of
+    ``doc_id``. A partial top-k a task, so a value with most of the rows sends
+    ``most`` rows a task."""
+    w = Window.partitionBy(per).orderBy(F.xxhash64("doc_id"), "doc_id")
+    return rows.withColumn("_nth", F.row_number().over(w)).where(F.col("_nth") <= most).drop("_nth")

@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairnet.llm import exact_dedup, mixing, packing, simhash, token_count, token_files
-from pairnet.llm.common import documents
+from pairnet.llm import ann, exact_dedup, langid, mixing, packing, simhash, token_count, token_files, toxicity
+from pairnet.llm.common import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,11 +34,21 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where(F.col("vec_id") % 20 == 0), 20)
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digest(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), 2) \
         .select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return langid.predict(docs, langid.fit(docs))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(documents(spark, sf_dir), 4, 4)
 
@@ -47,6 +57,13 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.scores(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def registry() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        op2_best_fit_packing, op3_token_counts, op4_exact_dedup, op6_token_files, op8_simhash, op9_source_mix)}
+        op2_best_fit_packing, op3_token_counts, op4_exact_dedup, op5_nearest_neighbours, op6_token_files, op7_language_id,
+        op8_simhash, op9_source_mix,
+        op10_toxicity)}
