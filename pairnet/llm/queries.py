@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairnet.llm import ann, exact_dedup, langid, mixing, packing, simhash, token_count, token_files, toxicity
+from pairnet.llm import ann, exact_dedup, langid, mixing, packing, simhash, suffix_dedup, token_count, token_files, toxicity
 from pairnet.llm.common import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,11 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir), 50) \
+        .select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), 2048, 0)
 
@@ -64,6 +69,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def registry() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        op2_best_fit_packing, op3_token_counts, op4_exact_dedup, op5_nearest_neighbours, op6_token_files, op7_language_id,
+        op1_suffix_dedup, op2_best_fit_packing, op3_token_counts, op4_exact_dedup, op5_nearest_neighbours, op6_token_files, op7_language_id,
         op8_simhash, op9_source_mix,
         op10_toxicity)}
