@@ -10,7 +10,8 @@ that many bytes.
 To do that in many bounded transforms, every ``length``-byte string is dealt
 by its anchor, the ``KMER``-byte substring with the least hash: equal strings
 have equal anchors, and a run of strings around one anchor travels as one
-short text. Rounds over hashed blocks of documents:
+short text. A document whose whole text also stands under a smaller id goes at once (equal
+texts, by digest). Rounds over hashed blocks of the others:
 
 1. A block's distinct anchor fingerprints go to buckets, which answer which of
    them occur under two or more ids anywhere (one bit each, no false
@@ -29,6 +30,7 @@ are folded within each block before they travel.
 from __future__ import annotations
 
 import hashlib
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -37,14 +39,14 @@ from pyspark.sql import functions as F
 
 from pairnet.llm.common import input_bytes, narrow, parts_for, shuffle_parts
 
-KMER = 32
+KMER = 24
 BLOCK_BYTES = 4 << 20
 PART_BYTES = 16 << 20
 BUCKET_ANCHORS = 2_000_000
 #: Text bytes of the input per shard, and bytes a transform takes at most (a
 #: larger shard is done in several).
 SHARD_BYTES = 4 << 20
-TRANSFORM_BYTES = 2 << 20
+TRANSFORM_BYTES = 1 << 18
 HOT = 20_000
 SEGMENT = 1 << 19
 
@@ -106,8 +108,10 @@ def runs(data: np.ndarray, ends: np.ndarray, length: int, kmer: int) -> tuple[np
         h = kmer_hashes(data[s:e + length - 1], kmer)
         packed = (h >> U(24) << U(24)) | np.arange(len(h), dtype=np.uint64)
         anchor = (sliding_min(packed, width) & U((1 << 24) - 1)).astype(np.int64)
-        start = np.arange(s, e)
-        good = np.flatnonzero(start + length <= ends[np.searchsorted(ends, start, "right")])
+        inside = np.ones(e - s, bool)  # a window that would leave its document starts nowhere
+        for end in ends[np.searchsorted(ends, s, "right"):np.searchsorted(ends, e + length, "right")].tolist():
+            inside[max(0, end - length + 1 - s):max(0, end - s)] = False
+        good = np.flatnonzero(inside)
         if not len(good):
             continue
         own = anchor[good]
@@ -122,33 +126,36 @@ def runs(data: np.ndarray, ends: np.ndarray, length: int, kmer: int) -> tuple[np
 # --- the transform ------------------------------------------------------------
 
 def bounded_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes sorted by at least ``depth`` symbols (prefix doubling; ties by
-    place), and each suffix's row. ``text``: symbols 0 to 256."""
+    """Suffixes sorted by at least ``depth`` symbols (prefix doubling; ties in
+    any order), and each suffix's row. ``text``: symbols 0 to 256."""
     n, have = len(text), 7
     key = np.zeros(n, np.int64)
     for k in range(7):
         key <<= 9
         key[:n - k] |= text[k:]
-    order = np.argsort(key, kind="stable")
-    sorted_ = key[order]
+    order = np.argsort(key)
     rank = np.empty(n, np.int64)
-    rank[order] = np.cumsum(np.concatenate([[0], sorted_[1:] != sorted_[:-1]]))
+
+    def ranked() -> None:
+        sorted_ = key[order]
+        rank[order] = np.cumsum(np.concatenate([[False], sorted_[1:] != sorted_[:-1]]))
+
+    ranked()
     while have < depth:
         key = rank << 32
         key[:n - have] |= rank[have:] + 1
         # Only suffixes that still share their rank move.
-        shared = np.bincount(rank)[rank] > 1
-        loose = np.flatnonzero(shared[order])
+        own = rank[order]
+        same = own[1:] == own[:-1]
+        loose = np.flatnonzero(np.concatenate([[False], same]) | np.concatenate([same, [False]]))
         if not len(loose):
             break
-        own = order[loose]
-        own = own[np.lexsort((own, key[own]))]
-        order[loose] = own
-        sorted_ = key[order]
-        rank[order] = np.cumsum(np.concatenate([[0], sorted_[1:] != sorted_[:-1]]))
+        moved = order[loose]
+        order[loose] = moved[np.argsort(key[moved])]
+        ranked()
         have *= 2
-    row = np.empty(n, np.int64)
-    row[order] = np.arange(n)
+    row = np.empty(n, np.int32)
+    row[order] = np.arange(n, dtype=np.int32)
     return order, row
 
 
@@ -165,17 +172,18 @@ def shared_intervals(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndar
     n = len(text)
     order, row = bounded_order(text, length)
     source = row[(order + 1) % n]  # the row that a row extends
+    place = np.arange(n, dtype=np.int32)
     opens = np.zeros(n, bool)
     opens[0] = True
     head = text[order]
-    queue = np.arange(1, n)
+    queue = place[1:]
     queue = queue[head[queue] == head[queue - 1]]
     opens[1:] = True
     opens[queue] = False
     for _ in range(1, length):
         if not len(queue):
             break
-        interval = np.cumsum(opens)
+        interval = np.cumsum(opens, dtype=np.int32)
         apart = interval[source[queue]] != interval[source[queue - 1]]
         opens[queue[apart]] = True
         queue = queue[~apart]
@@ -204,22 +212,26 @@ def least_ids(contents: list[bytes], ids: np.ndarray, length: int) -> list[np.nd
 class Block:
     """One block's documents (ordered by id, then text) and its runs."""
 
-    def __init__(self, rows: pa.Table, length: int, kmer: int, buckets: int):
+    def __init__(self, rows: pa.Table, copies: pa.Table, length: int, kmer: int, buckets: int):
         rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         self.texts = rows.column("text").to_pylist()
         self.null = np.array([x is None for x in rows.column("doc_id").to_pylist()], bool)
         self.ids = rows.column("doc_id").fill_null(NO_ID).to_numpy().astype(np.int64)
-        self.raw = b"".join(self.texts)
+        known = set(zip(copies.column("bucket").to_pylist(), copies.column("data").to_pylist()))
+        named = {i for i, _ in known}
+        self.copy = np.array([i in named and (i, hashlib.sha256(t).digest()) in known
+                              for i, t in zip(self.ids.tolist(), self.texts)], bool)
+        live = [b"" if c else t for c, t in zip(self.copy, self.texts)]
+        self.raw = b"".join(live)
         self.data = np.frombuffer(self.raw, np.uint8)
-        self.sizes = np.array([len(t) for t in self.texts], np.int64)
+        self.sizes = np.array([len(t) for t in live], np.int64)
         self.ends = np.cumsum(self.sizes)
         self.length = length
         filled = self.ends[self.sizes > 0]
-        self.first, self.count, mark = runs(self.data, filled, length, kmer)
+        self.first, self.count, self.full = runs(self.data, filled, length, kmer)
         self.doc = np.searchsorted(self.ends, self.first, "right")
-        self.bucket = ((mark >> U(32)) % U(buckets)).astype(np.int64)
-        self.mark = (mark & U(0xFFFFFFFF)).astype(np.uint32)
-        self.full = mark
+        self.bucket = ((self.full >> U(32)) % U(buckets)).astype(np.int64)
+        self.mark = (self.full & U(0xFFFFFFFF)).astype(np.uint32)
 
     def anchors(self):
         """Per bucket: the distinct fingerprints, where they are, under how
@@ -239,10 +251,8 @@ class Block:
         place[order] = which  # of each run, its fingerprint's number
         return b[first], m[first], n, several, cuts, place
 
-    def candidates(self, answers: pa.Table):
-        """The block's strings for the shards, from the buckets' answers: for
-        each run (or single string of a hot anchor) its window starts and its
-        entry; for each entry its content, least id, shard key."""
+    def candidates(self, answers: pa.Table) -> Candidates:
+        """The block's strings for the shards, from the buckets' answers."""
         b, _, _, _, cuts, place = self.anchors()
         state = np.zeros(len(b), np.uint8)
         begin = {int(b[c]): int(c) for c in cuts}
@@ -251,55 +261,68 @@ class Block:
             bits = np.unpackbits(np.frombuffer(packed, np.uint8), count=2 * n)
             state[begin[bucket]:begin[bucket] + n] = bits[:n] + bits[n:]
         own = state[place] if len(place) else np.zeros(0, np.uint8)
-        entry: dict[bytes, int] = {}
-        least, keys, where = [], [], []
-        raw, length = self.raw, self.length
-        hot = np.flatnonzero(own == 2)
-        for r in np.flatnonzero(own == 1):
-            lo, n = int(self.first[r]), int(self.count[r])
-            self._enter(entry, least, keys, where, raw[lo:lo + n + length - 1], lo, n, self.doc[r], int(self.full[r]))
-        for r in hot:
-            for lo in range(int(self.first[r]), int(self.first[r] + self.count[r])):
-                own_key = int.from_bytes(hashlib.blake2b(raw[lo:lo + length], digest_size=8).digest(), "little")
-                self._enter(entry, least, keys, where, raw[lo:lo + length], lo, 1, self.doc[r], own_key)
-        return entry, least, keys, where
-
-    def _enter(self, entry, least, keys, where, content, lo, n, doc, key) -> None:
-        k = entry.get(content)
-        if k is None:
-            k = entry[content] = len(least)
-            least.append(int(self.ids[doc]))
-            keys.append(key)
-        where.append((lo, n, int(self.ids[doc]), k))
+        shared, hot = np.flatnonzero(own == 1), np.flatnonzero(own == 2)
+        # The strings around a hot anchor stand alone.
+        single, several = expand(self.first[hot], self.count[hot]), np.repeat(hot, self.count[hot])
+        lo = np.concatenate([self.first[shared], single])
+        n = np.concatenate([self.count[shared], np.ones(len(single), np.int64)])
+        doc = self.ids[self.doc[np.concatenate([shared, several])]]
+        order = np.argsort(doc, kind="stable")  # the first of equal contents has the least id
+        lo, n, doc = lo[order], n[order], doc[order]
+        raw, entry = self.raw, {}
+        which = np.array([entry.setdefault(raw[a:z], len(entry))
+                          for a, z in zip(lo.tolist(), (lo + n + self.length - 1).tolist())], np.int64)
+        _, head = np.unique(which, return_index=True)
+        key = np.concatenate([self.full[shared], np.zeros(len(single), U)])[order][head]
+        alone = np.flatnonzero((order >= len(shared))[head])
+        contents = list(entry)
+        for k in alone.tolist():
+            key[k] = int.from_bytes(hashlib.blake2b(contents[k], digest_size=8).digest(), "little")
+        return Candidates(lo, n, doc, which, contents, doc[head], key)
 
     def covered(self, answers: pa.Table, flags: pa.Table, shards: int) -> np.ndarray:
         """Whether each byte of the block is removed."""
-        entry, least, keys, where = self.candidates(answers)
-        dealt = deal(entry, keys, shards)
-        got = {s: np.unpackbits(np.frombuffer(x, np.uint8))
-               for s, x in zip(flags.column("bucket").to_pylist(), flags.column("data").to_pylist())}
-        contents = list(entry)
-        bits: list[np.ndarray | None] = [None] * len(least)
-        for shard, members in dealt.items():
-            at = 0
-            for k in members:
-                n = len(contents[k]) - self.length + 1
-                bits[k] = got[shard][at:at + n]
-                at += n
-        step = np.zeros(len(self.data) + 1, np.int32)
-        for lo, n, doc, k in where:
-            hit = np.arange(n) if doc > least[k] else np.flatnonzero(bits[k])
-            step[lo + hit] += 1
-            step[lo + hit + self.length] -= 1
-        return np.cumsum(step[:-1]) > 0
-
-
-def deal(entry: dict[bytes, int], keys: list[int], shards: int) -> dict[int, list[int]]:
-    """Entries by shard, in their order."""
-    out: dict[int, list[int]] = {}
-    for k in entry.values():
-        out.setdefault((keys[k] >> 20) % shards, []).append(k)
-    return out
+        c = self.candidates(answers)
+        size = np.array([len(x) for x in c.contents], np.int64) - self.length + 1
+        got = {s: x for s, x in zip(flags.column("bucket").to_pylist(), flags.column("data").to_pylist())}
+        begin, bits, at = np.zeros(len(size), np.int64), [], 0
+        for shard, members in c.dealt(shards):
+            total = int(size[members].sum())
+            bits.append(np.unpackbits(np.frombuffer(got[shard], np.uint8), count=total))
+            begin[members] = at + np.cumsum(size[members]) - size[members]
+            at += total
+        hit = np.zeros(len(self.data) + 1, np.int8)
+        if len(c.lo):
+            answer = np.concatenate(bits)[expand(begin[c.which], c.n)]
+            hit[expand(c.lo, c.n)] = answer | np.repeat(c.doc > c.least[c.which], c.n)
+        seen = np.concatenate([np.zeros(self.length, np.int32), np.cumsum(hit[:-1], dtype=np.int32)])
+        return seen[self.length:] > seen[:-self.length]
+
+
+def expand(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... for each of the counts, one after the other."""
+    ends = np.cumsum(count)
+    return np.repeat(first - (ends - count), count) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+class Candidates(NamedTuple):
+    """Runs (or single strings of hot anchors): first window start, number of
+    starts, id, content; per distinct content its least id and shard key."""
+
+    lo: np.ndarray
+    n: np.ndarray
+    doc: np.ndarray
+    which: np.ndarray
+    contents: list[bytes]
+    least: np.ndarray
+    key: np.ndarray
+
+    def dealt(self, shards: int):
+        """(shard, its contents' numbers), both in ascending order."""
+        shard = ((self.key >> U(20)) % U(shards)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        cut = np.flatnonzero(np.diff(shard[order])) + 1
+        return [(int(shard[x[0]]), x) for x in np.split(order, cut) if len(x)]
 
 
 def answer_bucket(rows: pa.Table) -> pa.Table:
@@ -328,7 +351,7 @@ def answer_shard(rows: pa.Table, length: int) -> pa.Table:
     starts under a smaller id than the entry's."""
     own_ids = [np.frombuffer(x, "<i8") for x in rows.column("ids").to_pylist()]
     sizes = [np.frombuffer(x, "<u4") for x in rows.column("sizes").to_pylist()]
-    subs = [np.frombuffer(x, "u1") for x in rows.column("subs").to_pylist()]
+    subs = [np.frombuffer(x, "<u2") for x in rows.column("subs").to_pylist()]
     number: dict[bytes, int] = {}
     contents: list[bytes] = []
     sub: list[int] = []
@@ -370,6 +393,7 @@ def answer_shard(rows: pa.Table, length: int) -> pa.Table:
 
 # --- the operator -----------------------------------------------------------------
 
+#: kind 0: a bucket's answer, 1: a shard's, 2: a whole copy (id and digest).
 ANSWER = "block long, bucket long, kind int, n int, data binary"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>"
 
@@ -392,64 +416,80 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     blocks, buckets = parts_for(size + n, BLOCK_BYTES), parts_for(size, 10 * BUCKET_ANCHORS)
     shards, parts = parts_for(size, SHARD_BYTES), max(shuffle_parts(docs), parts_for(size + n, PART_BYTES))
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    dealt = rows.select("doc_id", text.alias("text"),
-                        F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block")).repartition(parts, "block")
-
-    def collect(t: pa.Table) -> pa.Table:
-        own = Block(t, length, kmer, buckets)
-        b, m, count, several, cuts, _ = own.anchors()
-        out = [(int(b[x]), m[x:y].tobytes(), np.minimum(count[x:y], 1 << 31).astype("<u4").tobytes(),
-                np.packbits(several[x:y]).tobytes()) for x, y in zip(cuts, np.append(cuts[1:], len(b)))]
+    own_id = F.coalesce("doc_id", F.lit(NO_ID))
+    block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks))
+    dealt = rows.select("doc_id", text.alias("text"), block.alias("block")).repartition(parts, "block")
+    # Whole copies: long enough, and under a larger id than the first of them.
+    digests = rows.where(F.octet_length("text") >= length).select(
+        "doc_id", own_id.alias("id"), F.unhex(F.sha2(F.col("text"), 256)).alias("digest"))
+    first = digests.groupBy("digest").agg(F.min("id").alias("least"), F.max("id").alias("most")) \
+        .where("least < most").select(F.col("digest").alias("d"), "least")
+    copies = digests.join(first, (F.col("digest") == F.col("d")) & (F.col("id") > F.col("least"))).distinct().select(
+        block.alias("block"), F.col("id").alias("bucket"), F.lit(2).alias("kind"), F.lit(1).alias("n"),
+        F.col("digest").alias("data"))
+
+    def only(t: pa.Table, kind: int) -> pa.Table:
+        return t.filter(pa.array(t.column("kind").to_numpy() == kind))
+
+    def collect(t: pa.Table, more: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if t.num_rows:
+            b, m, count, several, cuts, _ = Block(t, only(more, 2), length, kmer, buckets).anchors()
+            out = [(int(b[x]), m[x:y].tobytes(), np.minimum(count[x:y], 1 << 31).astype("<u4").tobytes(),
+                    np.packbits(several[x:y]).tobytes()) for x, y in zip(cuts, np.append(cuts[1:], len(b)))]
         cols = list(zip(*out)) or [[], [], [], []]
-        return pa.table({"bucket": pa.array(cols[0], pa.int64()),
-                         "block": pa.array([t.column("block")[0].as_py()] * len(out), pa.int64()),
+        block = t.column("block")[0].as_py() if t.num_rows else 0
+        return pa.table({"bucket": pa.array(cols[0], pa.int64()), "block": pa.array([block] * len(out), pa.int64()),
                          "marks": pa.array(cols[1], pa.binary()), "counts": pa.array(cols[2], pa.binary()),
                          "several": pa.array(cols[3], pa.binary())})
 
-    def send(t: pa.Table, answers: pa.Table) -> pa.Table:
-        out = []
+    def send(t: pa.Table, more: pa.Table) -> pa.Table:
+        out: list[tuple] = []
         if t.num_rows:
-            entry, least, keys, _ = Block(t, length, kmer, buckets).candidates(answers)
-            contents = list(entry)
-            for shard, members in deal(entry, keys, shards).items():
-                out.append((shard, np.array([len(contents[k]) for k in members], "<u4").tobytes(),
-                            np.array([least[k] for k in members], "<i8").tobytes(),
-                            np.array([keys[k] & 0xFF for k in members], "u1").tobytes(),
-                            b"".join(contents[k] for k in members)))
+            c = Block(t, only(more, 2), length, kmer, buckets).candidates(only(more, 0))
+            size = np.array([len(x) for x in c.contents], "<u4")
+            for shard, members in c.dealt(shards):
+                out.append((shard, size[members].tobytes(), c.least[members].astype("<i8").tobytes(),
+                            (c.key[members] & U(0xFFFF)).astype("<u2").tobytes(),
+                            b"".join([c.contents[k] for k in members.tolist()])))
         cols = list(zip(*out)) or [[]] * 5
         block = t.column("block")[0].as_py() if t.num_rows else 0
         return pa.table({"shard": pa.array(cols[0], pa.int64()), "block": pa.array([block] * len(out), pa.int64()),
                          **{name: pa.array(c, pa.binary()) for name, c in zip(("sizes", "ids", "subs", "data"), cols[1:])}})
 
-    def finish(t: pa.Table, answers: pa.Table) -> pa.Table:
+    def finish(t: pa.Table, more: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if t.num_rows:
-            own = Block(t, length, kmer, buckets)
-            kind = answers.column("kind").to_numpy()
-            gone = own.covered(answers.filter(pa.array(kind == 0)), answers.filter(pa.array(kind == 1)), shards)
+            own = Block(t, only(more, 2), length, kmer, buckets)
+            gone = own.covered(only(more, 0), only(more, 1), shards)
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
+            cut = np.union1d(edge, own.ends)  # removed runs end with their document
             for k, text_ in enumerate(own.texts):
-                mine = gone[own.ends[k] - own.sizes[k]:own.ends[k]]
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], mine.view(np.int8), [0]])))
-                pairs = edge.reshape(-1, 2).tolist()
+                lo, hi = int(own.ends[k] - own.sizes[k]), int(own.ends[k])
+                mark = [lo, *cut[np.searchsorted(cut, lo, "right"):np.searchsorted(cut, hi, "left")].tolist(), hi]
+                pairs = [(a - lo, z - lo) for a, z in zip(mark, mark[1:]) if z > a and gone[a]]
+                if own.copy[k]:
+                    pairs = [(0, len(text_))]
                 stay, at = [], 0
-                for a, b in pairs:
+                for a, z in pairs:
                     stay.append(text_[at:a])
-                    at = b
+                    at = z
                 kept = b"".join([*stay, text_[at:]])
                 out.append((None if own.null[k] else int(own.ids[k]), len(text_), len(text_) - len(kept), len(pairs),
-                            hashlib.sha256(kept).hexdigest(), [{"start": a, "end": b} for a, b in pairs], kept))
+                            hashlib.sha256(kept).hexdigest(), [{"start": a, "end": z} for a, z in pairs], kept))
         cols = list(zip(*out)) or [[]] * 7
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), span, pa.binary()]
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"][:6 + with_text]
         return pa.table({c: pa.array(x, k) for c, x, k in zip(names, cols, kinds)})
 
-    marks = dealt.groupBy("block").applyInArrow(
+    def beside(more: DataFrame):
+        return dealt.groupBy("block").cogroup(more.groupBy("block"))
+
+    marks = beside(copies).applyInArrow(
         collect, "bucket long, block long, marks binary, counts binary, several binary")
-    answers = marks.groupBy("bucket").applyInArrow(answer_bucket, ANSWER)
-    sent = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
+    answers = copies.unionByName(marks.groupBy("bucket").applyInArrow(answer_bucket, ANSWER))
+    sent = beside(answers).applyInArrow(
         send, "shard long, block long, sizes binary, ids binary, subs binary, data binary")
     flags = sent.groupBy("shard").applyInArrow(lambda t: answer_shard(t, length), ANSWER)
-    every = answers.unionByName(flags)
-    return dealt.groupBy("block").cogroup(every.groupBy("block")).applyInArrow(
-        finish, RESULT + ", kept binary" * with_text)
+    return beside(answers.unionByName(flags)).applyInArrow(finish, RESULT + ", kept binary" * with_text)
