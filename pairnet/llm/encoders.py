@@ -15,7 +15,7 @@ from __future__ import annotations
 import json
 import os
 from array import array
-from itertools import chain
+from itertools import chain, filterfalse
 
 #: Parts kept in each of the two generations of the cache (about 200 bytes each).
 CACHE_PARTS = 250_000
@@ -31,7 +31,7 @@ class PieceCache:
         """Of ``parts``, those that have to be computed; makes room first."""
         if len(self.now) > self.limit:
             self.now, self.before = {}, self.now
-        lost = set(parts).difference(self.now)
+        lost = set(filterfalse(self.now.__contains__, parts))
         if self.before and lost:
             before = self.before
             found = {p: before[p] for p in lost if p in before}
@@ -40,6 +40,20 @@ class PieceCache:
         return lost
 
 
+#: Marks that end a word; none is a letter, a digit, white space or an apostrophe.
+MARKS = ".,;:!?*&%$#|-"
+#: Letters below this point are letters in every Unicode version.
+SETTLED = "\u0250"
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary:
+    printable Latin-1 for itself, the others in turn from U+0100."""
+    plain = [b for b in range(256) if chr(b).isprintable() and not chr(b).isspace()]
+    other = (b for b in range(256) if b not in plain)
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(other)}
+
+
 def _le32(ids) -> bytes:
     return array("I", ids).tobytes()
 
@@ -64,7 +78,28 @@ class Encoder:
             and not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized")
                         for t in spec.get("added_tokens") or [])
         )
-        self.cache = PieceCache()
+        self.cache, self.tails, self.letters = PieceCache(), {"": b""}, byte_letters()
+
+    def _words(self, lost: list[str]) -> dict[str, bytes]:
+        """Parts that are a word of letters, with or without marks after it:
+        the word is one pre-token, which the library's model merges alone."""
+        out, kept, tails, merge = {}, self.cache.now, self.tails, self.tok.model.tokenize
+        for p in lost:
+            core = p.rstrip(MARKS)
+            if not core.isalpha() or not (core.isascii() or max(core) < SETTLED):
+                continue
+            ids = kept.get(core) or out.get(core)
+            if ids is None:
+                spelt = (" " + core).encode().decode("latin-1").translate(self.letters)
+                ids = out[core] = _le32([t.id for t in merge(spelt)])
+            if len(core) < len(p):
+                tail = p[len(core):]
+                if tail not in tails:
+                    if len(tails) > 10_000:
+                        tails.clear()
+                    tails[tail] = self._direct([tail])[0]
+                out[p] = ids + tails[tail]
+        return out
 
     def _direct(self, texts: list[str]) -> list[bytes]:
         return [_le32(e.ids) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -85,10 +120,11 @@ class Encoder:
                 whole.append(i)
                 del split[i]
             lost -= odd
-        lost = sorted(lost)
+        lost, kept = sorted(lost), self.cache.now
+        kept.update(self._words(lost))
+        lost = [p for p in lost if p not in kept]
         heads = list(dict.fromkeys(h for h, _ in split.values() if h))
         ids = self._direct([" " + p for p in lost] + heads)
-        kept = self.cache.now
         kept.update(zip(lost, ids))
         first = dict(zip(heads, ids[len(lost):]))
         first[""] = b""
