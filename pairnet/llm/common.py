@@ -10,12 +10,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 from pairnet.session import shared_dir
 from pairnet.sources.fixtures import table
 
 __all__ = ["documents", "narrow", "quoted", "input_bytes", "parts_for", "text_batches",
-           "shared_dir", "table", "shuffle_parts", "held_out", "bounded_sample"]
+           "shared_dir", "table", "shuffle_parts", "held_out", "bounded_sample", "nested", "atoms"]
 
 
 def quoted(name: str) -> Column:
@@ -80,3 +81,15 @@ def bounded_sample(rows: DataFrame, per: str, most: int) -> DataFrame:
     ``most`` rows a task."""
     w = Window.partitionBy(per).orderBy(F.xxhash64("doc_id"), "doc_id")
     return rows.withColumn("_nth", F.row_number().over(w)).where(F.col("_nth") <= most).drop("_nth")
+
+
+def nested(docs: DataFrame, **keys: Column) -> DataFrame:
+    """``doc``, a struct of all columns, beside ``keys``: no column of the
+    table can clash with a key. ``doc.*`` unfolds it again."""
+    return docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias("doc"),
+                       *[c.alias(k) for k, c in keys.items()])
+
+
+def atoms(docs: DataFrame) -> list[Column]:
+    """The columns of ``doc`` that can be ordered, for a stable choice."""
+    return [F.col("doc").getField(f.name) for f in docs.schema if isinstance(f.dataType, AtomicType)]

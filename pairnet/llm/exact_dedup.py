@@ -24,9 +24,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import AtomicType
 
-from pairnet.llm.common import narrow, parts_for, quoted, text_batches
+from pairnet.llm.common import atoms, narrow, nested, parts_for, quoted, text_batches
 from pairnet.session import checkpoint
 
 BUCKET_KEYS = 1 << 16
@@ -241,13 +240,11 @@ def kept_documents(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", t
     """The rows of ``docs`` that stay by ``groups``: one row, whole, for every
     group of equal texts (of rows that also share the id, the first by all
     columns that can be ordered)."""
-    stay = groups.where("kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
-    own = docs.withColumns({"_own": quoted(id_col).cast("long"),
-                            "_sha": F.sha2(normalised(quoted(text_col)), 256)})
-    joined = own.join(stay, own["_own"].eqNullSafe(stay["_id"]) & (F.col("_sha") == F.col("_digest")))
-    nth = F.row_number().over(Window.partitionBy("_own", "_sha").orderBy(
-        *[quoted(f.name) for f in docs.schema if isinstance(f.dataType, AtomicType)]))
-    return joined.withColumn("_nth", nth).where("_nth = 1").select(*[quoted(c) for c in docs.columns])
+    stay = groups.where("kept").select(F.col("doc_id").alias("stay"), "digest").distinct()
+    own = nested(docs, own=quoted(id_col).cast("long"), sha=F.sha2(normalised(quoted(text_col)), 256))
+    joined = own.join(stay, F.col("own").eqNullSafe(F.col("stay")) & (F.col("sha") == F.col("digest")))
+    nth = F.row_number().over(Window.partitionBy("own", "sha").orderBy(*atoms(docs)))
+    return joined.withColumn("nth", nth).where("nth = 1").select("doc.*")
 
 
 def normalised(text: Column) -> Column:

@@ -163,7 +163,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 for size in SIZES:
                     h, n = np.unique(grams(cp, size)[0], return_counts=True)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(h)), pa.array(np.full(len(h), size, "i4")),
+                        [pa.array([lang] * len(h), pa.string()), pa.array(np.full(len(h), size, "i4")),
                          pa.array(h.view(np.int64)), pa.array(n.astype("i8"))], ["lang", "size", "gram", "n"])
 
     counted = chosen.mapInArrow(count, "lang string, size int, gram long, n long") \
@@ -205,7 +205,10 @@ def with_language(docs: DataFrame, model: Filter, text_col: str = "text") -> Dat
     """The rows of ``docs`` whose text has a language by the model (any but
     ``und``), with all their columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    own = docs.withColumn("_own text", quoted(text_col).cast("string"))
+    name = "own text"
+    while name in docs.columns:
+        name += " "
+    own = docs.withColumn(name, quoted(text_col).cast("string"))
     keep = [f.name for f in docs.schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

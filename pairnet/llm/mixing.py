@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairnet.llm.common import parts_for, quoted
+from pairnet.llm.common import nested, parts_for, quoted
 from pairnet.session import checkpoint
 
 #: What a word is: a run of anything but space, tab, LF, VT, FF, CR.
@@ -104,17 +104,13 @@ def mixed(docs: DataFrame, plan_: DataFrame, id_col: str = "doc_id", text_col: s
 
     Rows that agree in id, source and size share their copies: the first of
     them (by text) get one more where the number isn't even."""
-    own = {"_id": quoted(id_col).cast("long"), "_src": quoted(source_col).cast("string"),
-           "_size": word_count(quoted(text_col).cast("string"))}
-    keys = list(own)
-    per = plan_.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("size").alias("_size")) \
-        .agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")).where("_copies > 0")
-    d, p = docs.withColumns(own), per
-    for k in keys:
-        p = p.withColumnRenamed(k, f"{k}2")
-    joined = d.join(p, [d[k].eqNullSafe(p[f"{k}2"]) for k in keys])
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(quoted(text_col)))
-    take = F.floor(F.col("_copies") / F.col("_rows")) + F.when(nth <= F.col("_copies") % F.col("_rows"), 1).otherwise(0)
-    counted = joined.withColumn("_take", take.cast("int")).where("_take > 0")
-    return counted.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_take")))) \
-        .select(*[quoted(c) for c in docs.columns])
+    per = plan_.groupBy("doc_id", "source", "size") \
+        .agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows")).where("copies > 0")
+    own = nested(docs, own_id=quoted(id_col).cast("long"), own_source=quoted(source_col).cast("string"),
+                 own_size=word_count(quoted(text_col).cast("string")), own_text=quoted(text_col).cast("string"))
+    joined = own.join(per, F.col("own_id").eqNullSafe(F.col("doc_id")) & F.col("own_source").eqNullSafe(F.col("source"))
+                      & (F.col("own_size") == F.col("size")))
+    nth = F.row_number().over(Window.partitionBy("own_id", "own_source", "own_size").orderBy("own_text"))
+    take = F.floor(F.col("copies") / F.col("rows")) + F.when(nth <= F.col("copies") % F.col("rows"), 1).otherwise(0)
+    counted = joined.withColumn("take", take.cast("int")).where("take > 0")
+    return counted.select("doc", F.explode(F.sequence(F.lit(1), F.col("take")))).select("doc.*")

@@ -27,9 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import AtomicType
 
-from pairnet.llm.common import narrow, parts_for, quoted, shuffle_parts, text_batches
+from pairnet.llm.common import atoms, narrow, nested, parts_for, quoted, shuffle_parts, text_batches
 from pairnet.llm.components import components
 from pairnet.session import checkpoint
 
@@ -295,9 +294,8 @@ def representatives(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id")
     """The rows of ``docs`` that stand for their component in ``groups``: the
     one with the component's smallest id (one row where several share it; a
     component without any id keeps one row)."""
-    stay = groups.select(F.col("component_id").alias("_stay")).distinct()
-    own = docs.withColumn("_own", quoted(id_col).cast("long"))
-    joined = own.join(stay, own["_own"].eqNullSafe(stay["_stay"]))
-    nth = F.row_number().over(Window.partitionBy("_own").orderBy(
-        *[quoted(f.name) for f in docs.schema if isinstance(f.dataType, AtomicType)]))
-    return joined.withColumn("_nth", nth).where("_nth = 1").select(*[quoted(c) for c in docs.columns])
+    stay = groups.select(F.col("component_id").alias("stay")).distinct()
+    own = nested(docs, own=quoted(id_col).cast("long"))
+    joined = own.join(stay, F.col("own").eqNullSafe(F.col("stay")))
+    nth = F.row_number().over(Window.partitionBy("own").orderBy(*atoms(docs)))
+    return joined.withColumn("nth", nth).where("nth = 1").select("doc.*")

@@ -67,7 +67,7 @@ class SeekableWriter:
     def add(self, doc_id: int | None, ids: bytes) -> None:
         self.ids.append(doc_id)
         self.lengths.append(len(ids) // 4)
-        if self.held and self.held + len(ids) > 2 * self.frame_bytes:
+        if self.held + len(ids) > self.frame_bytes:
             self.flush()
         while len(ids) > self.frame_bytes:
             self._frame(ids[:self.frame_bytes])

@@ -370,6 +370,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # One row per rounded strength, number of hits (0 to 5) and label: a few hundred.
     cells = texts.select("text", "y").mapInArrow(measure, "best double, n int, y int").groupBy("best", "n", "y") \
         .count().toPandas()
+    if not len(cells):
+        return Toxicity(tables, {}, (-1.0, 0.0, 0.0))
     x = np.stack([np.ones(len(cells)), cells["best"], cells["n"]], axis=1).astype(float)
     w = _newton(x, cells["y"].to_numpy(float), cells["count"].to_numpy(float))
     return Toxicity(tables, lexicon, tuple(float(v) for v in w))
