@@ -64,9 +64,10 @@ def pr_curve(df: DataFrame, score: str, **kw) -> DataFrame:
 def roc_auc(df: DataFrame, score: str, **kw) -> DataFrame:
     """One row: area under the ROC curve by trapezoids from (0, 0)."""
     c = curve_counts(df, score, **kw)
-    term = F.col("neg") * (2 * F.col("tp") - F.col("pos"))
-    return c.groupBy().agg(
-        F.try_divide(F.sum(term.cast("double")), 2.0 * F.max("P") * F.max("N")).alias("roc_auc"))
+    # In double: the products pass 2^63 from about 3e10 rows.
+    term = F.col("neg").cast("double") * (2.0 * F.col("tp").cast("double") - F.col("pos").cast("double"))
+    whole = 2.0 * F.max("P").cast("double") * F.max("N").cast("double")
+    return c.groupBy().agg(F.try_divide(F.sum(term), whole).alias("roc_auc"))
 
 
 def average_precision(df: DataFrame, score: str, **kw) -> DataFrame:

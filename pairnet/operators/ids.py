@@ -17,10 +17,10 @@ from pairnet.operators.pairs import drop_nulls
 
 def gene_name_long(pairs: DataFrame, source_gene: str = N.SOURCE_GENE,
                    target_gene: str = N.TARGET_GENE) -> DataFrame:
-    """``uniprot_id, gene_name`` from both sides of every pair (union all)."""
-    a = pairs.select(F.col(N.ID1).alias(N.UNIPROT_ID), F.col(f"`{source_gene}`").alias(N.GENE_NAME))
-    b = pairs.select(F.col(N.ID2).alias(N.UNIPROT_ID), F.col(f"`{target_gene}`").alias(N.GENE_NAME))
-    return a.unionByName(b)
+    """``uniprot_id, gene_name`` from both sides of every pair, in one scan."""
+    sides = F.array(*[F.struct(F.col(i).alias(N.UNIPROT_ID), F.col(f"`{g}`").alias(N.GENE_NAME))
+                      for i, g in ((N.ID1, source_gene), (N.ID2, target_gene))])
+    return pairs.select(F.inline(sides))
 
 
 def gene_name_map(pairs: DataFrame, source_gene: str = N.SOURCE_GENE,

@@ -18,6 +18,8 @@ from pairnet.session import checkpoint
 #: conf ``pairnet.broadcast.maxRows``). Two short strings per row: about
 #: 100 MB of hashed relation at the limit.
 DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
+#: Bytes of its files, however few its rows are.
+MAX_BROADCAST_BYTES = 128 << 20
 
 
 def max_broadcast_rows(df: DataFrame) -> int:
@@ -33,7 +35,9 @@ def checked_broadcast(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     and hint a broadcast only if it has at most ``max_rows`` rows."""
     limit = max_rows if max_rows is not None else max_broadcast_rows(df)
     m = checkpoint(df)
-    return F.broadcast(m) if m.count() <= limit else m
+    # The written files' size by the plan's statistics, next to the row count.
+    size = int(str(m._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(m) if size <= MAX_BROADCAST_BYTES and m.count() <= limit else m
 
 
 def scalars(one_row: DataFrame) -> dict[str, Column]:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pairnet.functions import names as N
 from pairnet.functions.expr import all_not_null, norm_id, pair_key
 from pairnet.operators.joins import checked_broadcast
+from pairnet.session import checkpoint
 
 # Rule for repeated runs of one pair: best desc, mean desc (NULL last),
 # then run name, ptm, iptm.
@@ -168,12 +169,14 @@ def compare_scores(pairs: DataFrame, links: DataFrame, idmap: DataFrame,
     pair of mapped ids; pairs without evidence keep a NULL score.
 
     Plan: two lookups in the (checked) broadcast id map, the whole-row
-    distinct, and one shuffle on the pair key for the left join, whose right
-    side arrives already partitioned by its aggregate.
+    distinct, and a shuffle of both sides on the pair key for the left join.
+    The link scores are written first: over two plain shuffles AQE can split a
+    hot pair key, over an aggregate it cannot.
     """
     mapped = map_pair_ids(comparison_pairs(pairs), idmap, keep_norm=normalize)
     keyed = mapped.withColumns({N.PAIR_KEY1: F.least("_n1", "_n2"), N.PAIR_KEY2: F.greatest("_n1", "_n2")})
-    out = keyed.join(link_scores(links, normalize), on=[N.PAIR_KEY1, N.PAIR_KEY2], how="left")
+    scores = checkpoint(link_scores(links, normalize), "link-scores")
+    out = keyed.join(scores, on=[N.PAIR_KEY1, N.PAIR_KEY2], how="left")
     return out.select(*COMPARISON_COLUMNS)
 
 

@@ -9,17 +9,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairnet.functions.expr import hist_bin
-from pairnet.operators.joins import scalars
+from pairnet.operators.joins import checked_broadcast, scalars
 from pairnet.operators.ranking import exact_quantiles
+from pairnet.session import checkpoint
 
 
-def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
-    """Equal-width histogram over [min, max] of the non-NULL values, last
+def histogram(df: DataFrame, col: str, bins: int, materialize: bool = False) -> DataFrame:
+    """Equal-width histogram over [min, max] of the values (neither NULL nor
+    NaN), last
     bin closed: ``bin, bin_start, bin_end, count`` for every bin (empty ones
     too). The values are counted by a partial + final aggregate on the bin
-    index; the bin list comes from ``range(bins)``."""
+    index; the bin list comes from ``range(bins)``. ``materialize`` writes the
+    column first, so that an expensive input plan runs once, not twice."""
     spark = df.sparkSession
-    vals = df.select(F.col(col).cast("double").alias("_x")).where(F.col("_x").isNotNull())
+    vals = df.select(F.col(col).cast("double").alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan("_x"))
+    if materialize:
+        vals = checkpoint(vals, "values")
     rng = scalars(vals.agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi")))
     counts = vals.select(hist_bin("_x", rng["_lo"], rng["_hi"], bins).alias("bin")) \
         .groupBy("bin").agg(F.count(F.lit(1)).alias("count"))
@@ -39,8 +44,10 @@ def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
 def box_stats(df: DataFrame, group: str, value: str, whis: float = 1.5) -> DataFrame:
     """Per group: ``n, q1, median, q3, iqr, whisker_low, whisker_high,
     n_outliers`` (quartiles linear-interpolated; whiskers are the furthest
-    values within 1.5 IQR of the box)."""
-    fences = _fences(df, group, value, whis)
+    values within 1.5 IQR of the box). Rows without a group are left out. The
+    fences, one row per group, are broadcast when their checked size allows:
+    a group with a third of the rows then stays spread over its scan tasks."""
+    fences = checked_broadcast(_fences(df, group, value, whis))
     j = df.select(group, value).where(F.col(value).isNotNull()).join(fences, on=group)
     inside = (F.col(value) >= F.col("_lo_fence")) & (F.col(value) <= F.col("_hi_fence"))
     return j.groupBy(group).agg(
@@ -56,7 +63,7 @@ def box_stats(df: DataFrame, group: str, value: str, whis: float = 1.5) -> DataF
 def box_outliers(df: DataFrame, group: str, value: str, whis: float = 1.5) -> DataFrame:
     """Rows outside their group's fences (the points a box plot draws)."""
     fences = _fences(df, group, value, whis)
-    j = df.where(F.col(value).isNotNull()).join(fences.select(group, "_lo_fence", "_hi_fence"), on=group)
+    j = df.where(F.col(value).isNotNull()).join(checked_broadcast(fences.select(group, "_lo_fence", "_hi_fence")), on=group)
     return j.where((F.col(value) < F.col("_lo_fence")) | (F.col(value) > F.col("_hi_fence"))) \
         .drop("_lo_fence", "_hi_fence")
 

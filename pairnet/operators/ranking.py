@@ -83,11 +83,15 @@ def prefix_sums(df: DataFrame, order_by: str, sums: Sequence[str], keys: Sequenc
     # One row per (group, block): bounded by groups + blocks.
     off = tot.select(*keys, _BLK, *[
         F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in sums])
-    if not keys:
-        off = F.broadcast(off)  # at most num_blocks rows
     inside = Window.partitionBy(*keys, _BLK).orderBy(o) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = ranged.join(off, on=[*keys, _BLK], how="inner")
+    # Null-safe on the keys: a NULL group is a group like any other.
+    o2 = off.withColumnsRenamed({c: f"_j_{c}" for c in [*keys, _BLK]})
+    cond = F.col(_BLK) == F.col(f"_j_{_BLK}")
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_j_{k}"))
+    # Without keys: at most num_blocks rows.
+    joined = ranged.join(o2 if keys else F.broadcast(o2), cond, "inner")
     return joined.select(
         *[F.col(f"`{c}`") for c in df.columns],
         *[(F.col(f"_o_{c}") + F.sum(c).over(inside)).alias(f"{prefix}{c}") for c in sums],
@@ -115,7 +119,8 @@ def value_ranks(df: DataFrame, value: str, keys: Sequence[str] = (),
 def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], keys: Sequence[str] = (),
                     interpolation: str = "linear", out: str = "quantile",
                     num_blocks: int | None = None) -> DataFrame:
-    """Exact quantiles of ``value`` per ``keys`` group, NULLs ignored.
+    """Exact quantiles of ``value`` per ``keys`` group (a NULL key is a group
+    of its own), NULL values ignored.
 
     ``linear``: ``x[floor(h)] + (h - floor(h)) * (x[ceil(h)] - x[floor(h)])``
     with ``h = (n-1)q`` (the NumPy default). ``nearest``: ``x[round(h)]``,
@@ -150,7 +155,7 @@ def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], keys: Sequen
     hit_hi = (F.col("r._first") <= F.col("t._khi")) & (F.col("t._khi") <= F.col("r._last"))
     cond: Column = hit_lo | hit_hi
     for k in keys:
-        cond = cond & (F.col(f"r.{k}") == F.col(f"t.{k}"))
+        cond = cond & F.col(f"r.{k}").eqNullSafe(F.col(f"t.{k}"))
     j = r.join(t.alias("t"), on=cond, how="inner")
     agg = j.groupBy(*[F.col(f"t.{k}").alias(k) for k in keys], F.col("t.q").alias("q")).agg(
         F.max(F.when(hit_lo, F.col(f"r.{value}"))).alias("_vlo"),
@@ -215,9 +220,9 @@ def global_quantiles(df: DataFrame, value: str, qs: Sequence[float], interpolati
         klo, khi, frac = _targets(n, q, interpolation)
         below, inside = int(counted[f"b{i}"]), int(counted[f"i{i}"])
         if below <= klo and khi <= below + inside - 1:
-            plan.append((i, q, brackets[i], below, klo, khi, frac))
+            plan.append((i, float(q), brackets[i], below, klo, khi, float(frac)))
         else:
-            plan.append((i, q, None, 0, klo, khi, frac))
+            plan.append((i, float(q), None, 0, klo, khi, float(frac)))
     tags = [F.when(F.lit(True) if b is None else
                    (F.col("_x") >= F.lit(b[0])) & (F.col("_x") <= F.lit(b[1])), F.lit(i))
             for i, _, b, *_ in plan]
@@ -226,18 +231,16 @@ def global_quantiles(df: DataFrame, value: str, qs: Sequence[float], interpolati
     # column for a quantile that fell back).
     bound = sum(int(counted[f"i{i}"]) if b is not None else n for i, _, b, *_ in plan)
     ranks = value_ranks(tagged, "_x", keys=["_q"], max_rows=bound)
-    parts = []
-    for i, q, _, off, klo, khi, frac in plan:
-        lo_hit = (F.col("_first") <= klo - off) & (klo - off <= F.col("_last"))
-        hi_hit = (F.col("_first") <= khi - off) & (khi - off <= F.col("_last"))
-        one = ranks.where(F.col("_q") == i).agg(F.max(F.when(lo_hit, F.col("_x"))).alias("_vlo"),
-                                                F.max(F.when(hi_hit, F.col("_x"))).alias("_vhi"))
-        res = F.col("_vlo") if frac == 0 else F.col("_vlo") + F.lit(frac) * (F.col("_vhi") - F.col("_vlo"))
-        parts.append(one.select(F.lit(float(q)).alias("q"), res.alias(out)))
-    result = parts[0]
-    for p_ in parts[1:]:
-        result = result.unionByName(p_)
-    return result
+    # One aggregate picks the target ranks of all quantiles (literals by quantile).
+    def of(k: int):
+        values = [p_[k] if k != 4 and k != 5 else p_[k] - p_[3] for p_ in plan]
+        return F.element_at(F.array(*[F.lit(v_) for v_ in values]), F.col("_q") + 1)
+
+    picked = [F.max(F.when((F.col("_first") <= of(k)) & (of(k) <= F.col("_last")), F.col("_x"))).alias(name)
+              for k, name in ((4, "_vlo"), (5, "_vhi"))]
+    one = ranks.groupBy("_q").agg(*picked)
+    res = F.when(of(6) == 0, F.col("_vlo")).otherwise(F.col("_vlo") + of(6) * (F.col("_vhi") - F.col("_vlo")))
+    return one.select(of(1).alias("q"), res.alias(out))
 
 
 def exact_quantile(df: DataFrame, value: str, q: float, out: str = "quantile",

@@ -55,7 +55,13 @@ def bias_table(stats: DataFrame) -> DataFrame:
 
 
 def score_range(df: DataFrame, col: str) -> DataFrame:
-    return df.agg(F.min(col).alias("min_value"), F.max(col).alias("max_value"))
+    """Smallest and largest value; NaN counts as no value."""
+    return df.agg(F.min(number(col)).alias("min_value"), F.max(number(col)).alias("max_value"))
+
+
+def number(col: str):
+    """The column with NaN as NULL (Spark ranks NaN above every number)."""
+    return F.when(~F.isnan(col), F.col(col))
 
 
 def score_percentile(df: DataFrame, col: str, q: float = N.CASCADE_QUANTILE) -> DataFrame:
@@ -73,7 +79,7 @@ def describe(df: DataFrame, col: str) -> DataFrame:
         F.count(col).cast("double").alias("count"),
         F.sum(F.when(F.col(col).isNull(), 1).otherwise(0)).cast("double").alias("null_count"),
         F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"),
-        F.min(col).cast("double").alias("min"), F.max(col).cast("double").alias("max"),
+        F.min(number(col)).cast("double").alias("min"), F.max(number(col)).cast("double").alias("max"),
     )
     qs = exact_quantiles(df, col, [0.25, 0.5, 0.75], interpolation="nearest", out="v")
     quart = scalars(qs.agg(*[F.max(F.when(F.col("q") == q, F.col("v"))).alias(name)
@@ -114,27 +120,29 @@ def quartile_cascade(df: DataFrame, col: str = N.MEAN_CORRECTED, q: float = N.CA
     vals = checkpoint(df.select(col), "cascade")
     cur = df
     cond = F.lit(True)
-    steps = []
+    steps: list[tuple[int, float]] = []
+    kept = []
     for r in range(1, rounds + 1):
         c = exact_quantile_value(vals.where(cond), col, q)
         if c is None:
             break
         cond = cond & (F.col(col) >= F.lit(c))
         cur = df.where(cond)
-        steps.append(cur.agg(F.count(F.lit(1)).alias("kept"))
-                     .select(F.lit(r).alias("round"), F.lit(c).alias("cutoff"), "kept"))
+        steps.append((r, c))
+        kept.append(F.sum(F.when(cond, 1).otherwise(0)).alias(f"k{r}"))
     if not steps:
         empty = df.sparkSession.range(0).select(F.lit(0).alias("round"),
                                                 F.lit(0.0).alias("cutoff"), F.lit(0).cast("long").alias("kept"))
         return cur, empty
-    summary = steps[0]
-    for s in steps[1:]:
-        summary = summary.unionByName(s)
-    return cur, summary
+    # What each round kept, in one pass over the written column.
+    counts = vals.agg(*kept).first()
+    rows = [(r, float(c), int(counts[f"k{r}"])) for r, c in steps]
+    return cur, df.sparkSession.createDataFrame(rows, "round int, cutoff double, kept long")
 
 
 def scale(df: DataFrame, col: str, method: str = "max", out: str | None = None) -> DataFrame:
-    """``x / max`` (default) or ``(x - min) / (max - min)``; a zero divisor gives NULL."""
+    """``x / max`` (default) or ``(x - min) / (max - min)``; a zero divisor
+    gives NULL. NaN is left out of min and max and stays NaN."""
     out = out or col
     rng = scalars(score_range(df, col))
     if method == "max":

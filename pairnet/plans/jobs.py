@@ -17,6 +17,7 @@ from pairnet.operators import export as E
 from pairnet.operators import ids as I
 from pairnet.operators import pairs as P
 from pairnet.operators import stats as S
+from pairnet.session import checkpoint
 from pairnet.sources import readers as R
 from pairnet.sources import sinks as K
 
@@ -38,8 +39,9 @@ def run_pipeline(spark: SparkSession, data_dir: str, threshold: float = N.CONFID
                  undirected: bool = False) -> Analysis:
     """Confident pairs -> protein statistics -> bias table."""
     pairs, conf = load_data(spark, data_dir)
-    confident = P.confident_pairs(pairs, conf, threshold, undirected)
-    stats = S.protein_stats(confident)
+    # Written once: four results are built from the first, two from the second.
+    confident = checkpoint(P.confident_pairs(pairs, conf, threshold, undirected), "confident")
+    stats = checkpoint(S.protein_stats(confident), "stats")
     return Analysis(S.bias_table(stats), stats, P.network_protein_count(confident), confident)
 
 

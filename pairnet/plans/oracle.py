@@ -41,13 +41,13 @@ WITH pairs_raw AS (
   FROM lineitem),
 pairs AS (SELECT * FROM pairs_raw WHERE af3_id1 IS NOT NULL AND af3_id2 IS NOT NULL),
 conf AS (
-  SELECT CAST(o_orderkey AS VARCHAR) AS name, CAST(o_custkey % 100 AS DOUBLE) / 100.0 AS ptm,
-    CAST(o_orderkey % 1000 AS DOUBLE) / 1000.0 AS iptm
-  FROM orders WHERE o_orderstatus <> 'P'),
+  SELECT CASE WHEN o_orderstatus = 'P' THEN 'x' ELSE '' END || CAST(o_orderkey AS VARCHAR) AS name,
+    CAST(o_custkey % 100 AS DOUBLE) / 100.0 AS ptm, CAST(o_orderkey % 1000 AS DOUBLE) / 1000.0 AS iptm
+  FROM orders),
 links AS (
-  SELECT '9.Q' || CAST(l_suppkey AS VARCHAR) AS protein1, '9.Q' || CAST(l_partkey AS VARCHAR) AS protein2,
+  SELECT CASE WHEN l_returnflag = 'A' THEN '9.Q' ELSE '9.X' END || CAST(l_suppkey AS VARCHAR) AS protein1, '9.Q' || CAST(l_partkey AS VARCHAR) AS protein2,
     CAST(floor(l_extendedprice) AS BIGINT) % 1000 AS combined_score
-  FROM lineitem WHERE l_returnflag = 'A'),
+  FROM lineitem),
 aliases AS (
   SELECT '9.Q' || CAST(p_partkey AS VARCHAR) AS string_id,
     CASE WHEN p_size % 2 = 0 THEN ' Q' || CAST(p_partkey AS VARCHAR) || ' ' ELSE 'Q' || CAST(p_partkey AS VARCHAR) END AS alias,
@@ -393,6 +393,20 @@ UNION ALL SELECT 3, c3, (SELECT count(*) FROM cascade3) FROM cutoffs""", ("cutof
                           f"AS average_precision FROM ({_CURVE}) c", ("average_precision",)),
 }
 
+_Q["confident_pairs_undirected"] = ("""
+SELECT af3_id1, af3_id2, chain_pair_iptm_best, chain_pair_iptm_mean, ptm, iptm FROM (
+  SELECT *, row_number() OVER (PARTITION BY least(af3_id1, af3_id2), greatest(af3_id1, af3_id2)
+    ORDER BY chain_pair_iptm_best DESC NULLS LAST, chain_pair_iptm_mean DESC NULLS LAST, name ASC NULLS LAST,
+    ptm DESC NULLS LAST, iptm DESC NULLS LAST) AS rn
+  FROM jc WHERE chain_pair_iptm_best >= 0.6) t
+WHERE rn = 1""", ("chain_pair_iptm_best", "chain_pair_iptm_mean", "ptm", "iptm"))
+
+_MEAN_CURVE = _CURVE.replace("chain_pair_iptm_best", "chain_pair_iptm_mean")
+_NEGATIVE_CURVE = _CURVE.replace(" AND combined_score IS NOT NULL", "")
+for _key, _curve in (("mean", _MEAN_CURVE), ("unscored_negative", _NEGATIVE_CURVE)):
+    for _name in ("roc_auc", "average_precision"):
+        _Q[f"{_name}_{_key}"] = (_Q[_name][0].replace(_CURVE, _curve), _Q[_name][1])
+
 
 def oracle_queries() -> dict[str, str]:
     out = {}

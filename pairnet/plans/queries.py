@@ -436,7 +436,7 @@ def q_interaction_counts(i):
 @query("histogram_iptm")
 def q_histogram_iptm(i):
     """Best score, one row per ordered pair, 30 bins."""
-    return PR.histogram(P.dedupe_runs(i.pairs().select(*PAIR_COLS)), N.BEST, 30)
+    return PR.histogram(P.dedupe_runs(i.pairs().select(*PAIR_COLS)), N.BEST, 30, materialize=True)
 
 
 @query("histogram_corrected")
@@ -458,7 +458,7 @@ def q_histogram_links(i):
 
 @query("histogram_interactions")
 def q_histogram_interactions(i):
-    return PR.histogram(P.interaction_counts(i.pairs()), "interaction_count", 30)
+    return PR.histogram(P.interaction_counts(i.pairs()), "interaction_count", 30, materialize=True)
 
 
 def _bias_for_box(i: Inputs) -> DataFrame:
@@ -597,3 +597,30 @@ def q_pr_curve(i):
 @query("average_precision")
 def q_average_precision(i):
     return C.average_precision(_cmp(i), N.BEST)
+
+
+@query("roc_auc_mean")
+def q_roc_auc_mean(i):
+    return C.roc_auc(_cmp(i), N.MEAN)
+
+
+@query("average_precision_mean")
+def q_average_precision_mean(i):
+    return C.average_precision(_cmp(i), N.MEAN)
+
+
+@query("roc_auc_unscored_negative")
+def q_roc_auc_unscored_negative(i):
+    """Pairs without evidence count as negatives."""
+    return C.roc_auc(_cmp(i), N.BEST, unscored="negative")
+
+
+@query("average_precision_unscored_negative")
+def q_average_precision_unscored_negative(i):
+    return C.average_precision(_cmp(i), N.BEST, unscored="negative")
+
+
+@query("confident_pairs_undirected")
+def q_confident_pairs_undirected(i):
+    """One row per unordered pair."""
+    return P.confident_pairs(i.pairs(), i.conf(), undirected=True)

@@ -51,8 +51,10 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def confidences(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
-    return o.where(F.col("o_orderstatus") != "P").select(
-        _s("o_orderkey").alias(N.NAME),
+    # Runs without a pair: their names are shifted out of the pairs' domain.
+    return o.select(
+        F.when(F.col("o_orderstatus") == "P", F.concat(F.lit("x"), _s("o_orderkey")))
+        .otherwise(_s("o_orderkey")).alias(N.NAME),
         ((F.col("o_custkey") % 100).cast("double") / 100.0).alias(N.PTM),
         ((F.col("o_orderkey") % 1000).cast("double") / 1000.0).alias(N.IPTM),
     )
@@ -60,8 +62,10 @@ def confidences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
-    return li.where(F.col("l_returnflag") == "A").select(
-        F.concat(F.lit("9.Q"), _s("l_suppkey")).alias(N.PROTEIN1),
+    # Links without a pair: their first id is shifted out of the pairs' domain.
+    first = F.when(F.col("l_returnflag") == "A", F.lit("9.Q")).otherwise(F.lit("9.X"))
+    return li.select(
+        F.concat(first, _s("l_suppkey")).alias(N.PROTEIN1),
         F.concat(F.lit("9.Q"), _s("l_partkey")).alias(N.PROTEIN2),
         (F.floor(F.col("l_extendedprice")).cast("bigint") % 1000).alias(N.COMBINED_SCORE),
     )

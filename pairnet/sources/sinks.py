@@ -1,8 +1,9 @@
 """Sinks: delimited text (header or not, any separator), Parquet, edge lists.
 
 A sink writes a directory of part files, one per partition, in parallel; no
-data passes through the driver. Text is written without trimming and with
-empty strings kept empty, so values round-trip unchanged.
+data passes through the driver. Text is written without trimming. An empty string
+is written as ``""`` and NULL as nothing; a reader whose ``nullValue`` isn't the
+empty string gets both back as they were. Without quoting (``quote=''``) a text file cannot tell them apart.
 """
 
 from __future__ import annotations
@@ -20,8 +21,9 @@ def write_delimited(df: DataFrame, path: str, sep: str = ",", header: bool = Tru
         .option("header", header)
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
-        .option("emptyValue", "")
     )
+    if quote == "":
+        w = w.option("emptyValue", "")
     if compression:
         w = w.option("compression", compression)
     if quote is not None:

@@ -28,8 +28,8 @@ def cmp(inp):
 
 def test_adapter_row_counts(inp):
     assert inp.pairs_raw().count() == 6000
-    assert inp.conf().count() == 1007
-    assert inp.links().count() == 1962
+    assert inp.conf().count() == 1500
+    assert inp.links().count() == 6000
     assert inp.aliases().count() == 218
     assert inp.info().count() == 200
     assert inp.pairs().count() == 5681
@@ -64,7 +64,7 @@ def test_confident_network(inp):
 
 def test_comparison(inp, cmp):
     assert P.comparison_pairs(inp.pairs()).count() == 5392
-    assert P.link_scores(inp.links()).count() == 1258
+    assert P.link_scores(inp.links()).count() == 2990
     assert cmp.count() == 3530
     assert cmp.where(F.col(N.COMBINED_SCORE).isNotNull()).count() == 2344
     assert P.network_table(cmp, N.BEST).count() == 710
