@@ -198,8 +198,11 @@ def spaced(tokens: list[str]) -> list[str]:
 
 def token_words(token: str, model: CharModel) -> list[str]:
     """The words of a lower-case token, as written and as restored."""
+    plain = token.strip(_EDGE)
+    words = [plain] if plain.isalpha() else _WORD.findall(token)
+    if len(words) == 1 and words[0] == plain and not _TRIPLE.search(plain):
+        return words
     core = suspect(token)
-    words = _WORD.findall(token)
     return words if core is None else [*words, restore(core, model)]
 
 
@@ -223,7 +226,7 @@ def restore_text(text: str, model: CharModel) -> str:
 
 
 def features(word: str) -> list[str]:
-    return [word, *(word[:n] + "~" for n in STEMS if len(word) > n)]
+    return [word, *[word[:n] + "~" for n in STEMS if len(word) > n]]
 
 
 # --- the model -------------------------------------------------------------------
@@ -236,8 +239,11 @@ class Toxicity:
 
     def strength(self, token: str, model: CharModel) -> float:
         """The log-odds of a token's strongest feature (0: none)."""
-        get = self.lexicon.get
-        return max((get(f, 0.0) for w in token_words(token, model) for f in features(w)), default=0.0)
+        get, best = self.lexicon.get, 0.0
+        for w in token_words(token, model):
+            for f in features(w):
+                best = max(best, get(f, 0.0))
+        return best
 
     def hits(self, texts: list[str], model: CharModel, kept: PieceCache) -> list[tuple[float, int]]:
         """Of each whole text the strongest feature's log-odds and the number
