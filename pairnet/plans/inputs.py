@@ -51,17 +51,27 @@ def stage_parquet_inputs(inp: Inputs) -> str:
     return d
 
 
+EVIDENCE = (N.LINKS_DATA_ID, N.ALIASES_DATA_ID, N.INFO_DATA_ID)
+
+
 def stage_text_inputs(inp: Inputs, gzip_links: bool = False,
                       alias_header: str = "#string_protein_id",
-                      info_header: str = "string_protein_id") -> str:
+                      info_header: str = "string_protein_id", only=EVIDENCE) -> str:
     """Links (space-separated), aliases and info (tab-separated, with the two
-    header variants) under the evidence file names; returns their folder."""
+    header variants) under the evidence file names, those of ``only``;
+    returns their folder."""
     d = stage_path(inp.spark, "text")
-    links_name = R.evidence_file_name(N.LINKS_DATA_ID, ORGANISM)
-    write_delimited(inp.links(), f"{d}/{links_name}" + (".gz" if gzip_links else ""), sep=" ",
-                    compression="gzip" if gzip_links else None)
-    write_delimited(inp.aliases().withColumnRenamed(N.STRING_ID, alias_header),
-                    f"{d}/{R.evidence_file_name(N.ALIASES_DATA_ID, ORGANISM)}", sep="\t", quote="")
-    write_delimited(inp.info().withColumnRenamed(N.STRING_ID, info_header),
-                    f"{d}/{R.evidence_file_name(N.INFO_DATA_ID, ORGANISM)}", sep="\t", quote="")
+
+    def path(data_id: str) -> str:
+        return f"{d}/{R.evidence_file_name(data_id, ORGANISM)}"
+
+    if N.LINKS_DATA_ID in only:
+        write_delimited(inp.links(), path(N.LINKS_DATA_ID) + (".gz" if gzip_links else ""), sep=" ",
+                        compression="gzip" if gzip_links else None)
+    if N.ALIASES_DATA_ID in only:
+        write_delimited(inp.aliases().withColumnRenamed(N.STRING_ID, alias_header),
+                        path(N.ALIASES_DATA_ID), sep="\t", quote="")
+    if N.INFO_DATA_ID in only:
+        write_delimited(inp.info().withColumnRenamed(N.STRING_ID, info_header),
+                        path(N.INFO_DATA_ID), sep="\t", quote="")
     return d

@@ -46,20 +46,23 @@ def run_pipeline(spark: SparkSession, data_dir: str, threshold: float = N.CONFID
 
 
 def read_evidence_set(spark: SparkSession, evidence_dir: str, organism: int | str = N.DEFAULT_ORGANISM,
-                      version: str = N.DEFAULT_VERSION) -> tuple[DataFrame, DataFrame, DataFrame]:
+                      version: str = N.DEFAULT_VERSION, partitions: int | None = None,
+                      strict: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(links, aliases, info) by their evidence file names."""
-    return (R.read_evidence(spark, evidence_dir, N.LINKS_DATA_ID, organism, version),
-            R.read_evidence(spark, evidence_dir, N.ALIASES_DATA_ID, organism, version),
-            R.read_evidence(spark, evidence_dir, N.INFO_DATA_ID, organism, version))
+    links, aliases, info = (
+        R.read_evidence(spark, evidence_dir, data_id, organism, version, partitions=partitions, strict=strict)
+        for data_id in (N.LINKS_DATA_ID, N.ALIASES_DATA_ID, N.INFO_DATA_ID))
+    return links, aliases, info
 
 
 def load_and_map_data(spark: SparkSession, data_dir: str, evidence_dir: str | None = None,
                       organism: int | str = N.DEFAULT_ORGANISM, version: str = N.DEFAULT_VERSION,
-                      normalize: bool = True) -> DataFrame:
+                      normalize: bool = True, partitions: int | None = None, strict: bool = False) -> DataFrame:
     """The score comparison: every mapped pair with its evidence score
-    (NULL when the evidence has no link for it)."""
+    (NULL when the evidence has no link for it). ``partitions`` spreads
+    evidence files that one task must read."""
     pairs, _ = load_data(spark, data_dir)
-    links, aliases, info = read_evidence_set(spark, evidence_dir or data_dir, organism, version)
+    links, aliases, info = read_evidence_set(spark, evidence_dir or data_dir, organism, version, partitions, strict)
     idmap = I.id_map(P.distinct_proteins(pairs), aliases, info, normalize)
     return P.compare_scores(pairs, links, idmap, normalize)
 

@@ -219,6 +219,9 @@ def _describe(src: str) -> str:
             f"(SELECT count(x) FROM v) AS n FROM v WHERE x IS NOT NULL) {parts}) d")
 
 
+_ROUND2 = f"SELECT p.{MC} AS x FROM pairs p, cutoffs c WHERE p.{MC} >= c.c1 AND p.{MC} >= c.c2"
+_WEIGHTS = f"SELECT CASE WHEN mx = 0 THEN NULL ELSE {MC} / mx END AS x FROM (SELECT {MC}, max({MC}) OVER () AS mx FROM cascade3) w"
+
 # key -> (SQL body after the prelude, double columns to round)
 _Q: dict[str, tuple[str, tuple[str, ...]]] = {
     # 2.1 scans
@@ -228,6 +231,9 @@ _Q: dict[str, tuple[str, tuple[str, ...]]] = {
     "read_aliases": ("SELECT string_id, alias, source FROM aliases", ()),
     "read_info": ("SELECT string_id, preferred_name, annotation FROM info", ()),
     "read_links_gz": ("SELECT protein1, protein2, combined_score FROM links", ()),
+    "read_links_strict": ("SELECT protein1, protein2, combined_score FROM links", ()),
+    "links_rejected": ("SELECT 'combined_score' AS \"column\", count(*) FILTER (WHERE combined_score IS NULL) AS rejected "
+                       "FROM links", ()),
     "read_evidence": ("SELECT regexp_replace(protein1, '^9\\.', '') AS protein1, "
                       "regexp_replace(protein2, '^9\\.', '') AS protein2, combined_score FROM links", ()),
     "strip_prefix": ("SELECT regexp_replace(string_id, '^9\\.', '') AS string_id, alias, source FROM aliases", ()),
@@ -293,6 +299,10 @@ _Q: dict[str, tuple[str, tuple[str, ...]]] = {
                     ("min_value", "max_value")),
     "score_percentile": (f"SELECT quantile_cont({MC}, 0.75) AS percentile FROM pairs", ("percentile",)),
     "describe_score": (_describe(f"SELECT {MC} AS x FROM pairs"), ("value",)),
+    "describe_cascade1": (_describe(f"SELECT {MC} AS x FROM pairs WHERE {MC} >= (SELECT c1 FROM cutoffs)"), ("value",)),
+    "describe_cascade2": (_describe(_ROUND2), ("value",)),
+    "describe_cascade3": (_describe(f"SELECT {MC} AS x FROM cascade3"), ("value",)),
+    "describe_weights": (_describe(_WEIGHTS), ("value",)),
     "distinct_pairs": ("SELECT * FROM pairs2", SCORES4),
     "distinct_links": ("SELECT DISTINCT protein1, protein2, combined_score FROM links", ()),
     "dedupe_runs": (_DEDUPE_RUNS, SCORES4),
@@ -317,6 +327,9 @@ _Q: dict[str, tuple[str, tuple[str, ...]]] = {
     "histogram_corrected": (_hist(f"SELECT {MC} AS x FROM pairs_raw", 100_000), ("bin_start", "bin_end")),
     "histogram_top_quartile": (_hist(f"SELECT {MC} AS x FROM pairs WHERE {MC} >= (SELECT c1 FROM cutoffs)", 100_000),
                                ("bin_start", "bin_end")),
+    "histogram_cascade2": (_hist(_ROUND2, 100_000), ("bin_start", "bin_end")),
+    "histogram_cascade3": (_hist(f"SELECT {MC} AS x FROM cascade3", 50_000), ("bin_start", "bin_end")),
+    "histogram_weights": (_hist(_WEIGHTS, 50_000), ("bin_start", "bin_end")),
     "histogram_links": (_hist("SELECT combined_score AS x FROM links", 30), ("bin_start", "bin_end")),
     "histogram_interactions": (_hist(
         "SELECT count(*) AS x FROM (SELECT af3_id1 AS protein_id FROM pairs UNION ALL SELECT af3_id2 FROM pairs) u "

@@ -80,6 +80,11 @@ def _cmp(i: Inputs) -> DataFrame:
     return P.compare_scores(i.pairs(), i.links(), _idmap(i))
 
 
+def _cascade(i: Inputs, rounds: int) -> DataFrame:
+    """The score column of what ``rounds`` cut-offs leave."""
+    return S.quartile_cascade(i.pairs(), rounds=rounds)[0].select(N.MEAN_CORRECTED)
+
+
 def _bias(i: Inputs) -> DataFrame:
     return S.bias_table(_stats(i))
 
@@ -98,39 +103,54 @@ def q_read_confidences(i):
 
 @query("read_links")
 def q_read_links(i):
-    d = stage_text_inputs(i)
+    d = stage_text_inputs(i, only=[N.LINKS_DATA_ID])
     return R.read_links(i.spark, f"{d}/{R.evidence_file_name(N.LINKS_DATA_ID, ORGANISM)}")
 
 
 @query("read_aliases")
 def q_read_aliases(i):
-    d = stage_text_inputs(i)
+    d = stage_text_inputs(i, only=[N.ALIASES_DATA_ID])
     return R.read_aliases(i.spark, f"{d}/{R.evidence_file_name(N.ALIASES_DATA_ID, ORGANISM)}")
 
 
 @query("read_info")
 def q_read_info(i):
-    d = stage_text_inputs(i)
+    d = stage_text_inputs(i, only=[N.INFO_DATA_ID])
     return R.read_info(i.spark, f"{d}/{R.evidence_file_name(N.INFO_DATA_ID, ORGANISM)}")
 
 
 @query("read_links_gz")
 def q_read_links_gz(i):
-    d = stage_text_inputs(i, gzip_links=True)
+    d = stage_text_inputs(i, gzip_links=True, only=[N.LINKS_DATA_ID])
     return R.read_links(i.spark, f"{d}/{R.evidence_file_name(N.LINKS_DATA_ID, ORGANISM)}.gz")
 
 
+@query("read_links_strict")
+def q_read_links_strict(i):
+    """As ``read_links``, but a malformed row or score would fail the job."""
+    d = stage_text_inputs(i, only=[N.LINKS_DATA_ID])
+    return R.read_links(i.spark, f"{d}/{R.evidence_file_name(N.LINKS_DATA_ID, ORGANISM)}", strict=True)
+
+
+@query("links_rejected")
+def q_links_rejected(i):
+    """How many scores of the links file aren't whole numbers."""
+    d = stage_text_inputs(i, only=[N.LINKS_DATA_ID])
+    raw = R.read_delimited(i.spark, f"{d}/{R.evidence_file_name(N.LINKS_DATA_ID, ORGANISM)}", " ", quote="")
+    return R.rejected_values(raw, R.score_columns(raw))
+
+
 @query("read_evidence")
 def q_read_evidence(i):
     """Links by data id, gzipped copy picked up, organism prefix removed."""
-    d = stage_text_inputs(i, gzip_links=True)
+    d = stage_text_inputs(i, gzip_links=True, only=[N.LINKS_DATA_ID])
     return R.read_evidence(i.spark, d, N.LINKS_DATA_ID, organism=ORGANISM,
-                           clean=[N.PROTEIN1, N.PROTEIN2])
+                           clean=[N.PROTEIN1, N.PROTEIN2], partitions=8)
 
 
 @query("strip_prefix")
 def q_strip_prefix(i):
-    d = stage_text_inputs(i)
+    d = stage_text_inputs(i, only=[N.ALIASES_DATA_ID])
     df = R.read_evidence(i.spark, d, N.ALIASES_DATA_ID, organism=ORGANISM)
     return df.select(strip_prefix(N.STRING_ID, ORGANISM).alias(N.STRING_ID), N.ALIAS, N.SOURCE)
 
@@ -385,6 +405,27 @@ def q_describe_score(i):
     return S.describe(i.pairs(), N.MEAN_CORRECTED)
 
 
+@query("describe_cascade1")
+def q_describe_cascade1(i):
+    return S.describe(_cascade(i, 1), N.MEAN_CORRECTED)
+
+
+@query("describe_cascade2")
+def q_describe_cascade2(i):
+    return S.describe(_cascade(i, 2), N.MEAN_CORRECTED)
+
+
+@query("describe_cascade3")
+def q_describe_cascade3(i):
+    return S.describe(_cascade(i, 3), N.MEAN_CORRECTED)
+
+
+@query("describe_weights")
+def q_describe_weights(i):
+    """The last survivors' scores over their maximum."""
+    return S.describe(S.scale(_cascade(i, 3), N.MEAN_CORRECTED), N.MEAN_CORRECTED)
+
+
 @query("distinct_pairs")
 def q_distinct_pairs(i):
     return P.comparison_pairs(i.pairs())
@@ -451,6 +492,24 @@ def q_histogram_top_quartile(i):
     return PR.histogram(S.filter_top_quantile(i.pairs()), N.MEAN_CORRECTED, 100_000)
 
 
+@query("histogram_cascade2")
+def q_histogram_cascade2(i):
+    """Second cascade round's survivors, 100 000 bins."""
+    return PR.histogram(_cascade(i, 2), N.MEAN_CORRECTED, 100_000)
+
+
+@query("histogram_cascade3")
+def q_histogram_cascade3(i):
+    """Third cascade round's survivors, 50 000 bins."""
+    return PR.histogram(_cascade(i, 3), N.MEAN_CORRECTED, 50_000)
+
+
+@query("histogram_weights")
+def q_histogram_weights(i):
+    """The last survivors' scores over their maximum, 50 000 bins."""
+    return PR.histogram(S.scale(_cascade(i, 3), N.MEAN_CORRECTED), N.MEAN_CORRECTED, 50_000)
+
+
 @query("histogram_links")
 def q_histogram_links(i):
     return PR.histogram(i.links(), N.COMBINED_SCORE, 30)

@@ -10,10 +10,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Paths handed out inside the innermost ``intermediate_tables`` block.
+_made: ContextVar[list[str] | None] = ContextVar("pairnet_made", default=None)
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   app: str = "pairnet", driver_memory: str = "8g") -> SparkSession:
     """A local session with AQE on and the UI off (tests and bench only)."""
@@ -64,7 +71,29 @@ def shared_dir(spark: SparkSession) -> str:
 def stage_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder for files a job writes and reads."""
     base = shared_dir(spark).rstrip("/")
-    return f"{base}/stage-{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base}/stage-{name}-{uuid.uuid4().hex[:12]}"
+    made = _made.get()
+    if made is not None:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def intermediate_tables(spark: SparkSession) -> Iterator[None]:
+    """Removes, at the end of the block, the folders that ``stage_path`` and
+    ``checkpoint`` handed out inside it (and nothing else), through the
+    session's Hadoop file system. DataFrames built inside must have been
+    written elsewhere, or used, before the block ends."""
+    token = _made.set([])
+    try:
+        yield
+    finally:
+        paths = _made.get() or []
+        _made.reset(token)
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in paths:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
 
 
 def checkpoint(df: DataFrame, name: str = "ckpt") -> DataFrame:

@@ -2,8 +2,10 @@
 files (links, aliases, info), plain or gzipped.
 
 Text files are read with every column as a string (no schema-inference pass
-over the data) and the numeric columns are cast afterwards with
-``try_cast``, so one malformed value gives NULL instead of a failed job.
+over the data) and the numeric columns are cast afterwards. By default with
+``try_cast``: a malformed value gives NULL, and ``rejected_values`` counts such
+values. ``strict=True`` fails the job instead, also for a row with a wrong
+number of fields.
 """
 
 from __future__ import annotations
@@ -33,7 +35,8 @@ def _parquet_path(path: str, default_name: str) -> str:
     return f"{path.rstrip('/')}/{default_name}"
 
 
-def read_delimited(spark: SparkSession, path: str, sep: str, quote: str | None = None) -> DataFrame:
+def read_delimited(spark: SparkSession, path: str, sep: str, quote: str | None = None,
+                   strict: bool = False) -> DataFrame:
     """Delimited text with a header row; every column read as a string.
 
     ``quote=''`` turns quoting off: tab files carry free text in which a lone
@@ -42,7 +45,7 @@ def read_delimited(spark: SparkSession, path: str, sep: str, quote: str | None =
     reader = (
         spark.read.option("header", True)
         .option("sep", sep)
-        .option("mode", "PERMISSIVE")
+        .option("mode", "FAILFAST" if strict else "PERMISSIVE")
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
     )
@@ -51,20 +54,36 @@ def read_delimited(spark: SparkSession, path: str, sep: str, quote: str | None =
     return reader.csv(path)
 
 
-def cast_longs(df: DataFrame, cols) -> DataFrame:
-    return df.withColumns({c: F.col(f"`{c}`").try_cast("bigint") for c in cols})
+def cast_longs(df: DataFrame, cols, strict: bool = False) -> DataFrame:
+    """Whole numbers; with ``strict`` a malformed one fails the job (ANSI cast)."""
+    return df.withColumns({c: F.col(f"`{c}`").cast("bigint") if strict else F.col(f"`{c}`").try_cast("bigint")
+                           for c in cols})
 
 
-def read_links(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
+def rejected_values(df: DataFrame, cols) -> DataFrame:
+    """One row per column of an uncast table: ``column``, ``rejected`` (values
+    that are there but aren't whole numbers). One aggregate over the rows."""
+    one = df.agg(*[F.count_if(F.col(f"`{c}`").isNotNull() & F.col(f"`{c}`").try_cast("bigint").isNull()).alias(c)
+                   for c in cols])
+    return one.unpivot([], [F.col(f"`{c}`") for c in cols], "column", "rejected")
+
+
+def _spread(df: DataFrame, partitions: int | None) -> DataFrame:
+    return df.repartition(partitions) if partitions else df
+
+
+def score_columns(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if c not in (N.PROTEIN1, N.PROTEIN2)]
+
+
+def read_links(spark: SparkSession, path: str, partitions: int | None = None, strict: bool = False) -> DataFrame:
     """Space-separated links file: ``protein1 protein2 <scores..> combined_score``.
 
     A gzipped file is read by one task (gzip cannot be split);
     ``partitions`` spreads the rows right after the scan so that the work
     downstream runs in parallel (better still: convert once to Parquet)."""
-    df = read_delimited(spark, path, " ")
-    scores = [c for c in df.columns if c not in (N.PROTEIN1, N.PROTEIN2)]
-    df = cast_longs(df, scores)
-    return df.repartition(partitions) if partitions else df
+    df = _spread(read_delimited(spark, path, " ", quote="", strict=strict), partitions)
+    return cast_longs(df, score_columns(df), strict)
 
 
 def rename_string_id(df: DataFrame) -> DataFrame:
@@ -75,16 +94,15 @@ def rename_string_id(df: DataFrame) -> DataFrame:
     return df
 
 
-def read_aliases(spark: SparkSession, path: str) -> DataFrame:
+def read_aliases(spark: SparkSession, path: str, partitions: int | None = None, strict: bool = False) -> DataFrame:
     """Tab-separated alias file -> ``string_id, alias, source``."""
-    return rename_string_id(read_delimited(spark, path, "\t", quote=""))
+    return _spread(rename_string_id(read_delimited(spark, path, "\t", quote="", strict=strict)), partitions)
 
 
-def read_info(spark: SparkSession, path: str) -> DataFrame:
+def read_info(spark: SparkSession, path: str, partitions: int | None = None, strict: bool = False) -> DataFrame:
     """Tab-separated info file -> ``string_id, preferred_name, annotation, ..``."""
-    df = rename_string_id(read_delimited(spark, path, "\t", quote=""))
-    numeric = [c for c in df.columns if c == "protein_size"]
-    return cast_longs(df, numeric)
+    df = _spread(rename_string_id(read_delimited(spark, path, "\t", quote="", strict=strict)), partitions)
+    return cast_longs(df, [c for c in df.columns if c == "protein_size"], strict)
 
 
 def evidence_file_name(data_id: str, organism: int | str = N.DEFAULT_ORGANISM,
@@ -94,25 +112,26 @@ def evidence_file_name(data_id: str, organism: int | str = N.DEFAULT_ORGANISM,
 
 def read_evidence(spark: SparkSession, directory: str, data_id: str = N.LINKS_DATA_ID,
                   organism: int | str = N.DEFAULT_ORGANISM, version: str = N.DEFAULT_VERSION,
-                  clean=None) -> DataFrame:
+                  clean=None, partitions: int | None = None, strict: bool = False) -> DataFrame:
     """Evidence table by data id: the file name is built from organism, data id
     and version; ``.txt.gz`` is used when only the gzipped copy exists.
 
     Aliases and info are tab-separated, everything else space-separated.
-    ``clean`` lists columns from which the ``<organism>.`` prefix is removed.
+    ``clean`` lists columns from which the ``<organism>.`` prefix is removed;
+    ``partitions`` spreads the rows of a file that one task must read (``.gz``).
     """
     name = evidence_file_name(data_id, organism, version)
     path = f"{directory.rstrip('/')}/{name}"
     if not path_exists(spark, path) and path_exists(spark, path + ".gz"):
         path = path + ".gz"
     if data_id == N.ALIASES_DATA_ID:
-        df = read_aliases(spark, path)
+        df = read_aliases(spark, path, partitions, strict)
     elif data_id == N.INFO_DATA_ID:
-        df = read_info(spark, path)
+        df = read_info(spark, path, partitions, strict)
     elif data_id in N.TAB_SEPARATED:
-        df = read_delimited(spark, path, "\t", quote="")
+        df = _spread(read_delimited(spark, path, "\t", quote="", strict=strict), partitions)
     else:
-        df = read_links(spark, path)
+        df = read_links(spark, path, partitions, strict)
     if clean:
         df = df.withColumns({c: strip_prefix(F.col(f"`{c}`"), organism) for c in clean})
     return df

@@ -4,6 +4,7 @@ import gzip
 import math
 import os
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
@@ -124,6 +125,66 @@ def test_gzip_links(spark):
     assert sorted(r[N.COMBINED_SCORE] for r in df.collect()) == [150, 500]
 
 
+BAD_LINKS = "protein1 protein2 combined_score\n4932.A 4932.B 500\n4932.B 4932.C x1\n4932.C 4932.D\n"
+
+
+def test_malformed_scores_are_null_and_counted(spark):
+    d = _local_dir(spark, "bad")
+    with open(f"{d}/links.txt", "w") as f:
+        f.write(BAD_LINKS)
+    assert sorted((r[N.COMBINED_SCORE] for r in R.read_links(spark, f"{d}/links.txt").collect()),
+                  key=lambda x: x or 0) == [None, None, 500]
+    raw = R.read_delimited(spark, f"{d}/links.txt", " ", quote="")
+    assert [tuple(r) for r in R.rejected_values(raw, R.score_columns(raw)).collect()] == [(N.COMBINED_SCORE, 1)]
+
+
+@pytest.mark.parametrize("row", ["4932.B 4932.C x1", "4932.C 4932.D"])
+def test_strict_links_fail_on_a_malformed_row(spark, row):
+    d = _local_dir(spark, "strict")
+    with open(f"{d}/links.txt", "w") as f:
+        f.write(f"protein1 protein2 combined_score\n4932.A 4932.B 500\n{row}\n")
+    with pytest.raises(Exception, match="MALFORMED|CAST_INVALID"):
+        R.read_links(spark, f"{d}/links.txt", strict=True).collect()
+
+
+def test_links_with_a_lone_quote(spark):
+    d = _local_dir(spark, "quote")
+    with open(f"{d}/links.txt", "w") as f:
+        f.write('protein1 protein2 combined_score\n"A 4932.B 500\n4932.B C" 150\n')
+    assert sorted(tuple(r) for r in R.read_links(spark, f"{d}/links.txt").collect()) == \
+        [('"A', "4932.B", 500), ("4932.B", 'C"', 150)]
+
+
+@pytest.mark.parametrize("data_id", [N.LINKS_DATA_ID, N.ALIASES_DATA_ID, N.INFO_DATA_ID])
+def test_single_gz_of_each_kind_is_spread(spark, data_id):
+    d = _local_dir(spark, "gzkinds")
+    sep = " " if data_id == N.LINKS_DATA_ID else "\t"
+    with gzip.open(f"{d}/{R.evidence_file_name(data_id, 4932)}.gz", "wt") as f:
+        f.write(sep.join(["protein1", "protein2", "combined_score"]) + "\n")
+        f.writelines(sep.join([f"a{i}", f"b{i}", str(i)]) + "\n" for i in range(40))
+    df = R.read_evidence(spark, d, data_id, organism=4932, partitions=3)
+    assert df.rdd.getNumPartitions() == 3 and df.count() == 40
+
+
+def test_intermediate_tables_are_removed_after_a_job(spark):
+    from pairnet.session import checkpoint, intermediate_tables
+
+    kept = stage_path(spark, "kept")
+    spark.range(3).write.parquet(kept)
+    with intermediate_tables(spark):
+        inner = stage_path(spark, "inner")
+        checkpoint(spark.range(5), "tmp").write.parquet(inner)
+        out = checkpoint(spark.range(4), "own")
+        files = out.inputFiles()
+        with intermediate_tables(spark):
+            nested = stage_path(spark, "nested")
+            spark.range(2).write.parquet(nested)
+        assert not R.path_exists(spark, nested) and R.path_exists(spark, inner)
+    assert not R.path_exists(spark, inner)
+    assert files and not any(R.path_exists(spark, f) for f in files)
+    assert R.path_exists(spark, kept)
+
+
 def test_read_evidence_by_id_picks_gz_and_cleans(spark):
     d = _local_dir(spark, "ev")
     name = R.evidence_file_name(N.LINKS_DATA_ID, 4932)
