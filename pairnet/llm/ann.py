@@ -10,8 +10,9 @@ A query walks a cell's leaves by increasing projected distance and verifies
 their vectors with the real inner products. The squared projected distance of
 a vector over its squared real distance is chi-square distributed, so the walk
 ends once a vector nearer than the k-th found would have a projection that far
-away with probability under 1 - ``CONFIDENCE``. The first round searches a
-query's own cell; the second every cell that this test does not exclude.
+away with probability under 1 - ``CONFIDENCE``. Cells are visited in rounds
+by increasing projected distance: the nearest first, then ``WIDER`` times as
+many as before, without those that the test excludes by the bound so far.
 
 Equal vectors are one entry with their smallest ids. Every vector is indexed;
 only the cells' borders come from the sample.
@@ -36,8 +37,8 @@ CONFIDENCE = 0.97
 SEED = 20240611
 #: Vectors a cell and its parts hold, most cells (so their boxes stay small),
 #: vectors of a leaf, sampled projections for the cells' borders, queries that
-#: visit a cell together.
-CELL, PART, MOST_CELLS, LEAF, SAMPLE, VISITORS = 1024, 1 << 16, 4096, 32, 1 << 16, 4096
+#: visit a cell together, cells of a round to those of all before.
+CELL, PART, MOST_CELLS, LEAF, SAMPLE, VISITORS, WIDER = 1024, 1 << 16, 4096, 32, 1 << 16, 4096, 4
 
 
 def chi_square_quantile(p: float, freedom: int) -> float:
@@ -118,7 +119,8 @@ def box_distance(q: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray
 
 def search_cell(tree: Tree, vectors: np.ndarray, q: np.ndarray, pq: np.ndarray, k: int, bound: float,
                 far: float, factor: float) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and inner products of the cell's ``k`` best for one query.
+    """Positions and inner products of the cell's ``k`` best for one query,
+    none below ``bound``.
 
     ``bound``: the k-th best inner product known (-inf: none); ``far``: M^2 +
     |q|^2, so that far - 2 * product is a squared distance; ``factor``: the
@@ -140,7 +142,8 @@ def search_cell(tree: Tree, vectors: np.ndarray, q: np.ndarray, pq: np.ndarray,
         if len(found) >= k:
             bound = max(bound, float(scores.min()))
         at, step = at + step, min(64, step * 2)
-    return found, scores
+    fine = scores >= bound
+    return found[fine], scores[fine]
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
@@ -200,30 +203,24 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id
     names, low, high = boxes["cell"].to_numpy(), np.stack(boxes["low"]), np.stack(boxes["high"])
     factor = chi_square_quantile(CONFIDENCE, PROJECTED)
 
-    def route(first: bool):
-        """Queries (id, v, bound) to their own cell, or to all others that the
-        chi-square test doesn't exclude."""
+    def route(first: int, end: int):
+        """Queries (id, v, bound) to the cells that are ``first`` to ``end`` in
+        their order of projected distance, but for those that the chi-square
+        test excludes."""
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
                 for lo in range(0, len(f), 1000):
                     g = f[lo:lo + 1000]
-                    x = np.stack(g["v"])
+                    x, bound = np.stack(g["v"]), g["bound"].to_numpy()
                     p, far = projected(x, None), largest ** 2 + (x * x).sum(1)
                     d = np.stack([box_distance(q, low, high) for q in p])
-                    own = d.argmin(1)
-                    if first:
-                        at, cell = np.arange(len(g)), own
-                    else:
-                        reach = factor * np.maximum(0, far - 2 * g["bound"].to_numpy())
-                        visit = ~(d > np.where(np.isneginf(g["bound"]), np.inf, reach)[:, None])
-                        visit[np.arange(len(g)), own] = False
-                        at, cell = np.nonzero(visit)
-                    yield pd.DataFrame({"cell": names[cell], "id": g["id"].to_numpy()[at],
-                                        "bound": g["bound"].to_numpy()[at]})
+                    near = np.argsort(d, axis=1, kind="stable")[:, first:end]
+                    reach = np.where(np.isneginf(bound), np.inf, factor * np.maximum(0, far - 2 * bound))
+                    at, nth = np.nonzero(np.take_along_axis(d, near, 1) <= reach[:, None])
+                    yield pd.DataFrame({"cell": names[near[at, nth]], "id": g["id"].to_numpy()[at], "bound": bound[at]})
         return run
 
-    def visit(asked_: DataFrame, first: bool) -> DataFrame:
-        routed = checkpoint(asked_.mapInPandas(route(first), "cell long, id long, bound double"), "visits")
+    def visit(routed: DataFrame) -> DataFrame:
         # At most MOST_CELLS rows: how many slices of visitors a cell gets.
         load = checkpoint(routed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / VISITORS).cast("int").alias("slices")))
         slice_ = F.pmod(F.xxhash64("id"), F.col("slices")).cast("int")
@@ -255,13 +252,19 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id
     def kept(found: DataFrame) -> DataFrame:
         return found.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k + 1)
 
-    none = F.lit(float("-inf"))
-    home = checkpoint(kept(visit(asked.withColumn("bound", none), True)), "home")
-    bound = home.groupBy("id").agg(F.min("score").alias("b"), F.count(F.lit(1)).alias("n")) \
-        .select("id", F.when(F.col("n") > k, F.col("b")).otherwise(none).alias("bound"))
-    known = asked.join(bound, "id", "left").select("id", "v", F.coalesce("bound", none).alias("bound"))
-    away = visit(known, False)
-    top = checkpoint(kept(home.select("id", "rep", "score").unionByName(away)).select("id", "rep", "score"), "top")
+    # Rounds over ever more cells: each one's bounds keep the next from
+    # returning what can't be among the nearest, so a query's rows grow with
+    # the number of rounds, not of cells.
+    top, first, end = spark.createDataFrame([], "id long, rep long, score double"), 0, 1
+    while first < len(names):
+        bound = top.groupBy("id").agg(F.min("score").alias("b"), F.count(F.lit(1)).alias("n")) \
+            .select("id", F.when(F.col("n") > k, F.col("b")).alias("bound"))
+        known = asked.join(bound, "id", "left").select("id", "v", F.coalesce("bound", F.lit(float("-inf"))).alias("bound"))
+        routed = checkpoint(known.mapInPandas(route(first, end), "cell long, id long, bound double"), "visits")
+        if routed.isEmpty():
+            break  # all that is left is farther
+        top = checkpoint(kept(top.unionByName(visit(routed))).select("id", "rep", "score"), "top")
+        first, end = end, end * WIDER
     ids = entries.select("rep", F.explode("ids").alias("vec_id"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.col("score").desc(), "vec_id"))
     return top.join(ids, "rep").where(F.col("vec_id") != F.col("id")).withColumn("rank", rank) \
