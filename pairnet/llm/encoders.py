@@ -15,7 +15,7 @@ from __future__ import annotations
 import json
 import os
 from array import array
-from itertools import chain, filterfalse
+from itertools import filterfalse
 
 #: Parts kept in each of the two generations of the cache (about 200 bytes each).
 CACHE_PARTS = 250_000
@@ -58,6 +58,45 @@ def _le32(ids) -> bytes:
     return array("I", ids).tobytes()
 
 
+class SpaceInFront(Exception):
+    """A space before other white space: not a boundary of words."""
+
+
+class Parts(dict):
+    """Ids of parts after ``lead`` (a space, or nothing at a text's start),
+    computed when first asked for. Two generations: what was used since the
+    last turn survives a turn."""
+
+    def __init__(self, encoder: Encoder, lead: str):
+        super().__init__()
+        self.encoder, self.lead, self.before = encoder, lead, {}
+
+    def turn(self) -> None:
+        if len(self) > CACHE_PARTS:
+            self.before = dict(self)
+            self.clear()
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self.before.get(part)
+        if ids is None:
+            ids = self._ids(part)
+        self[part] = ids
+        return ids
+
+    def _ids(self, part: str) -> bytes:
+        """A word of letters is one pre-token, which the library's model
+        merges alone; marks after it are pre-tokens of their own."""
+        enc, core = self.encoder, part.rstrip(MARKS)
+        if core.isalpha() and (core.isascii() or max(core) < SETTLED):
+            if len(core) < len(part):
+                return self[core] + enc.tail(part[len(core):])
+            spelt = core if core.isascii() else core.encode().decode("latin-1").translate(enc.letters)
+            return _le32([t.id for t in enc.merge((enc.letters[32] if self.lead else "") + spelt)])
+        if self.lead and part[:1].isspace():
+            raise SpaceInFront
+        return enc.direct([self.lead + part])[0]
+
+
 class Encoder:
     """``encode(texts)`` gives each text's ids as little-endian unsigned
     32-bit bytes, equal to ``Tokenizer.encode(text, add_special_tokens=False)``."""
@@ -78,61 +117,36 @@ class Encoder:
             and not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized")
                         for t in spec.get("added_tokens") or [])
         )
-        self.cache, self.tails, self.letters = PieceCache(), {"": b""}, byte_letters()
-
-    def _words(self, lost: list[str]) -> dict[str, bytes]:
-        """Parts that are a word of letters, with or without marks after it:
-        the word is one pre-token, which the library's model merges alone."""
-        out, kept, tails, merge = {}, self.cache.now, self.tails, self.tok.model.tokenize
-        for p in lost:
-            core = p.rstrip(MARKS)
-            if not core.isalpha() or not (core.isascii() or max(core) < SETTLED):
-                continue
-            ids = kept.get(core) or out.get(core)
-            if ids is None:
-                spelt = (" " + core).encode().decode("latin-1").translate(self.letters)
-                ids = out[core] = _le32([t.id for t in merge(spelt)])
-            if len(core) < len(p):
-                tail = p[len(core):]
-                if tail not in tails:
-                    if len(tails) > 10_000:
-                        tails.clear()
-                    tails[tail] = self._direct([tail])[0]
-                out[p] = ids + tails[tail]
-        return out
-
-    def _direct(self, texts: list[str]) -> list[bytes]:
+        self.merge, self.letters, self.tails = self.tok.model.tokenize, byte_letters(), {}
+        self.heads, self.rest = Parts(self, ""), Parts(self, " ")
+
+    def tail(self, marks: str) -> bytes:
+        """Ids of marks that end a word."""
+        if marks not in self.tails:
+            if len(self.tails) > 10_000:
+                self.tails.clear()
+            self.tails[marks] = self.direct([marks])[0]
+        return self.tails[marks]
+
+    def direct(self, texts: list[str]) -> list[bytes]:
         return [_le32(e.ids) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
-        split, whole = {}, []
+        self.heads.turn()
+        self.rest.turn()
+        first, get, whole = self.heads.__getitem__, self.rest.__getitem__, []
         for i, t in enumerate(texts):
             if not self.cached or "  " in t or t[-1:] == " " or any(s in t for s in self.special):
                 whole.append(i)
-            else:
-                head, *rest = t.split(" ")
-                split[i] = (head, rest)
-        lost = self.cache.missing(chain.from_iterable(rest for _, rest in split.values()))
-        odd = {p for p in lost if p[:1].isspace()}
-        if odd:  # a space before other white space: not a boundary of words
-            for i in [i for i, (_, rest) in split.items() if not odd.isdisjoint(rest)]:
+                continue
+            head, *rest = t.split(" ")
+            try:
+                out[i] = (first(head) if head else b"") + b"".join(map(get, rest))
+            except SpaceInFront:
                 whole.append(i)
-                del split[i]
-            lost -= odd
-        lost, kept = sorted(lost), self.cache.now
-        kept.update(self._words(lost))
-        lost = [p for p in lost if p not in kept]
-        heads = list(dict.fromkeys(h for h, _ in split.values() if h))
-        ids = self._direct([" " + p for p in lost] + heads)
-        kept.update(zip(lost, ids))
-        first = dict(zip(heads, ids[len(lost):]))
-        first[""] = b""
-        get = kept.__getitem__
-        for i, (head, rest) in split.items():
-            out[i] = first[head] + b"".join(map(get, rest))
         if whole:
-            for i, x in zip(whole, self._direct([texts[i] for i in whole])):
+            for i, x in zip(whole, self.direct([texts[i] for i in whole])):
                 out[i] = x
         return out
 

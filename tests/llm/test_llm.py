@@ -166,10 +166,13 @@ def test_token_counts_equal_the_library(spark):
     assert token_count.token_counts(edge(spark).limit(0), PIECES).count() == 0
 
 
-def test_encoder_equals_the_library(spark):
+def test_encoder_equals_the_library(spark, monkeypatch):
     enc = Encoder(BPE)
-    enc.cache = PieceCache(50)  # generations turn over
+    monkeypatch.setattr("pairnet.llm.encoders.CACHE_PARTS", 50)  # generations turn over
     texts = [t or "" for t in EDGE_TEXTS] + [r["text"] for r in small(spark).limit(60).collect()]
+    rng = np.random.default_rng(4)
+    bits = ["a", "B", "\u00e9", "\n", "\t", " ", " ", "  ", ".", ",", "'s", "1", "word", "\u4e2d", "-", "\u00a0", "<|endoftext|>"]
+    texts += ["".join(rng.choice(bits, rng.integers(0, 14))) for _ in range(3000)]
     for k in range(0, len(texts), 7):
         part = texts[k:k + 7]
         want = [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in enc.tok.encode_batch(part, add_special_tokens=False)]
