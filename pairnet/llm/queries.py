@@ -55,7 +55,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_groups(documents(spark, sf_dir), 4, 4)
+    return simhash.near_groups(documents(spark, sf_dir), 4, 4).select("doc_id", "fingerprint", "component_id")
 
 
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,8 +25,9 @@ from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from pairnet.llm.common import atoms, narrow, nested, parts_for, quoted, shuffle_parts, text_batches
 from pairnet.llm.components import components
@@ -270,8 +271,10 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
 
 def near_groups(docs: DataFrame, size: int = 4, radius: int = 4, id_col: str = "doc_id",
                 text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``fingerprint`` (16 hexadecimal digits) and ``component_id``
-    (the smallest ``doc_id`` reachable over links) of every row.
+    """``doc_id``, ``fingerprint`` (16 hexadecimal digits), ``component_id``
+    (the smallest ``doc_id`` reachable over links) and ``component`` (the
+    fingerprint that names the component, also where ids are null or shared) of
+    every row.
 
     Null and empty texts have the fingerprint zero and link like others.
     Repeated rows are in one component. A null id stays null and never names
@@ -285,17 +288,35 @@ def near_groups(docs: DataFrame, size: int = 4, radius: int = 4, id_col: str = "
         .select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = checkpoint(named, "named")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = named.join(least, "root").select("fp", "component_id")
-    return fps.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-                                        "component_id")
-
-
-def representatives(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that stand for their component in ``groups``: the
-    one with the component's smallest id (one row where several share it; a
-    component without any id keeps one row)."""
-    stay = groups.select(F.col("component_id").alias("stay")).distinct()
-    own = nested(docs, own=quoted(id_col).cast("long"))
-    joined = own.join(stay, F.col("own").eqNullSafe(F.col("stay")))
-    nth = F.row_number().over(Window.partitionBy("own").orderBy(*atoms(docs)))
+    by_fp = named.join(least, "root").select("fp", "component_id", _hex("root").alias("component"))
+    return fps.join(by_fp, "fp").select("doc_id", _hex("fp").alias("fingerprint"), "component_id", "component")
+
+
+def _hex(fp: str) -> Column:
+    return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+def representatives(docs: DataFrame, groups: DataFrame, size: int = 4, id_col: str = "doc_id",
+                    text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for every component in ``groups`` (of the same
+    ``size``): the one with the component's smallest id (of several, or in a
+    component without any id, the first by all columns that can be ordered).
+
+    A row is known by its id and its fingerprint together, as rows of several
+    components may share an id or have none."""
+    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))) \
+        .select(F.col("doc_id").alias("stay"), "fingerprint", "component").distinct()
+    own = nested(docs, own=quoted(id_col).cast("long"), text=quoted(text_col).cast("string"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = [f"{fingerprint(t or '', size):016x}" for part in text_batches([b.select(["text"])])
+                   for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("own"), pa.array(fps, pa.string())],
+                                             ["doc", "own", "fp"])
+
+    schema = StructType([own.schema["doc"], own.schema["own"], StructField("fp", StringType())])
+    joined = own.mapInArrow(run, schema).join(
+        stay, F.col("own").eqNullSafe(F.col("stay")) & (F.col("fp") == F.col("fingerprint")))
+    nth = F.row_number().over(Window.partitionBy("component").orderBy(*atoms(docs)))
     return joined.withColumn("nth", nth).where("nth = 1").select("doc.*")

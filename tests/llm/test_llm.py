@@ -346,6 +346,16 @@ def test_simhash_brute_force(spark):
     assert simhash.near_groups(edge(spark).limit(0)).count() == 0
 
 
+def test_simhash_representatives_without_own_ids(spark):
+    """Components without an id, or that share one, keep one row each."""
+    a, b, c, d, e, f = (" ".join(f"{k}{n}" for n in range(40)) for k in "abcdef")
+    rows = [(None, a), (None, b), (None, b), (None, c), (None, ""), (5, d), (5, e), (3, e), (6, f), (None, f)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = simhash.representatives(df, simhash.near_groups(df))
+    want = [(None, a), (None, b), (None, c), (None, ""), (5, d), (3, e), (6, f)]
+    assert rows_of(kept, "doc_id", "text") == sorted(want, key=repr)
+
+
 @pytest.mark.parametrize("hot", [4096, 20])
 def test_simhash_links_of_hot_buckets(spark, monkeypatch, hot):
     monkeypatch.setattr(simhash, "HOT", hot)
