@@ -1,7 +1,7 @@
 """Operator 10: toxicity by noisy-channel deobfuscation.
 
-A suspicious token (a digit or symbol among its letters, a letter three times
-in a row, or a run of single characters) is a lattice: each character stands
+A suspicious token (a digit or symbol before, among or after its letters, a
+letter three times in a row, or a run of single characters) is a lattice: each character stands
 for itself, for a letter that it resembles, for a masked letter, or for
 nothing (a repetition or a separator), each with the channel's probability.
 The Viterbi path under a character language model is the restored word. The
@@ -155,25 +155,32 @@ def restore(token: str, model: CharModel) -> str:
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: A letter, then a symbol or digit, then a letter or look-alike; look-alikes
-#: in front of a letter; a letter three times.
-_SUSPECT = re.compile(r"[^\W\d_][^\w\s]*[\d@$!|+(€£*#%._\-][^\w\s]*[^\W_]|^[\d@$!|+(€£]+[^\W\d_]|([^\W\d_])\1\1")
+#: or masks in front of a letter; a letter three times.
+_SUSPECT = re.compile(r"[^\W\d_][^\w\s]*[\d@$!|+(€£*#%._\-][^\w\s]*[^\W_]|^[\d@$!|+(€£*#%]+[^\W\d_]|([^\W\d_])\1\1")
 _EDGE = ".,;:?\"'()[]{}<>-_"
 _TRAIL = re.compile(r"(?:(\W)\1{2,}|!+)$")
 _DRAWN = re.compile(r"(.)\1{2,}")
 _TRIPLE = re.compile(r"(.)\1\1")
 #: Single characters in a row that make a spaced-out word.
-SPACED = 4
+SPACED = 2
+#: Look-alikes and masks that end a token.
+_END = re.compile("[" + re.escape("".join(LOOKS) + MASKS) + "]+$")
 
 
-def suspect(token: str) -> str | None:
-    """The core of a lower-case token if the channel may have changed it."""
+def suspects(token: str) -> list[str]:
+    """The cores of a lower-case token that the channel may have changed: with
+    the look-alikes and masks at its end (they may be its last letters), and
+    without (they may be decoration)."""
     core = token.strip(_EDGE)
     if core.isalpha():
-        return _DRAWN.sub(r"\1\1\1", core) if _TRIPLE.search(core) else None
-    core = _TRAIL.sub("", core).strip(_EDGE)
-    if _SUSPECT.search(core) and any(c.isalpha() for c in core):
-        return _DRAWN.sub(r"\1\1\1", core)
-    return None
+        return [_DRAWN.sub(r"\1\1\1", core)] if _TRIPLE.search(core) else []
+    whole = token.lstrip(_EDGE).rstrip(_EDGE.replace("(", ""))
+    own = [whole] if _END.search(whole) else []
+    for cut in (_TRAIL, _END):
+        bare = cut.sub("", core).strip(_EDGE)
+        if _SUSPECT.search(bare):
+            own.append(bare)
+    return list(dict.fromkeys(_DRAWN.sub(r"\1\1\1", x) for x in own if any(c.isalpha() for c in x)))
 
 
 def spaced(tokens: list[str]) -> list[str]:
@@ -191,8 +198,8 @@ def spaced(tokens: list[str]) -> list[str]:
             end += 1
         if end - at >= SPACED:
             joined = _DRAWN.sub(r"\1\1", "".join(tokens[at:end]))
-            if len(set(joined)) > 2 and any(c.isalpha() for c in joined):
-                out += [joined, joined[1:], joined[:-1]]
+            if len(set(joined)) > 1 and any(c.isalpha() for c in joined):
+                out += [joined, joined[1:], joined[:-1]] if len(joined) > 2 else [joined]
         at = end
 
 
@@ -202,8 +209,7 @@ def token_words(token: str, model: CharModel) -> list[str]:
     words = [plain] if plain.isalpha() else _WORD.findall(token)
     if len(words) == 1 and words[0] == plain and not _TRIPLE.search(plain):
         return words
-    core = suspect(token)
-    return words if core is None else [*words, restore(core, model)]
+    return [*words, *[restore(core, model) for core in suspects(token)]]
 
 
 def restore_text(text: str, model: CharModel) -> str:
@@ -219,8 +225,8 @@ def restore_text(text: str, model: CharModel) -> str:
             out.append(restore(run[0], model))
             at = end
             continue
-        core = suspect(tokens[at])
-        out.append(tokens[at] if core is None else restore(core, model))
+        cores = suspects(tokens[at])
+        out.append(restore(cores[0], model) if cores else tokens[at])
         at += 1
     return " ".join(out)
 

@@ -433,6 +433,27 @@ def test_toxicity(spark):
     assert toxicity.scores(edge(spark), none).where("predicted = 1").count() == 0
 
 
+def char_model():
+    words = "idiot loser moron trash stupid scum ass the this that these of to in a and for with from is it on was " \
+            "are one time well said man who her there more some them"
+    tables = {size: np.zeros(n, np.int64) for size, n in toxicity.TABLES.items()}
+    toxicity.count_grams([words] * 50, tables)
+    return toxicity.CharModel(tables)
+
+
+@pytest.mark.parametrize("written, word", [
+    ("idio7", "idiot"), ("mor0n", "moron"), ("a$$", "ass"), ("a$$.", "ass"), ("idio+", "idiot"), ("1d107", "idiot"),
+    ("1d10t5", "idiot"), ("idio777", "idiot"), ("a s s", "ass"), ("i t", "it")])
+def test_last_letters_are_decoded(written, word):
+    chars = char_model()
+    tokens = written.split()
+    assert word in {w for t in [*tokens, *toxicity.spaced(tokens)] for w in toxicity.token_words(t, chars)}
+    for clean in ("that***", "the!!", "of%%%", "with&&&"):
+        assert toxicity.token_words(clean, chars)[0] == clean.rstrip("*!%&")
+    lexicon = toxicity.Toxicity(chars.tables, {"idiot": 3.0, "ass": 3.0}, (-1.0, 1.0, 0.0))
+    assert lexicon.hits([f"the {written} of"], chars, PieceCache())[0][1] == (word in ("idiot", "ass"))
+
+
 # pipeline and registration
 def test_pipeline_stages(spark):
     docs = common.documents(spark, SF_SMALL)
