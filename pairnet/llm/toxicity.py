@@ -10,8 +10,9 @@ with a significant log-odds ratio between toxic and other labelled documents
 form a lexicon, and a document's strongest features go through a calibrated
 logistic function.
 
-The language model counts character 2-, 3- and 4-grams of every whole
-document into tables of fixed size. The lexicon is learned from a bounded
+The language model counts letters and character 2-, 3- and 4-grams of every
+whole document into tables of fixed size; a mask may stand for any letter
+counted. The lexicon is learned from a bounded
 sample of labelled rows (``FIT_DOCS`` by hash of the id) outside the held-out
 fold. Only text is an input of a score.
 """
@@ -51,7 +52,6 @@ LOOKS = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l",
 }
 MASKS = "*#%"
-VOWELS = "aeiou"
 #: Channel: log probabilities of what a character stands for.
 LOOK, MASK, DROP_SYMBOL = (math.log(p) for p in (0.5, 0.08, 0.15))
 #: A letter like the one before it: drawn out or meant, if it stands in a run
@@ -60,14 +60,17 @@ REPEAT = {True: (math.log(0.6), math.log(0.4)), False: (math.log(0.005), math.lo
 BEAM = 48
 
 U = np.uint64
-#: Slots of the 2-, 3- and 4-gram tables.
-TABLES = {2: 1 << 13, 3: 1 << 16, 4: 1 << 19}
+#: Slots of the tables of letters (one for each code point of the planes that
+#: have letters) and of 2-, 3- and 4-grams.
+TABLES = {1: 1 << 18, 2: 1 << 13, 3: 1 << 16, 4: 1 << 19}
 CHUNK = 1 << 12
 
 
 # --- character language model ------------------------------------------------
 
 def _slots(codes: list[np.ndarray], size: int) -> np.ndarray:
+    if size == 1:
+        return codes[0].astype(np.int64)
     h = np.full(len(codes[0]), size, U)
     for c in codes:
         h = (h * U(0x9E3779B97F4A7C15)) ^ (c.astype(U) * U(0xC2B2AE3D27D4EB4F))
@@ -96,6 +99,7 @@ class CharModel:
 
     def __init__(self, tables: dict[int, np.ndarray]):
         self.tables, self.known = tables, {}
+        self.alphabet = [chr(c) for c in np.flatnonzero(tables[1])]
 
     def _count(self, gram: str) -> float:
         key = [np.array([0 if c == "\0" else ord(c)]) for c in gram]
@@ -138,7 +142,7 @@ def restore(token: str, model: CharModel) -> str:
         else:
             emit = [(x, LOOK - math.log(len(LOOKS[c]))) for x in LOOKS.get(c, "")]
             if c in MASKS:
-                emit += [(x, MASK) for x in VOWELS]
+                emit += [(x, MASK) for x in model.alphabet]
         for (context, seen), (score, word) in paths.items():
             if not c.isalpha():
                 reach(context, seen, score + DROP_SYMBOL, word)
@@ -272,7 +276,7 @@ class Toxicity:
 def language_model(docs: DataFrame, text_col: str = "text") -> dict[int, np.ndarray]:
     """Count tables of all whole texts. A task sends its tables once, cut into
     chunks, and each chunk is summed in a stream; the tables that reach the
-    driver have a fixed size (5 MB)."""
+    driver have a fixed size (7 MB)."""
     rows = docs.select(quoted(text_col).cast("string").alias("text")).where(F.col("text").isNotNull())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

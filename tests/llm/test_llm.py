@@ -454,6 +454,13 @@ def test_last_letters_are_decoded(written, word):
     assert lexicon.hits([f"the {written} of"], chars, PieceCache())[0][1] == (word in ("idiot", "ass"))
 
 
+@pytest.mark.parametrize("written, word", [
+    ("lo*er", "loser"), ("i*iot", "idiot"), ("mo*on", "moron"), ("s*um", "scum"), ("id*ot", "idiot"), ("*diot", "idiot"),
+    ("#oron", "moron"), ("tras#", "trash"), ("scu*", "scum"), ("s%%m", "scum"), ("tr@*h", "trash")])
+def test_masks_stand_for_any_letter(written, word):
+    assert word in toxicity.token_words(written, char_model())
+
+
 # pipeline and registration
 def test_pipeline_stages(spark):
     docs = common.documents(spark, SF_SMALL)
