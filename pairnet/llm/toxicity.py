@@ -24,6 +24,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -57,13 +58,14 @@ LOOK, MASK, DROP_SYMBOL = (math.log(p) for p in (0.5, 0.08, 0.15))
 #: A letter like the one before it: drawn out or meant, if it stands in a run
 #: of three or more, and else.
 REPEAT = {True: (math.log(0.6), math.log(0.4)), False: (math.log(0.005), math.log(0.995))}
-BEAM = 48
 
 U = np.uint64
 #: Slots of the tables of letters (one for each code point of the planes that
 #: have letters) and of 2-, 3- and 4-grams.
 TABLES = {1: 1 << 18, 2: 1 << 13, 3: 1 << 16, 4: 1 << 19}
 CHUNK = 1 << 12
+#: Probabilities that a character model keeps, and those of whole alphabets.
+KNOWN, AFTER = 200_000, 1 << 20
 
 
 # --- character language model ------------------------------------------------
@@ -78,6 +80,15 @@ def _slots(codes: list[np.ndarray], size: int) -> np.ndarray:
     return (h & U(TABLES[size] - 1)).astype(np.int64)
 
 
+def _slot(gram: str) -> int:
+    """The same for one n-gram."""
+    h = len(gram)
+    for c in gram:
+        h = (h * 0x9E3779B97F4A7C15 ^ (0 if c == "\0" else ord(c)) * 0xC2B2AE3D27D4EB4F) & 0xFFFFFFFFFFFFFFFF
+        h ^= h >> 31
+    return h & (TABLES[len(gram)] - 1)
+
+
 def count_grams(texts: list[str], tables: dict[int, np.ndarray]) -> None:
     """Adds the texts' n-grams; a word is its letters between two edges (0)."""
     cp, _ = letters(texts)
@@ -99,17 +110,17 @@ class CharModel:
 
     def __init__(self, tables: dict[int, np.ndarray]):
         self.tables, self.known = tables, {}
-        self.alphabet = [chr(c) for c in np.flatnonzero(tables[1])]
+        self.codes = np.flatnonzero(tables[1])
+        self.alphabet, self.ordered, self.read = [chr(c) for c in self.codes], {}, {}
 
     def _count(self, gram: str) -> float:
-        key = [np.array([0 if c == "\0" else ord(c)]) for c in gram]
-        return float(self.tables[len(gram)][_slots(key, len(gram))[0]])
+        return float(self.tables[len(gram)][_slot(gram)])
 
     def logp(self, context: str, c: str) -> float:
         """Of ``c`` after the last three characters (``\\0``: a word's edge)."""
         got = self.known.get((context, c))
         if got is None:
-            if len(self.known) > 200_000:
+            if len(self.known) > KNOWN:
                 self.known.clear()
             p = 1 / 64
             for size in (3, 4):
@@ -119,42 +130,90 @@ class CharModel:
             got = self.known[context, c] = math.log(min(1.0, max(p, 1e-9)))
         return got
 
+    def after(self, context: str) -> list[tuple[float, str]]:
+        """Every letter of the alphabet after the last three characters, by
+        falling ``logp``."""
+        got = self.ordered.get(context)
+        if got is None:
+            if len(self.ordered) * len(self.codes) > AFTER:
+                self.ordered.clear()
+            p = np.full(len(self.codes), 1 / 64)
+            for size in (3, 4):
+                if len(context) >= size - 1:
+                    last = context[-(size - 1):]
+                    codes = [np.full(len(self.codes), 0 if c == "\0" else ord(c)) for c in last]
+                    n = self.tables[size][_slots([*codes, self.codes], size)]
+                    p = (n + 4 * p) / (self._count(last) + 4)
+            p = np.log(np.clip(p, 1e-9, 1.0))
+            order = np.argsort(-p, kind="stable")
+            got = self.ordered[context] = [(float(p[k]), self.alphabet[k]) for k in order]
+        return got
+
 
 # --- channel -------------------------------------------------------------------
 
 def restore(token: str, model: CharModel) -> str:
-    """The most probable word behind a lower-case token: Viterbi over the
-    lattice of what each character may stand for; a state is the last three
-    letters and the observed character that gave the last of them."""
-    paths = {("\0", ""): (0.0, "")}
-    runs = [m.end() - m.start() for m in re.finditer(r"(.)\1*", token) for _ in range(m.end() - m.start())]
-    for c, run in zip(token, runs):
-        once, again = REPEAT[run > 2]
-        step: dict[tuple[str, str], tuple[float, str]] = {}
-
-        def reach(context: str, seen: str, score: float, word: str) -> None:
-            old = step.get((context, seen))
-            if old is None or score > old[0]:
-                step[context, seen] = (score, word)
-
-        if c.isalpha():
-            emit = [(c, 0.0)]
+    """The most probable word behind a lower-case token: the Viterbi path over
+    the lattice of what each character may stand for. A state is a place and
+    the last three letters; states are taken by their cost and the least cost
+    of the characters that are left, so the first end is the best of all paths
+    and no path is given up. A mask's letters come one by one, by falling
+    probability. The letters up to the first choice are on every path."""
+    first = next((k for k, c in enumerate(token) if not c.isalpha() or token[k + 1:k + 2] == c), len(token))
+    start = ("\0" + token[:first])[-3:]
+    got = model.read.get((start, token[first:]))
+    if got is None:
+        if len(model.read) > KNOWN:
+            model.read.clear()
+        got = model.read[start, token[first:]] = _best(start, token[first:], model)
+    return token[:first] + got
+
+
+def _best(start: str, token: str, model: CharModel) -> str:
+    """The letters of the best path for ``token`` after the context ``start``."""
+    steps, least = [], [0.0]
+    for m in re.finditer(r"(.)\1*", token, re.DOTALL):
+        c, n = m[1], m.end() - m.start()
+        emit = [(c, 0.0)] if c.isalpha() else [(x, math.log(len(LOOKS[c])) - LOOK) for x in LOOKS.get(c, "")]
+        drop, masked = None if c.isalpha() else -DROP_SYMBOL, c in MASKS
+        steps += [(emit, drop, masked, *(-x for x in REPEAT[n > 2]))] * n
+    for emit, drop, masked, *_ in reversed(steps):
+        least.append(least[-1] + min([x for _, x in emit] + [-MASK] * masked + [drop] * (drop is not None)))
+    least.reverse()  # of the characters from each place on
+    # (bound, place counted backwards, word, context, cost, next letter of a mask or -1)
+    heap, done = [(least[0], 0, "", start, 0.0, -1)], set()
+    while True:
+        _, at, word, context, cost, nth = heappop(heap)
+        if at == -len(steps) - 1:
+            return word
+        if nth < 0:
+            if (at, context) in done:
+                continue
+            done.add((at, context))
+        if at == -len(steps):
+            cost -= model.logp(context, "\0")
+            heappush(heap, (cost, at - 1, word, context, cost, -1))
+            continue
+        emit, drop, masked, once, again = steps[-at]
+        left = least[1 - at]
+        if nth >= 0:  # a mask's letter, and the next one's turn
+            p, x = model.after(context)[nth]
+            own = cost - MASK - p + (again if x == context[-1] else 0.0)
+            heappush(heap, (own + left, at - 1, word + x, (context + x)[-3:], own, -1))
+            nth += 1
         else:
-            emit = [(x, LOOK - math.log(len(LOOKS[c]))) for x in LOOKS.get(c, "")]
-            if c in MASKS:
-                emit += [(x, MASK) for x in model.alphabet]
-        for (context, seen), (score, word) in paths.items():
-            if not c.isalpha():
-                reach(context, seen, score + DROP_SYMBOL, word)
+            if drop is not None:
+                heappush(heap, (cost + drop + left, at - 1, word, context, cost + drop, -1))
             for x, own in emit:
-                cost = own
-                if x == context[-1:] and seen:
-                    reach(context, c, score + cost + once, word)  # the same letter, drawn out
-                    cost += again
-                reach((context + x)[-3:], c, score + cost + model.logp(context, x), word + x)
-        paths = dict(sorted(step.items(), key=lambda x: (-x[1][0], x[1][1]))[:BEAM])
-    best = max(paths.items(), key=lambda x: (x[1][0] + model.logp(x[0][0], "\0"), x[1][1]))
-    return best[1][1]
+                own += cost
+                if x == context[-1]:  # the same letter, drawn out
+                    heappush(heap, (own + once + left, at - 1, word, context, own + once, -1))
+                    own += again
+                own -= model.logp(context, x)
+                heappush(heap, (own + left, at - 1, word + x, (context + x)[-3:], own, -1))
+            nth = 0  # a mask that draws the letter out costs more than one dropped
+        if masked and nth < len(model.alphabet):
+            heappush(heap, (cost - MASK - model.after(context)[nth][0] + left, at, word, context, cost, nth))
 
 
 _WORD = re.compile(r"[^\W\d_]+")

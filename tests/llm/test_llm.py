@@ -461,6 +461,53 @@ def test_masks_stand_for_any_letter(written, word):
     assert word in toxicity.token_words(written, char_model())
 
 
+def test_one_slot_equals_many():
+    for gram in ("ab", "\0a", "ßé", "abc", "b\0", "日本語", "stup", "\0öx\0"):
+        codes = [np.array([0 if c == "\0" else ord(c)]) for c in gram]
+        assert toxicity._slot(gram) == toxicity._slots(codes, len(gram))[0]
+
+
+def all_paths(token, model):
+    """Every word of the lattice with its best log probability, place by place."""
+    paths = {("", "\0"): 0.0}
+    runs = [len(m.group()) for m in toxicity.re.finditer(r"(.)\1*", token) for _ in m.group()]
+    for c, run in zip(token, runs):
+        once, again = toxicity.REPEAT[run > 2]
+        emit = [(c, 0.0)] if c.isalpha() else \
+            [(x, toxicity.LOOK - np.log(len(toxicity.LOOKS[c]))) for x in toxicity.LOOKS.get(c, "")]
+        emit += [(x, toxicity.MASK) for x in model.alphabet] if c in toxicity.MASKS else []
+        step = {}
+        for (word, context), score in paths.items():
+            to = [] if c.isalpha() else [(word, context, score + toxicity.DROP_SYMBOL)]
+            for x, own in emit:
+                same = x == context[-1]
+                to += [(word, context, score + own + once)] * same
+                to.append((word + x, (context + x)[-3:],
+                           score + own + again * same + model.logp(context, x)))
+            for w, k, v in to:
+                step[w, k] = max(v, step.get((w, k), -np.inf))
+        paths = step
+    return {w: v + model.logp(k, "\0") for (w, k), v in paths.items()}
+
+
+@pytest.mark.parametrize("token", ["s***m", "***", "t*#%h", "i#1*7", "1d10t5", "a$$!!", "l00o*er", "**iot", "stuuupid", "*1*|t", "m*%*n", "hello*", "loss$", "idiott1"])
+def test_the_path_is_the_best_of_all(token):
+    chars = char_model()
+    paths = all_paths(token, chars)
+    assert abs(paths[toxicity.restore(token, chars)] - max(paths.values())) < 1e-9
+
+
+def test_paths_that_a_beam_would_lose():
+    """Only the last letters tell that the first are not those of common words."""
+    tables = {size: np.zeros(n, np.int64) for size, n in toxicity.TABLES.items()}
+    common = " ".join(a + b + c for a in "bcdfghkl" for b in "aeiou" for c in "mnprst")
+    toxicity.count_grams([(common + " ") * 60 + "xan wan jan qan " * 3000 + "xqa " * 60 + "xqjwvq " * 10], tables)
+    chars = toxicity.CharModel(tables)
+    paths = all_paths("***wvq", chars)
+    best = max(paths, key=paths.get)
+    assert best == "xqjwvq" and toxicity.restore("***wvq", chars) == best
+
+
 # pipeline and registration
 def test_pipeline_stages(spark):
     docs = common.documents(spark, SF_SMALL)
