@@ -4,7 +4,7 @@ A batch's texts are normalised (A-Z lower-cased) and digested. Duplicates
 inside the batch are grouped on their own. The batch's distinct digests are
 screened by the filter of every earlier snapshot, which is immutable: digests
 that the filter rejects are certainly new, the others join the snapshot's
-exact bucket. Every group of two or more rows is then checked byte for byte:
+exact bucket and add to the group there. Every group of two or more rows is then checked byte for byte:
 the texts of a group are compared, and a group whose texts differ (equal
 digests of different texts) is split by its texts.
 
@@ -150,11 +150,12 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 class Snapshot:
-    """One batch's distinct digests (``digest``, ``n_rows``) with a filter per
-    bucket, both written once and never changed."""
+    """The digests that are new in one batch (``digest``, ``n_rows``, ``best``:
+    their largest id) with a filter per bucket, both written once and never
+    changed."""
 
     def __init__(self, groups: DataFrame):
-        self.groups = checkpoint(groups.select("digest", "n_rows"), "snapshot")
+        self.groups = checkpoint(groups.select("digest", "n_rows", "best"), "snapshot")
         self.n_buckets = parts_for(self.groups.count(), BUCKET_KEYS)
         keyed = self.groups.withColumn("bucket", self.bucket())
 
@@ -198,21 +199,27 @@ def exact_groups(docs: DataFrame, batches: int = BATCHES, id_col: str = "doc_id"
     rows = checkpoint(digests(docs, id_col, text_col, digest)
                       .withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches))), "digests")
     snapshots: list[Snapshot] = []
-    repeated = None  # digests with two or more rows
+    members = None  # each batch's digests with the snapshot (owner) whose group they are in
     for k in range(batches):
-        groups = rows.where(F.col("batch") == k).groupBy("digest").agg(F.count(F.lit(1)).alias("n_rows"))
-        if k + 1 < batches or snapshots:
-            own = Snapshot(groups) if k + 1 < batches else None
-            source = own.groups if own else checkpoint(groups, "batch")
-        else:
-            own, source = None, groups
-        found = source.where("n_rows > 1").select("digest")
-        for s in snapshots:
-            found = found.unionByName(s.known(source))
-        repeated = found if repeated is None else repeated.unionByName(found)
-        if own:
-            snapshots.append(own)
-    repeated = checkpoint(repeated.distinct(), "repeated")
+        fresh = rows.where(F.col("batch") == k).groupBy("digest").agg(F.count(F.lit(1)).alias("n_rows"),
+                                                                      F.max("doc_id").alias("best"))
+        parts = []
+        for owner, s in enumerate(snapshots):
+            fresh = checkpoint(fresh, "batch")
+            held = checkpoint(s.known(fresh), "held")
+            parts.append((owner, fresh.join(held, "digest", "left_semi")))
+            fresh = fresh.join(held, "digest", "left_anti")
+        if k + 1 < batches:
+            snapshots.append(Snapshot(fresh))
+            fresh = snapshots[-1].groups
+        for owner, part in [*parts, (k, fresh)]:
+            part = part.select("digest", F.lit(k).alias("batch"), F.lit(owner).alias("owner"), "n_rows", "best")
+            members = part if members is None else members.unionByName(part)
+    # One row a batch for every group.
+    whole = Window.partitionBy("owner", "digest")
+    members = checkpoint(members.select("digest", "batch", F.max("best").over(whole).alias("keep_id"),
+                                        F.sum("n_rows").over(whole).alias("group_size")), "members")
+    repeated = checkpoint(members.where("group_size > 1").select("digest").distinct(), "repeated")
 
     # Byte checks: the texts of every group with two or more rows.
     wanted = rows.join(repeated, "digest", "left_semi") \
@@ -222,18 +229,19 @@ def exact_groups(docs: DataFrame, batches: int = BATCHES, id_col: str = "doc_id"
         .select("doc_id", "digest", "text")
     same = F.min("text").eqNullSafe(F.max("text"))
     differ = checkpoint(texts.groupBy("digest").agg(same.alias("same")).where("not same").select("digest"), "differ")
-    no_text = F.lit(None).cast("string").alias("text")
+    m = members.withColumnsRenamed({"digest": "_d", "batch": "_b"})
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept")
+    out = rows if differ.isEmpty() else rows.join(differ, "digest", "left_anti")
+    out = out.join(m, (F.col("digest") == F.col("_d")) & (F.col("batch") == F.col("_b"))) \
+        .select("doc_id", "digest", "keep_id", "group_size", kept)
     if differ.isEmpty():
-        keyed = rows.select("doc_id", "digest", no_text)
-    else:  # equal digests of different texts: these rows go by their texts
-        keyed = rows.join(differ, "digest", "left_anti").select("doc_id", "digest", no_text) \
-            .unionByName(texts.join(differ, "digest", "left_semi"))
-    groups = keyed.groupBy("digest", "text").agg(F.max("doc_id").alias("keep_id"),
-                                                 F.count(F.lit(1)).alias("group_size"))
-    g = groups.withColumnsRenamed({"digest": "_d", "text": "_t"})
-    return keyed.join(g, (F.col("digest") == F.col("_d")) & F.col("text").eqNullSafe(F.col("_t"))).select(
-        "doc_id", "digest", "keep_id", "group_size",
-        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"))
+        return out
+    # Equal digests of different texts: these rows go by their texts.
+    keyed = texts.join(differ, "digest", "left_semi")
+    g = keyed.groupBy("digest", "text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")) \
+        .withColumnsRenamed({"digest": "_d", "text": "_t"})
+    return out.unionByName(keyed.join(g, (F.col("digest") == F.col("_d")) & (F.col("text") == F.col("_t"))).select(
+        "doc_id", "digest", "keep_id", "group_size", kept))
 
 
 def kept_documents(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

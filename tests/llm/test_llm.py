@@ -242,6 +242,16 @@ def test_exact_dedup(spark, digest, batches):
     assert exact_dedup.exact_groups(df.limit(0), batches).count() == 0
 
 
+def test_exact_groups_come_from_the_screen(spark, monkeypatch):
+    """Repeats in a later batch join a group only by way of the filter."""
+    df = spark.createDataFrame([(k, f"Text {k % 4}") for k in range(40)], "doc_id long, text string")
+    sizes = [r["group_size"] for r in exact_dedup.exact_groups(df, 3).collect()]
+    assert sizes == [10] * 40
+    monkeypatch.setattr(exact_dedup.Snapshot, "screen", lambda self, groups: groups.where("false"))
+    missed = [r["group_size"] for r in exact_dedup.exact_groups(df, 3).collect()]
+    assert len(missed) == 40 and max(missed) < 10
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 10, 1000, 30_000])
 def test_binary_fuse(n):
     rng = np.random.default_rng(n)
