@@ -1,7 +1,8 @@
 """Operator 7: language ID by language-bitmask n-gram filters.
 
 Every language has a Bloom filter of the character n-grams that belong to it;
-the filters are bit-sliced: a slot holds one bit per language, so one probe of
+the filters are bit-sliced: a slot holds one bit per language (a word for
+every 64 languages), so one probe of
 ``HASHES`` slots, ANDed, gives the bitmask of all languages that contain an
 n-gram. A text's per-language popcounts are corrected for the false positives
 that the filter's fill makes expected, and the largest decides.
@@ -9,7 +10,7 @@ that the filter's fill makes expected, and the largest decides.
 An n-gram belongs to a language if its rate there is at least ``SHARE`` of
 its highest rate over all languages. Learning takes a bounded sample
 (``FIT_DOCS`` documents a language, by hash of the id) and ``GRAMS`` n-grams a
-language, so the filter has a fixed size; prediction takes whole texts.
+language, so the filter's size is set by the number of languages; prediction takes whole texts.
 """
 
 from __future__ import annotations
@@ -34,7 +35,8 @@ SHARE = 0.5
 SIZES = (2, 3, 4)
 SLOTS = 1 << 20
 HASHES = 4
-MAX_LANGUAGES = 64
+#: Languages of a mask's word.
+WORD = 64
 UNKNOWN = "und"
 
 U = np.uint64
@@ -87,18 +89,23 @@ class Filter:
     """Bit-sliced filters: ``slots`` masks, one bit per language."""
 
     languages: tuple[str, ...]
-    masks: np.ndarray
+    masks: np.ndarray  # of the first WORD languages
     false_rate: np.ndarray  # chance that an n-gram outside a language passes
+    more: tuple[np.ndarray, ...] = ()  # of the next ones, WORD each
 
     @classmethod
-    def build(cls, languages: tuple[str, ...], hashes: np.ndarray, members: np.ndarray) -> Filter:
-        kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64)
-                    if np.dtype(k).itemsize * 8 >= len(languages))
-        masks = np.zeros(SLOTS, kind)
+    def build(cls, languages: tuple[str, ...], hashes: np.ndarray, members: np.ndarray,
+              words: np.ndarray | None = None) -> Filter:
+        """``members``: the bits of an n-gram in the mask's word that ``words``
+        gives (the first by default)."""
+        kind = next((k for k in (np.uint8, np.uint16, np.uint32)
+                     if np.dtype(k).itemsize * 8 >= len(languages)), np.uint64)
+        masks = np.zeros((-(-len(languages) // WORD), SLOTS), kind)
+        words = np.zeros(len(hashes), np.int64) if words is None else words
         for slot in probes(hashes):
-            np.bitwise_or.at(masks, slot.astype(np.int64), members.astype(kind))
-        fill = np.array([((masks >> kind(k)) & kind(1)).mean() for k in range(len(languages))])
-        return cls(languages, masks, fill ** HASHES)
+            np.bitwise_or.at(masks, (words, slot.astype(np.int64)), members.astype(kind))
+        fill = np.array([((masks[k // WORD] >> kind(k % WORD)) & kind(1)).mean() for k in range(len(languages))])
+        return cls(languages, masks[0], fill ** HASHES, tuple(masks[1:]))
 
     def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Per text: corrected counts of each language's n-grams, and n-grams."""
@@ -107,14 +114,17 @@ class Filter:
         total = np.zeros(len(texts))
         for size in SIZES:
             h, at = grams(cp, size)
-            mask = None
-            for slot in probes(h):
-                mask = self.masks[slot] if mask is None else mask & self.masks[slot]
+            slots = list(probes(h))
             # The n-gram that begins at a text's leading edge is its own.
             cut = np.searchsorted(at, start)
             total += np.diff(cut)
             for k in range(len(self.languages)):
-                bit = (mask >> mask.dtype.type(k)) & mask.dtype.type(1)
+                if k % WORD == 0:
+                    own = (self.masks, *self.more)[k // WORD]
+                    mask = own[slots[0]]
+                    for slot in slots[1:]:
+                        mask = mask & own[slot]
+                bit = (mask >> mask.dtype.type(k % WORD)) & mask.dtype.type(1)
                 run = np.concatenate([[0], np.cumsum(bit, dtype=np.int64)])
                 hits[:, k] += run[cut[1:]] - run[cut[:-1]]
         expected = total[:, None] * self.false_rate[None, :]
@@ -139,20 +149,17 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """The filter of a table's labelled rows that aren't held out.
 
     Rows with a null language teach nothing; without labelled rows there is no
-    language and every prediction is ``und``. More than ``MAX_LANGUAGES``
-    languages: an error."""
+    language and every prediction is ``und``."""
     spark = docs.sparkSession
     own = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).cast("string").alias("text"),
                       quoted(lang_col).cast("string").alias("lang"))
     own = own.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     ids = checkpoint(bounded_sample(own.select("doc_id", "lang"), "lang", FIT_DOCS), "sample")
-    names = [r["lang"] for r in ids.select("lang").distinct().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()]
-    if len(names) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    names = [r["lang"] for r in ids.select("lang").distinct().orderBy("lang").collect()]
     if not names:
         return Filter((), np.zeros(SLOTS, np.uint8), np.zeros(0))
-    # Bounded: FIT_DOCS ids a language, MAX_LANGUAGES languages.
-    chosen = own.join(F.broadcast(ids.distinct()), ["doc_id", "lang"], "left_semi").select("lang", "text")
+    # FIT_DOCS ids a language; the size check decides on a broadcast.
+    chosen = own.join(ids.distinct(), ["doc_id", "lang"], "left_semi").select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_batches(batches, 16 << 20, 1 << 20):
@@ -175,11 +182,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     members = rate.join(top, ["size", "gram"]).where(F.col("rate") >= SHARE * F.col("top"))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram"))
     kept = members.withColumn("nth", nth).where(F.col("nth") <= GRAMS).select("lang", "gram")
-    # Bounded: GRAMS rows a language.
+    # GRAMS rows a language.
     got = kept.toPandas()
-    bit = {name: U(1) << U(k) for k, name in enumerate(names)}
+    place = {name: k for k, name in enumerate(names)}
+    at = np.array([place[x] for x in got["lang"]], np.int64)
     return Filter.build(tuple(names), got["gram"].to_numpy().astype(np.int64).view(U),
-                        np.array([bit[x] for x in got["lang"]], U))
+                        U(1) << (at % WORD).astype(U), at // WORD)
 
 
 def predict(docs: DataFrame, model: Filter, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -187,7 +195,7 @@ def predict(docs: DataFrame, model: Filter, id_col: str = "doc_id", text_col: st
     whole texts alone. A null text or one without a letter is ``und`` with
     score 0. Ids may be null or repeated, other columns are ignored, an empty
     table gives an empty result. A map over the rows with a broadcast filter
-    of fixed size (1 MB for up to 8 languages)."""
+    (1 MB for up to 8 languages, 8 MB for every 64)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = narrow(docs, id_col, text_col).select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
 

@@ -307,6 +307,21 @@ def test_language_id(spark):
     assert langid.predict(docs.limit(0), langid.fit(docs.limit(0))).count() == 0
 
 
+def test_more_languages_than_bits_of_a_word(spark):
+    """Every one of 70 languages is learned and told apart."""
+    rng = random.Random(8)
+    rows, words = [], {}
+    for k in range(70):
+        own = words[f"l{k:02}"] = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(12)]
+        rows += [(100 * k + n, " ".join(rng.sample(own, 9)), f"l{k:02}") for n in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert model.languages == tuple(sorted(words))
+    assert model.predict([" ".join(w) for _, w in sorted(words.items())])[0] == sorted(words)
+    got = langid.predict(docs, model).join(docs, "doc_id")
+    assert got.count() == 420 and got.where("lang_pred != lang").count() == 0
+
+
 def test_filter_false_positives_are_corrected():
     rng = np.random.default_rng(1)
     own = rng.integers(0, 1 << 63, 20_000, dtype=np.uint64)
