@@ -18,7 +18,8 @@ from pairnet.session import checkpoint
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a predicted language; those without one (``und``) go."""
+    """Documents with a predicted language; those without one (``und``: no
+    letter in the text) go. A table without labels keeps the same rows."""
     return langid.with_language(docs, langid.fit(docs))
 
 

@@ -211,7 +211,8 @@ def predict(docs: DataFrame, model: Filter, id_col: str = "doc_id", text_col: st
 
 def with_language(docs: DataFrame, model: Filter, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text has a language by the model (any but
-    ``und``), with all their columns."""
+    ``und``), with all their columns: those with a letter, also by a model that
+    learned no language and so can't name one."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     name = "own text"
     while name in docs.columns:
@@ -224,7 +225,11 @@ def with_language(docs: DataFrame, model: Filter, text_col: str = "text") -> Dat
             at, known = len(keep), []
             only = pa.RecordBatch.from_arrays([b.column(at)], ["text"])
             for part in text_batches([only], 1 << 20):
-                known += [x != UNKNOWN for x in shared.value.predict(part.column(0).to_pylist())[0]]
+                texts = part.column(0).to_pylist()
+                if shared.value.languages:
+                    known += [x != UNKNOWN for x in shared.value.predict(texts)[0]]
+                else:
+                    known += [any(c.isalpha() for c in t or "") for t in texts]
             yield b.select(list(range(at))).filter(pa.array(known, pa.bool_()))
 
     return own.mapInArrow(run, docs.schema)

@@ -322,6 +322,14 @@ def test_more_languages_than_bits_of_a_word(spark):
     assert got.count() == 420 and got.where("lang_pred != lang").count() == 0
 
 
+def test_language_stage_without_labels(spark):
+    docs = edge(spark).withColumn("lang", F.lit(None).cast("string"))
+    kept = corpus_pipeline.language_id(spark, docs, None)
+    assert kept.columns == docs.columns
+    want = [t for t in (r["text"] for r in docs.collect()) if t and any(c.isalpha() for c in t)]
+    assert sorted(r["text"] for r in kept.collect()) == sorted(want) and want
+
+
 def test_filter_false_positives_are_corrected():
     rng = np.random.default_rng(1)
     own = rng.integers(0, 1 << 63, 20_000, dtype=np.uint64)
