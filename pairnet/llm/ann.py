@@ -120,7 +120,7 @@ def box_distance(q: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray
 def search_cell(tree: Tree, vectors: np.ndarray, q: np.ndarray, pq: np.ndarray, k: int, bound: float,
                 far: float, factor: float) -> tuple[np.ndarray, np.ndarray]:
     """Positions and inner products of the cell's ``k`` best for one query,
-    none below ``bound``.
+    none below ``bound``; of equal products the first in ``vectors``.
 
     ``bound``: the k-th best inner product known (-inf: none); ``far``: M^2 +
     |q|^2, so that far - 2 * product is a squared distance; ``factor``: the
@@ -137,7 +137,9 @@ def search_cell(tree: Tree, vectors: np.ndarray, q: np.ndarray, pq: np.ndarray,
         scores = np.concatenate([scores, vectors[pick] @ q])
         found = np.concatenate([found, pick])
         if len(found) > k:
-            best = np.argpartition(-scores, k - 1)[:k]
+            last = np.partition(scores, len(scores) - k)[len(scores) - k]
+            best, ties = np.flatnonzero(scores > last), np.flatnonzero(scores == last)
+            best = np.concatenate([best, ties[np.argsort(found[ties])[:k - len(best)]]])
             found, scores = found[best], scores[best]
         if len(found) >= k:
             bound = max(bound, float(scores.min()))

@@ -287,6 +287,17 @@ def test_nearest_neighbours(spark, monkeypatch):
     assert ann.search(df.limit(0), df.limit(0), 5).count() == 0
 
 
+def test_equal_products_keep_the_smaller_ids(spark):
+    """Different vectors with the same products: ties at the cut by id."""
+    rng = np.random.default_rng(5)
+    rest = {tuple(v) for v in rng.integers(-3, 4, (900, 4)).tolist()}
+    rows = [(0, [1.0, 0.0, 0.0, 0.0, 0.0])]
+    rows += [(k + 1, [1.0, *map(float, v)]) for k, v in enumerate(rng.permutation(sorted(rest)).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.search(df, df.where("vec_id = 0"), 5).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(k, 1.0) for k in range(1, 6)]
+
+
 def test_chi_square_quantile():
     assert abs(ann.chi_square_quantile(0.95, 8) - 15.507) < 0.01
 
