@@ -1,30 +1,37 @@
-"""Token ids of whole texts by the ``tokenizers`` library, with a bounded
-cache of pieces.
+"""Token ids of whole texts by the ``tokenizers`` library, a slice of texts at
+a time.
 
 A byte-level BPE tokenizer with the GPT-2 pre-tokenizer starts a new word at
-every space that a non-space follows, so the parts of ``text.split(" ")``
-(each but the first with its space in front) are encoded independently. Every
-part is encoded by the library once and its ids are kept; a text is then a
-join of kept parts. Texts or tokenizers outside that shape (double spaces, a
-space before other white space, a special string in the text, another
-normaliser or pre-tokenizer) go through the library whole.
+every space that a non-space follows, and at every line feed between
+non-spaces. So a slice of texts is split there and dictionary-encoded by Arrow,
+every distinct part is encoded once, and NumPy lays the parts' ids out again by
+the dictionary's codes. Texts or tokenizers outside that shape (other white
+space, runs of spaces or of three line feeds, a special string in the text,
+another normaliser or pre-tokenizer) go through the library whole.
 """
 
 from __future__ import annotations
 
 import json
 import os
-from array import array
 from itertools import filterfalse
 
-#: Parts kept in each of the two generations of the cache (about 200 bytes each).
-CACHE_PARTS = 250_000
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Cores (parts without the marks at their end) whose ids a worker keeps.
+CACHE_PARTS = 500_000
+#: Marks that end a word; none is a letter, a digit, white space or an apostrophe.
+MARKS = ".,;:!?*&%$#|-"
+#: Letters below this point are letters in every Unicode version.
+SETTLED = "ɐ"
 
 
 class PieceCache:
     """Two generations: what was used since the last turn survives a turn."""
 
-    def __init__(self, limit: int = CACHE_PARTS):
+    def __init__(self, limit: int = 250_000):
         self.limit, self.now, self.before = limit, {}, {}
 
     def missing(self, parts) -> set:
@@ -40,12 +47,6 @@ class PieceCache:
         return lost
 
 
-#: Marks that end a word; none is a letter, a digit, white space or an apostrophe.
-MARKS = ".,;:!?*&%$#|-"
-#: Letters below this point are letters in every Unicode version.
-SETTLED = "\u0250"
-
-
 def byte_letters() -> dict[int, str]:
     """The letter that stands for each byte in a byte-level vocabulary:
     printable Latin-1 for itself, the others in turn from U+0100."""
@@ -54,108 +55,220 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(other)}
 
 
-def _le32(ids) -> bytes:
-    return array("I", ids).tobytes()
-
-
-class SpaceInFront(Exception):
-    """A space before other white space: not a boundary of words."""
-
-
-class Parts(dict):
-    """Ids of parts after ``lead`` (a space, or nothing at a text's start),
-    computed when first asked for. Two generations: what was used since the
-    last turn survives a turn."""
-
-    def __init__(self, encoder: Encoder, lead: str):
-        super().__init__()
-        self.encoder, self.lead, self.before = encoder, lead, {}
-
-    def turn(self) -> None:
-        if len(self) > CACHE_PARTS:
-            self.before = dict(self)
-            self.clear()
-
-    def __missing__(self, part: str) -> bytes:
-        ids = self.before.get(part)
-        if ids is None:
-            ids = self._ids(part)
-        self[part] = ids
-        return ids
-
-    def _ids(self, part: str) -> bytes:
-        """A word of letters is one pre-token, which the library's model
-        merges alone; marks after it are pre-tokens of their own."""
-        enc, core = self.encoder, part.rstrip(MARKS)
-        if core.isalpha() and (core.isascii() or max(core) < SETTLED):
-            if len(core) < len(part):
-                return self[core] + enc.tail(part[len(core):])
-            spelt = core if core.isascii() else core.encode().decode("latin-1").translate(enc.letters)
-            return _le32([t.id for t in enc.merge((enc.letters[32] if self.lead else "") + spelt)])
-        if self.lead and part[:1].isspace():
-            raise SpaceInFront
-        return enc.direct([self.lead + part])[0]
+def laid_out(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """``flat[start:start + size]`` of all pairs, one after the other."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    return flat[np.repeat(starts - ends + sizes, sizes) + np.arange(total)]
+
+
+def bounds(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes)]).astype("i8")
+
+
+class Kept:
+    """Rows of ids by string, in one growing array. When it holds more than
+    ``limit`` strings, it keeps those that the present call asks for."""
+
+    def __init__(self, limit: int | None = None):
+        self.limit, self.place = limit, {}
+        self.flat, self.used, self.sizes, self.n = np.empty(1 << 16, "u4"), 0, np.empty(1 << 12, "i8"), 0
+
+    def _room(self, ids: int, rows: int) -> None:
+        for name, used, more in (("flat", self.used, ids), ("sizes", self.n, rows)):
+            held = getattr(self, name)
+            if used + more > len(held):
+                new = np.empty(2 * (used + more), held.dtype)
+                new[:used] = held[:used]
+                setattr(self, name, new)
+
+    def places(self, strings: list[str], compute) -> np.ndarray:
+        """The row of every (distinct) string; ``compute`` gives the ids of a
+        list of strings that are not there yet."""
+        if len(self.place) > (self.limit or CACHE_PARTS):
+            old, at = self.place, bounds(self.sizes[:self.n])
+            again = [s for s in strings if s in old]
+            rows = np.array([old[s] for s in again], "i8")
+            sizes = self.sizes[rows]
+            flat = laid_out(self.flat, at[rows], sizes)
+            self.place = {s: k for k, s in enumerate(again)}
+            self.flat, self.used, self.sizes, self.n = flat, len(flat), sizes, len(sizes)
+        lost = [s for s in strings if s not in self.place]
+        if lost:
+            rows = compute(lost)
+            sizes = np.fromiter(map(len, rows), "i8", len(rows))
+            total = int(sizes.sum())
+            self._room(total, len(rows))
+            self.flat[self.used:self.used + total] = np.fromiter((i for r in rows for i in r), "u4", total)
+            self.sizes[self.n:self.n + len(rows)] = sizes
+            self.place.update(zip(lost, range(self.n, self.n + len(rows))))
+            self.used, self.n = self.used + total, self.n + len(rows)
+        get = self.place.__getitem__
+        return np.fromiter(map(get, strings), "i8", len(strings))
+
+    def rows(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the given rows, one after the other, and their sizes."""
+        at = bounds(self.sizes[:self.n])
+        sizes = self.sizes[places]
+        return laid_out(self.flat, at[places], sizes), sizes
+
+
+#: A regular part: a line feed or nothing, then no white space.
+PART = r"^\n?[^\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]*$"
+
+
+def flags(x: pa.Array) -> np.ndarray:
+    return x.to_numpy(zero_copy_only=False)
+
+
+def split_parts(texts: pa.Array, special: list[str] = ()) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """The parts of a slice of texts (no nulls): the distinct parts, each
+    occurrence's code, each text's bounds among the occurrences, and which
+    texts are regular. A part follows a space or begins with a line feed; the
+    first one of a text follows nothing. In a regular text no word of the
+    pre-tokenizer crosses from one part to the next, and only the first part
+    may be empty."""
+    lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+    at = lists.offsets.to_numpy().astype("i8")
+    words = lists.values.slice(at[0], at[-1] - at[0]).dictionary_encode()
+    at -= at[0]
+    codes, parts = words.indices.to_numpy(), words.dictionary
+    odd = ~flags(pc.match_substring_regex(parts, PART))
+    for s in special:
+        odd |= flags(pc.match_substring(parts, s))
+    empty, alone = flags(pc.equal(parts, "")), flags(pc.equal(parts, "\n"))
+    bad = odd[codes]
+    inner = np.ones(len(codes), bool)  # not the first part of its text
+    inner[at[:-1]] = False
+    bad |= empty[codes] & inner
+    single = np.flatnonzero(alone[codes])
+    if len(single):
+        # A line feed alone ends the text (and no other stands before it) or
+        # is followed by one that leads a word.
+        led = flags(pc.starts_with(parts, "\n")) & ~alone
+        ends = np.append(~inner, True)[single + 1]
+        after, before = np.append(codes, codes[-1:])[single + 1], codes[single - 1]
+        bad[single] |= np.where(ends, inner[single] & alone[before], ~led[after])
+    regular = np.add.reduceat(bad, at[:-1]) == 0 if len(texts) else np.zeros(0, bool)
+    return parts, codes, at, regular
 
 
 class Encoder:
-    """``encode(texts)`` gives each text's ids as little-endian unsigned
-    32-bit bytes, equal to ``Tokenizer.encode(text, add_special_tokens=False)``."""
+    """``encode_flat(texts)`` gives the ids of all texts one after the other
+    and each text's bounds; the ids equal
+    ``Tokenizer.encode(text, add_special_tokens=False)``. ``specials=False``:
+    special strings in a text are plain text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, specials: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.tok = Tokenizer.from_file(path)
-        pre = spec.get("pre_tokenizer") or {}
-        self.special = [t["content"] for t in spec.get("added_tokens") or []]
+        self.tok.encode_special_tokens = not specials
+        pre, added = spec.get("pre_tokenizer") or {}, spec.get("added_tokens") or []
+        self.special = [t["content"] for t in added] if specials else []
         self.cached = (
             not spec.get("normalizer") and not spec.get("truncation") and not spec.get("padding")
             and pre.get("type") == "ByteLevel" and pre.get("add_prefix_space") is False
             and pre.get("use_regex", True) and spec["model"].get("dropout") in (None, 0)
             and not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized")
-                        for t in spec.get("added_tokens") or [])
+                        or any(c.isspace() for c in t["content"]) for t in added)
         )
-        self.merge, self.letters, self.tails = self.tok.model.tokenize, byte_letters(), {}
-        self.heads, self.rest = Parts(self, ""), Parts(self, " ")
-
-    def tail(self, marks: str) -> bytes:
-        """Ids of marks that end a word."""
-        if marks not in self.tails:
-            if len(self.tails) > 10_000:
-                self.tails.clear()
-            self.tails[marks] = self.direct([marks])[0]
-        return self.tails[marks]
-
-    def direct(self, texts: list[str]) -> list[bytes]:
-        return [_le32(e.ids) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        self.heads.turn()
-        self.rest.turn()
-        first, get, whole = self.heads.__getitem__, self.rest.__getitem__, []
-        for i, t in enumerate(texts):
-            if not self.cached or "  " in t or t[-1:] == " " or any(s in t for s in self.special):
-                whole.append(i)
-                continue
-            head, *rest = t.split(" ")
-            try:
-                out[i] = (first(head) if head else b"") + b"".join(map(get, rest))
-            except SpaceInFront:
-                whole.append(i)
-        if whole:
-            for i, x in zip(whole, self.direct([texts[i] for i in whole])):
-                out[i] = x
+        self.merge, self.letters = self.tok.model.tokenize, byte_letters()
+        self.rest, self.heads, self.tails = Kept(), Kept(), Kept()
+
+    def direct(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _cores(self, cores: list[str], lead: str) -> list[list[int]]:
+        """A word of letters is one word of the pre-tokenizer, which the
+        library's model merges alone; others take the whole way."""
+        front, letters, merge = self.letters[32] if lead else "", self.letters, self.merge
+        out: list = [None] * len(cores)
+        other = []
+        for i, c in enumerate(cores):
+            if not c:
+                out[i] = []
+            elif c.isalpha() and (c.isascii() or max(c) < SETTLED):
+                spelt = c if c.isascii() else c.encode().decode("latin-1").translate(letters)
+                out[i] = [t.id for t in merge(front + spelt)]
+            else:
+                other.append(i)
+        for i, ids in zip(other, self.direct([lead + cores[i] for i in other])):
+            out[i] = ids
         return out
 
-
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
+    def _parts(self, parts: pa.Array, lead: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and sizes of distinct parts that follow ``lead``."""
+        feed = flags(pc.starts_with(parts, "\n"))
+        bare = pc.ascii_ltrim(parts, "\n")
+        cores = pc.ascii_rtrim(bare, MARKS)
+        # Marks are words of their own only after a word of letters.
+        cores = pc.if_else(pc.utf8_is_alpha(cores), cores, bare)
+        more = flags(pc.less(pc.binary_length(cores), pc.binary_length(bare)))
+        tails = pa.array([b[n:] for b, n in zip(bare.filter(pa.array(more)).to_pylist(),
+                                                pc.utf8_length(cores.filter(pa.array(more))).to_pylist())], pa.string())
+        break_ids = np.array(self.direct(["\n"])[0], "u4")
+        starts, sizes, flats, shift = np.zeros((len(parts), 3), "i8"), np.zeros((len(parts), 3), "i8"), [break_ids], len(break_ids)
+        sizes[:, 0] = feed * len(break_ids)
+        after = feed if lead else np.ones(len(parts), bool)  # a core that follows no space
+        for column, rows, strings, kept, compute in (
+                (1, ~after, cores.filter(pa.array(~after)), self.rest, lambda s: self._cores(s, lead)),
+                (1, after, cores.filter(pa.array(after)), self.heads, lambda s: self._cores(s, "")),
+                (2, more, tails, self.tails, self.direct)):
+            coded = strings.dictionary_encode()
+            flat, size = kept.rows(kept.places(coded.dictionary.to_pylist(), compute))
+            code = coded.indices.to_numpy()
+            starts[rows, column], sizes[rows, column] = shift + bounds(size)[code], size[code]
+            flats.append(flat)
+            shift += len(flat)
+        return laid_out(np.concatenate(flats), starts.ravel(), sizes.ravel()), sizes.sum(axis=1)
+
+    def encode_flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        n = len(texts)
+        if not n:
+            return np.empty(0, "u4"), np.zeros(1, "i8")
+        if not self.cached:
+            rows = self.direct(texts.to_pylist())
+            return np.concatenate([np.array(r, "u4") for r in rows]), bounds(np.array([len(r) for r in rows]))
+        parts, codes, at, regular = split_parts(texts, self.special)
+        odd = np.flatnonzero(~regular)
+        if len(odd):
+            texts_odd = texts.take(pa.array(odd)).to_pylist()
+            texts = pc.if_else(pa.array(regular), texts, "")
+            parts, codes, at, _ = split_parts(texts)
+        heads = np.unique(codes[at[:-1]])
+        # Parts of a text's beginning follow nothing: codes of their own.
+        place = np.full(len(parts), -1, "i8")
+        place[heads] = np.arange(len(heads))
+        flat_rest, size_rest = self._parts(parts, " ")
+        flat_head, size_head = self._parts(parts.take(pa.array(heads)), "")
+        codes = codes.astype("i8")
+        codes[at[:-1]] = len(parts) + place[codes[at[:-1]]]
+        size, flat = np.concatenate([size_rest, size_head]), np.concatenate([flat_rest, flat_head])
+        sizes = size[codes]
+        ids = laid_out(flat, bounds(size)[codes], sizes)
+        ends = bounds(sizes)[at]
+        if len(odd):
+            rows = dict(zip(odd.tolist(), self.direct(texts_odd)))
+            pieces = [np.array(rows[i], "u4") if i in rows else ids[ends[i]:ends[i + 1]] for i in range(n)]
+            ids, ends = np.concatenate(pieces), bounds(np.array([len(p) for p in pieces]))
+        return ids, ends
+
+    def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit bytes."""
+        ids, at = self.encode_flat(pa.array(texts, pa.string()))
+        raw = ids.astype("<u4").tobytes()
+        return [raw[4 * a:4 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+
+
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
+
+
+def encoder(path: str, specials: bool = True) -> Encoder:
     """One encoder a worker process and file; its cache outlives a task."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    if (path, specials) not in _ENCODERS:
+        _ENCODERS[path, specials] = Encoder(path, specials)
+    return _ENCODERS[path, specials]

@@ -51,9 +51,9 @@ def cut(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path)
-        for b in text_batches(batches):
+        for b in text_batches(batches, 16 << 20, 20_000):
             out: list[tuple] = []
-            for doc_id, ids in zip(b.column("doc_id").to_pylist(), enc.encode(b.column("text").to_pylist())):
+            for doc_id, ids in zip(b.column("doc_id").to_pylist(), enc.encode(b.column("text"))):
                 ids += end
                 n = len(ids) // 4
                 first = n if n <= capacity else n % capacity or capacity

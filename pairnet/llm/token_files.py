@@ -183,8 +183,8 @@ def write_ids(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int | N
         own, ids, docs_in = f"{path}/_{number:06d}-{uuid.uuid4().hex}", 0, 0
         with store.open_output_stream(own) as sink:
             out = SeekableWriter(sink, frame_ids)
-            for b in text_batches(batches):
-                for doc_id, x in zip(b.column("doc_id").to_pylist(), enc.encode(b.column("text").to_pylist())):
+            for b in text_batches(batches, 16 << 20, 20_000):
+                for doc_id, x in zip(b.column("doc_id").to_pylist(), enc.encode(b.column("text"))):
                     out.add(doc_id, x + end)
                     docs_in, ids = docs_in + 1, ids + (len(x) + len(end)) // 4
             out.finish()
