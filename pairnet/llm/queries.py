@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairnet.llm import ann, exact_dedup, langid, mixing, packing, simhash, suffix_dedup, token_count, token_files, toxicity
+from pairnet.llm import alignment, ann, exact_dedup, langid, mixing, packing, simhash, suffix_dedup, token_count, token_files
+from pairnet.llm import toxicity, variants, window_packing
 from pairnet.llm.common import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,8 +68,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_forms(documents(spark, sf_dir))
+
+
+def op12_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return window_packing.packed_windows(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), 1024, 0)
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
 def registry() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_suffix_dedup, op2_best_fit_packing, op3_token_counts, op4_exact_dedup, op5_nearest_neighbours, op6_token_files, op7_language_id,
         op8_simhash, op9_source_mix,
-        op10_toxicity)}
+        op10_toxicity, op11_spelling_variants, op12_window_packing, op13_token_alignment)}

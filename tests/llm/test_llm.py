@@ -577,5 +577,5 @@ def test_pipeline_stages(spark):
 
 def test_registered():
     names = set(E.queries())
-    assert {f"op{n}_" for n in range(1, 11)} <= {x.split("_")[0] + "_" for x in names} and "pipeline" in names
+    assert {f"op{n}_" for n in range(1, 14)} <= {x.split("_")[0] + "_" for x in names} and "pipeline" in names
     assert E.queries()["pipeline"] is corpus_pipeline.run
