@@ -28,12 +28,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairnet.llm.common import narrow, text_batches
-from pairnet.llm.encoders import Kept, bounds, byte_letters, encoder, laid_out, split_parts
+from pairnet.llm.encoders import Encoder, Kept, bounds, byte_letters, laid_out, split_parts
 from pairnet.session import checkpoint
 
 SPACE = "▁"
 #: Id pairs whose counts are broadcast (17 bytes each); beyond it they are joined.
 BROADCAST_PAIRS = 2_000_000
+#: Bytes of stored links that are counted or summed at a time.
+LINK_BYTES = 4 << 20
+#: Words whose ids a worker keeps for each tokenizer.
+CACHE_PARTS = 200_000
 #: Entries of a product that are laid out at a time.
 BLOCK = 4 << 20
 
@@ -128,7 +132,7 @@ class Aligner:
     def __init__(self, a_path: str, b_path: str):
         import sentencepiece
 
-        self.a, self.b = encoder(a_path, specials=False), sentencepiece.SentencePieceProcessor(model_file=b_path)
+        self.a, self.b = Encoder(a_path, False, CACHE_PARTS), sentencepiece.SentencePieceProcessor(model_file=b_path)
         byte = {c: b for b, c in byte_letters().items()}
         vocabulary = self.a.tok.get_vocab(with_added_tokens=False)
         added = {i: t.content for i, t in self.a.tok.get_added_tokens_decoder().items()}
@@ -145,7 +149,7 @@ class Aligner:
         #: No piece goes on over a space or a line feed, and nothing is normalised away.
         self.by_word = (self.a.cached and not any(SPACE in p.lstrip(SPACE) or "\n" in p for p in whole) and SPACE in whole
                         and self.b.normalize(" a  b ") == f"{SPACE}{SPACE}a{SPACE}{SPACE}b{SPACE}")
-        self.front, self.kept = self.b.piece_to_id(SPACE), Kept()
+        self.front, self.kept = self.b.piece_to_id(SPACE), Kept(CACHE_PARTS)
         self.a_name, self.b_name = [str(i) for i in range(len(rows))], [str(i) for i in range(len(pieces))]
         #: Ids of a link as they are stored.
         self.kind = "<u2" if max(len(rows), len(pieces)) <= 1 << 16 else "<u4"
@@ -292,7 +296,7 @@ def linked_documents(docs: DataFrame, a_path: str, b_path: str, id_col: str = "d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = aligner(a_path, b_path)
-        for b in text_batches(batches, 8 << 20, 20_000):
+        for b in text_batches(batches, 4 << 20, 20_000):
             counts, digests, links = own.documents(b.column("text"))
             yield pa.RecordBatch.from_arrays(
                 [b.column("row"), b.column("doc_id"), *[pa.array(c, pa.int64()) for c in counts],
@@ -315,7 +319,7 @@ def pair_counts(linked: DataFrame, kind: str) -> DataFrame:
     the tasks before the shuffle; at most a row for every two ids of the
     vocabularies."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in text_batches(batches, LINK_BYTES, 20_000, "links"):
             key, n = np.unique(_pairs(b.column("links"), kind)[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(key >> 32), pa.array(key & 0xFFFFFFFF), pa.array(n)], ["a", "b", "n"])
 
@@ -353,7 +357,7 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", t
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys, n, best = sent.value
-            for b in batches:
+            for b in text_batches(batches, LINK_BYTES, 20_000, "links"):
                 key, sizes = _pairs(b.column("links"), kind)
                 distinct, at = np.unique(key, return_inverse=True)
                 place = np.searchsorted(keys, distinct)[at]
@@ -367,7 +371,7 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", t
                                       "count_sum long, groups_sha256 string")
 
     def by_pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in text_batches(batches, LINK_BYTES, 20_000, "links"):
             key, sizes = _pairs(b.column("links"), kind)
             row = np.repeat(b.column("row").to_numpy(), sizes)
             order = np.lexsort((key, row))

@@ -51,15 +51,15 @@ def parts_for(total: int, each: int, least: int = 1) -> int:
 
 
 def text_batches(batches: Iterable[pa.RecordBatch], max_bytes: int = 4 << 20,
-                 max_rows: int = 2000) -> Iterator[pa.RecordBatch]:
-    """Slices of Arrow batches with at most about ``max_bytes`` of text each
+                 max_rows: int = 2000, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Slices of Arrow batches with at most about ``max_bytes`` of ``column`` each
     (a longer text makes a slice of its own), so that the Python copies of a
     slice stay small whatever the batch holds."""
     for b in batches:
         at = 0
         if b.num_rows == 0:
             continue
-        sizes = pc.fill_null(pc.binary_length(b.column("text")), 0).to_pylist()
+        sizes = pc.fill_null(pc.binary_length(b.column(column)), 0).to_pylist()
         while at < b.num_rows:
             end, size = at, 0
             while end < b.num_rows and end - at < max_rows and (end == at or size + sizes[end] <= max_bytes):

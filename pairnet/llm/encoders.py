@@ -157,9 +157,10 @@ class Encoder:
     """``encode_flat(texts)`` gives the ids of all texts one after the other
     and each text's bounds; the ids equal
     ``Tokenizer.encode(text, add_special_tokens=False)``. ``specials=False``:
-    special strings in a text are plain text."""
+    special strings in a text are plain text. ``keep``: parts whose ids it
+    keeps."""
 
-    def __init__(self, path: str, specials: bool = True):
+    def __init__(self, path: str, specials: bool = True, keep: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -177,7 +178,7 @@ class Encoder:
                         or any(c.isspace() for c in t["content"]) for t in added)
         )
         self.merge, self.letters = self.tok.model.tokenize, byte_letters()
-        self.rest, self.heads, self.tails = Kept(), Kept(), Kept()
+        self.rest, self.heads, self.tails = Kept(keep), Kept(keep), Kept(keep)
 
     def direct(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
