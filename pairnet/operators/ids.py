@@ -54,7 +54,9 @@ def clean_aliases(aliases: DataFrame, normalize: bool = True) -> DataFrame:
     """``string_id, alias_key``: UniProt-sourced aliases with their join key
     (stripped + lower case; the notebook form only lower-cases)."""
     key = _key(norm_id(N.ALIAS) if normalize else F.lower(F.col(N.ALIAS)), "alias")
-    return alias_source_filter(aliases).select(N.STRING_ID, key.alias("alias_key"))
+    # A NULL alias matches nothing: it goes here, before a shuffle would bring all of them together.
+    known = alias_source_filter(aliases).where(F.col(N.ALIAS).isNotNull())
+    return known.select(N.STRING_ID, key.alias("alias_key"))
 
 
 def id_alias_join(proteins: DataFrame, aliases: DataFrame, normalize: bool = True) -> DataFrame:

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from pairnet.functions import names as N
 from pairnet.functions.expr import all_not_null, norm_id, pair_key
-from pairnet.operators.joins import checked_broadcast
+from pairnet.operators.joins import hub_keys, materialised, split_lookup
+from pairnet.operators.screens import screened
 from pairnet.session import checkpoint
 
 # Rule for repeated runs of one pair: best desc, mean desc (NULL last),
@@ -128,7 +129,10 @@ def map_pair_ids(df: DataFrame, idmap: DataFrame, a: str = N.PROTEIN1, b: str =
                  keep_norm: bool | None = None) -> DataFrame:
     """Look both ids up in ``idmap(uniprot_id, string_id)``; a pair with an
     unmapped id is dropped. The map is broadcast only after its row count is
-    checked; above the limit both lookups are shuffle joins.
+    checked. Above the limit both lookups are shuffle joins, but for the pairs
+    of hub ids (found by a counted sketch over both columns): these meet the
+    hubs' rows of the map, which are broadcast, so a hub in a third of the
+    pairs sends none of them to one task.
 
     ``keep_norm=True/False`` also brings the normalised (or raw) evidence id
     of each side as ``_n1`` / ``_n2``, computed once per map row instead of
@@ -138,19 +142,29 @@ def map_pair_ids(df: DataFrame, idmap: DataFrame, a: str = N.PROTEIN1, b: str =
         m0 = idmap.select(*cols, norm_id(N.STRING_ID, keep_norm).alias("_n"))
     else:
         m0 = idmap.select(*cols)
-    m = checked_broadcast(m0)
+    m, small = materialised(m0)
+    if small:
+        m = F.broadcast(m)
     extra_a = [F.col("_n").alias("_n1")] if keep_norm is not None else []
     extra_b = [F.col("_n").alias("_n2")] if keep_norm is not None else []
     left = m.select(F.col(N.UNIPROT_ID).alias("_ua"), F.col(N.STRING_ID).alias(out_a), *extra_a)
     right = m.select(F.col(N.UNIPROT_ID).alias("_ub"), F.col(N.STRING_ID).alias(out_b), *extra_b)
-    j = df.join(left, F.col(a) == F.col("_ua"), "inner").drop("_ua")
-    return j.join(right, F.col(b) == F.col("_ub"), "inner").drop("_ub")
+    if small:
+        j = df.join(left, F.col(a) == F.col("_ua"), "inner").drop("_ua")
+        return j.join(right, F.col(b) == F.col("_ub"), "inner").drop("_ub")
+    df = checkpoint(df, "pairs")
+    hubs = hub_keys(df, [a, b])
+    j = split_lookup(df, left, a, "_ua", hubs).drop("_ua")
+    return split_lookup(checkpoint(j, "half-mapped") if hubs else j, right, b, "_ub", hubs).drop("_ub")
 
 
 def link_scores(links: DataFrame, normalize: bool = True) -> DataFrame:
     """One score per unordered link: ``pair_key1, pair_key2, combined_score``,
     the largest when the two directions disagree."""
-    keyed = with_pair_keys(links, N.PROTEIN1, N.PROTEIN2, normalize)
+    return max_scores(with_pair_keys(links, N.PROTEIN1, N.PROTEIN2, normalize))
+
+
+def max_scores(keyed: DataFrame) -> DataFrame:
     return keyed.groupBy(N.PAIR_KEY1, N.PAIR_KEY2) \
         .agg(F.max(N.COMBINED_SCORE).alias(N.COMBINED_SCORE))
 
@@ -168,16 +182,25 @@ def compare_scores(pairs: DataFrame, links: DataFrame, idmap: DataFrame,
     """Predicted pair scores next to the evidence score of the same unordered
     pair of mapped ids; pairs without evidence keep a NULL score.
 
-    Plan: two lookups in the (checked) broadcast id map, the whole-row
-    distinct, and a shuffle of both sides on the pair key for the left join.
-    The link scores are written first: over two plain shuffles AQE can split a
-    hot pair key, over an aggregate it cannot.
+    Plan: two lookups in the (checked) broadcast id map and the whole-row
+    distinct, written once. A Bloom filter of the pair keys, sized from their
+    count, then drops links that match no pair before they are aggregated and
+    shuffled; it loses none that matches, so the left join is the same. The
+    link scores are written too: over two plain shuffles AQE can split a hot
+    pair key, over an aggregate it cannot.
     """
     mapped = map_pair_ids(comparison_pairs(pairs), idmap, keep_norm=normalize)
-    keyed = mapped.withColumns({N.PAIR_KEY1: F.least("_n1", "_n2"), N.PAIR_KEY2: F.greatest("_n1", "_n2")})
-    scores = checkpoint(link_scores(links, normalize), "link-scores")
-    out = keyed.join(scores, on=[N.PAIR_KEY1, N.PAIR_KEY2], how="left")
-    return out.select(*COMPARISON_COLUMNS)
+    keyed = checkpoint(mapped.select(*COMPARISON_COLUMNS[:-1], F.least("_n1", "_n2").alias(N.PAIR_KEY1),
+                                     F.greatest("_n1", "_n2").alias(N.PAIR_KEY2)), "mapped-pairs")
+    scores = checkpoint(matching_link_scores(links, keyed, normalize), "link-scores")
+    return keyed.join(scores, on=[N.PAIR_KEY1, N.PAIR_KEY2], how="left").select(*COMPARISON_COLUMNS)
+
+
+def matching_link_scores(links: DataFrame, keyed: DataFrame, normalize: bool = True) -> DataFrame:
+    """``link_scores`` of the links whose pair key may occur in ``keyed`` (a
+    written table): all that do, and a few that don't."""
+    key = [F.col(N.PAIR_KEY1), F.col(N.PAIR_KEY2)]
+    return max_scores(screened(with_pair_keys(links, N.PROTEIN1, N.PROTEIN2, normalize), key, keyed, key))
 
 
 def network_table(cmp: DataFrame, score: str = N.BEST, min_score: float = N.CONFIDENT_IPTM,

@@ -41,12 +41,17 @@ def histogram(df: DataFrame, col: str, bins: int, materialize: bool = False) ->
         .select("bin", "bin_start", "bin_end", F.coalesce(F.col("count"), F.lit(0)).alias("count"))
 
 
-def box_stats(df: DataFrame, group: str, value: str, whis: float = 1.5) -> DataFrame:
+def box_stats(df: DataFrame, group: str, value: str, whis: float = 1.5, materialize: bool = False) -> DataFrame:
     """Per group: ``n, q1, median, q3, iqr, whisker_low, whisker_high,
     n_outliers`` (quartiles linear-interpolated; whiskers are the furthest
     values within 1.5 IQR of the box). Rows without a group are left out. The
     fences, one row per group, are broadcast when their checked size allows:
-    a group with a third of the rows then stays spread over its scan tasks."""
+    a group with a third of the rows then stays spread over its scan tasks.
+    The rows are read four times; ``materialize`` writes the two columns first,
+    for a ``df`` that is dear to compute."""
+    df = df.select(group, value)
+    if materialize:
+        df = checkpoint(df, "box")
     fences = checked_broadcast(_fences(df, group, value, whis))
     j = df.select(group, value).where(F.col(value).isNotNull()).join(fences, on=group)
     inside = (F.col(value) >= F.col("_lo_fence")) & (F.col(value) <= F.col("_hi_fence"))
@@ -60,8 +65,11 @@ def box_stats(df: DataFrame, group: str, value: str, whis: float = 1.5) -> DataF
     )
 
 
-def box_outliers(df: DataFrame, group: str, value: str, whis: float = 1.5) -> DataFrame:
-    """Rows outside their group's fences (the points a box plot draws)."""
+def box_outliers(df: DataFrame, group: str, value: str, whis: float = 1.5, materialize: bool = False) -> DataFrame:
+    """Rows outside their group's fences (the points a box plot draws).
+    ``materialize`` writes ``df`` first: it is read four times."""
+    if materialize:
+        df = checkpoint(df, "box")
     fences = _fences(df, group, value, whis)
     j = df.where(F.col(value).isNotNull()).join(checked_broadcast(fences.select(group, "_lo_fence", "_hi_fence")), on=group)
     return j.where((F.col(value) < F.col("_lo_fence")) | (F.col(value) > F.col("_hi_fence"))) \

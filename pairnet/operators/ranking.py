@@ -14,8 +14,8 @@ most ``pairnet.singleTask.maxRows``, a plain window does the same work.
 
 Exact quantiles are then found by rank: the distinct values with their
 counts are ranked this way and the values at ranks ``floor(h)`` and
-``ceil(h)`` (``h = (n-1)q``) are picked. For a whole column only the values
-inside a verified ``percentile_approx`` bracket are ranked. No value set of
+``ceil(h)`` (``h = (n-1)q``) are picked. Only the values inside a verified
+``percentile_approx`` bracket, of the column or of a group, are ranked. No value set of
 a whole group is ever held in one buffer (Spark's ``percentile`` keeps a
 value->count map of the whole column in one task).
 """
@@ -116,9 +116,23 @@ def value_ranks(df: DataFrame, value: str, keys: Sequence[str] = (),
                          (F.col("cum__n") - 1).alias("_last"))
 
 
+#: A group's sketch errs by at most n / GROUP_ACCURACY ranks; its brackets reach GROUP_MARGIN times that far.
+GROUP_ACCURACY, GROUP_MARGIN = 1_000, 1.05
+
+
+def _beside(rows: DataFrame, groups: DataFrame, keys: Sequence[str], extra: Column | None = None) -> DataFrame:
+    """Rows with their group's columns; a NULL key is a key like any other."""
+    g = groups.withColumnsRenamed({k: f"_g_{i}" for i, k in enumerate(keys)})
+    cond = F.lit(True) if extra is None else extra
+    for i, k in enumerate(keys):
+        cond = cond & rows[k].eqNullSafe(g[f"_g_{i}"])
+    return rows.join(g, cond).drop(*[f"_g_{i}" for i in range(len(keys))])
+
+
 def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], keys: Sequence[str] = (),
                     interpolation: str = "linear", out: str = "quantile",
-                    num_blocks: int | None = None) -> DataFrame:
+                    num_blocks: int | None = None, materialize: bool = False,
+                    accuracy: int = GROUP_ACCURACY) -> DataFrame:
     """Exact quantiles of ``value`` per ``keys`` group (a NULL key is a group
     of its own), NULL values ignored.
 
@@ -126,45 +140,65 @@ def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], keys: Sequen
     with ``h = (n-1)q`` (the NumPy default). ``nearest``: ``x[round(h)]``,
     half away from zero. Returns ``keys, q, <out>``; groups with no value
     give no row.
+
+    1. One sketch a group (merged map-side) brackets every quantile;
+    2. one aggregate a group counts the values below and inside the brackets;
+    3. only values inside brackets are shuffled, counted by value and ranked.
+
+    The groups' brackets are broadcast when their checked size allows, so the
+    rows themselves are not shuffled and a group with a third of them stays
+    spread. A quantile whose bracket misses its ranks takes the whole group as
+    its bracket, so results are exact in every case. ``df`` is read three
+    times; ``materialize=True`` writes its key and value columns first.
     """
     keys = list(keys)
     if not keys:
-        return global_quantiles(df, value, qs, interpolation, out)
-    ranks = value_ranks(df, value, keys, num_blocks)
-    # Group sizes from the ranked distinct values (already materialised),
-    # not from a second pass over the input.
-    n = ranks.groupBy(*keys).agg((F.max("_last") + 1).alias("_cnt"))
-    qarr = F.array(*[F.lit(float(q)) for q in qs])
-    t = n.select(*keys, "_cnt", F.explode(qarr).alias("q"))
-    h = (F.col("_cnt") - 1).cast("double") * F.col("q")
-    if interpolation == "linear":
-        t = t.select(*keys, "q", F.floor(h).cast("long").alias("_klo"),
-                     F.ceil(h).cast("long").alias("_khi"),
-                     (h - F.floor(h)).alias("_frac"))
-    elif interpolation == "nearest":
-        k = F.round(h, 0).cast("long")
-        t = t.select(*keys, "q", k.alias("_klo"), k.alias("_khi"), F.lit(0.0).alias("_frac"))
-    else:
+        return global_quantiles(df, value, qs, interpolation, out, materialize=materialize)
+    if interpolation not in ("linear", "nearest"):
         raise ValueError(f"unknown interpolation {interpolation!r}")
-    # One row per (group, quantile): materialised and counted, then broadcast
-    # when small, so a group holding a third of the values is not sent to one
-    # join task; above the limit the join is a shuffle join with AQE's split.
-    t = checked_broadcast(t)
-    r = ranks.alias("r")
-    hit_lo = (F.col("r._first") <= F.col("t._klo")) & (F.col("t._klo") <= F.col("r._last"))
-    hit_hi = (F.col("r._first") <= F.col("t._khi")) & (F.col("t._khi") <= F.col("r._last"))
-    cond: Column = hit_lo | hit_hi
-    for k in keys:
-        cond = cond & F.col(f"r.{k}").eqNullSafe(F.col(f"t.{k}"))
-    j = r.join(t.alias("t"), on=cond, how="inner")
-    agg = j.groupBy(*[F.col(f"t.{k}").alias(k) for k in keys], F.col("t.q").alias("q")).agg(
-        F.max(F.when(hit_lo, F.col(f"r.{value}"))).alias("_vlo"),
-        F.max(F.when(hit_hi, F.col(f"r.{value}"))).alias("_vhi"),
-        F.max(F.col("t._frac")).alias("_frac"),
-    )
+    x = F.col("_x")
+    v = df.select(*keys, F.col(value).alias("_x")).where(x.isNotNull())
+    if materialize:
+        v = checkpoint(v, "values")
+    margin, m = GROUP_MARGIN / accuracy, len(qs)
+    probes = F.array(*[F.lit(p) for q in qs for p in (max(0.0, q - margin), min(1.0, q + margin))])
+    sketch = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("_cnt"), F.percentile_approx("_x", probes, accuracy).alias("_b"))
+    brackets = checked_broadcast(sketch.select(*keys, "_cnt", *[
+        c for i in range(m) for c in (F.col("_b")[2 * i].alias(f"_lo{i}"), F.col("_b")[2 * i + 1].alias(f"_hi{i}"))]))
+    inside = [(x >= F.col(f"_lo{i}")) & (x <= F.col(f"_hi{i}")) for i in range(m)]
+    counted = _beside(v, brackets, keys).groupBy(*keys).agg(*[
+        c for i in range(m) for c in (F.count_if(x < F.col(f"_lo{i}")).alias(f"_below{i}"),
+                                      F.count_if(inside[i]).alias(f"_in{i}"))])
+    plan = _beside(counted, brackets, keys)
+    for i, q in enumerate(qs):
+        h = (F.col("_cnt") - 1).cast("double") * F.lit(float(q))
+        nearest = F.round(h, 0)
+        low, high, part = (F.floor(h), F.ceil(h), h - F.floor(h)) if interpolation == "linear" else \
+            (nearest, nearest, F.lit(0.0))
+        holds = (F.col(f"_below{i}") <= low) & (high < F.col(f"_below{i}") + F.col(f"_in{i}"))
+        before = F.when(holds, F.col(f"_below{i}")).otherwise(0)
+        plan = plan.withColumns({f"_holds{i}": holds, f"_klo{i}": (low - before).cast("long"),
+                                 f"_khi{i}": (high - before).cast("long"), f"_frac{i}": part})
+    # One row a group.
+    plan = checked_broadcast(plan)
+    rows = plan.agg(*[F.sum(F.when(F.col(f"_holds{i}"), F.col(f"_in{i}")).otherwise(F.col("_cnt"))).alias(f"r{i}")
+                      for i in range(m)]).first()
+    tags = [F.when(~F.col(f"_holds{i}") | inside[i], F.lit(i)) for i in range(m)]
+    tagged = _beside(v, plan.select(*keys, *[f"_{c}{i}" for i in range(m) for c in ("lo", "hi", "holds")]), keys) \
+        .select(*keys, "_x", F.explode(F.array_compact(F.array(*tags))).alias("_q"))
+    ranks = value_ranks(tagged, "_x", [*keys, "_q"], num_blocks, max_rows=sum(r or 0 for r in rows))
+    targets = plan.select(*keys, F.inline(F.array(*[F.struct(
+        F.lit(i).alias("_i"), F.lit(float(q)).alias("q"), F.col(f"_klo{i}").alias("_klo"), F.col(f"_khi{i}").alias("_khi"),
+        F.col(f"_frac{i}").alias("_frac")) for i, q in enumerate(qs)])))
+    # One row for each group and quantile: broadcast when small; above the
+    # limit a shuffle join with AQE's split.
+    found = _beside(ranks, checked_broadcast(targets), keys, F.col("_q") == F.col("_i"))
+    picked = found.groupBy(*keys, "q").agg(
+        *[F.max(F.when((F.col("_first") <= F.col(k)) & (F.col(k) <= F.col("_last")), x)).alias(name)
+          for k, name in (("_klo", "_vlo"), ("_khi", "_vhi"))], F.max("_frac").alias("_frac"))
     res = F.when(F.col("_frac") == 0, F.col("_vlo")) \
         .otherwise(F.col("_vlo") + F.col("_frac") * (F.col("_vhi") - F.col("_vlo")))
-    return agg.select(*keys, "q", res.alias(out))
+    return picked.select(*keys, "q", res.alias(out))
 
 
 def _targets(n: int, q: float, interpolation: str) -> tuple[int, int, float]:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from pairnet.functions import names as N
 from pairnet.functions.expr import safe_div
+from pairnet.operators.cascade import nested_cutoffs
 from pairnet.operators.joins import scalars
 from pairnet.operators.pairs import unpivot_pairs
 from pairnet.operators.ranking import exact_quantile, exact_quantile_value, exact_quantiles
@@ -106,38 +107,18 @@ def filter_top_quantile(df: DataFrame, col: str = N.MEAN_CORRECTED,
 
 
 def quartile_cascade(df: DataFrame, col: str = N.MEAN_CORRECTED, q: float = N.CASCADE_QUANTILE,
-                     rounds: int = N.CASCADE_ROUNDS) -> tuple[DataFrame, DataFrame]:
+                     rounds: int = N.CASCADE_ROUNDS, materialize: bool = False) -> tuple[DataFrame, DataFrame]:
     """Repeat: cut-off = exact ``q`` percentile of what is left, keep rows
     ``>= cut-off``. Returns (survivors, one row per round: ``round, cutoff,
     kept``).
 
-    Survivors are never copied: round ``r`` is the input filtered by the
-    literal cut-offs found so far (pushed to the scan), and each cut-off
-    comes from the bracketed exact quantile, which ranks only a sliver of
-    the values."""
-    # The score column alone, written once: it is read by every pass of
-    # every round, and the input may be a derived plan.
-    vals = checkpoint(df.select(col), "cascade")
-    cur = df
-    cond = F.lit(True)
-    steps: list[tuple[int, float]] = []
-    kept = []
-    for r in range(1, rounds + 1):
-        c = exact_quantile_value(vals.where(cond), col, q)
-        if c is None:
-            break
-        cond = cond & (F.col(col) >= F.lit(c))
-        cur = df.where(cond)
-        steps.append((r, c))
-        kept.append(F.sum(F.when(cond, 1).otherwise(0)).alias(f"k{r}"))
-    if not steps:
-        empty = df.sparkSession.range(0).select(F.lit(0).alias("round"),
-                                                F.lit(0.0).alias("cutoff"), F.lit(0).cast("long").alias("kept"))
-        return cur, empty
-    # What each round kept, in one pass over the written column.
-    counts = vals.agg(*kept).first()
-    rows = [(r, float(c), int(counts[f"k{r}"])) for r, c in steps]
-    return cur, df.sparkSession.createDataFrame(rows, "round int, cutoff double, kept long")
+    Survivors are never copied: they are the input filtered by the last
+    cut-off as a literal, which a Parquet scan applies to its row groups. All
+    cut-offs and counts come from ``nested_cutoffs``: three passes over the
+    column, however many rounds."""
+    steps = nested_cutoffs(df, col, q, rounds, materialize=materialize)
+    table = df.sparkSession.createDataFrame([(r, float(c), k) for r, c, k in steps], "round int, cutoff double, kept long")
+    return (df.where(F.col(col) >= F.lit(steps[-1][1])) if steps else df), table
 
 
 def scale(df: DataFrame, col: str, method: str = "max", out: str | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pairnet.functions import names as N
 from pairnet.session import stage_path
@@ -75,3 +76,24 @@ def stage_text_inputs(inp: Inputs, gzip_links: bool = False,
         write_delimited(inp.info().withColumnRenamed(N.STRING_ID, info_header),
                         path(N.INFO_DATA_ID), sep="\t", quote="")
     return d
+
+
+def stage_odd_links(inp: Inputs) -> str:
+    """The links file with lines that aren't rows among them: some without a
+    score, some with a field too many, some with letters in the score."""
+    part, score = F.col(N.COMBINED_SCORE) % 50, F.col(N.COMBINED_SCORE).cast("string")
+    end = F.when(part == 0, "").when(part == 1, F.concat(F.lit(" "), score, F.lit(" extra"))) \
+        .when(part == 2, F.concat(F.lit(" x"), score)).otherwise(F.concat(F.lit(" "), score))
+    path = f"{stage_path(inp.spark, 'odd')}/{R.evidence_file_name(N.LINKS_DATA_ID, ORGANISM)}"
+    lines = inp.links().select(F.concat(N.PROTEIN1, F.lit(" "), N.PROTEIN2, end)
+                               .alias(f"{N.PROTEIN1} {N.PROTEIN2} {N.COMBINED_SCORE}"))
+    return write_delimited(lines, path, sep="\t", quote="")
+
+
+def stage_one_gz(inp: Inputs) -> str:
+    """The links as one single ``.gz`` file, as they are published."""
+    d = stage_path(inp.spark, "gz")
+    write_delimited(inp.links().coalesce(1), d, sep=" ", compression="gzip")
+    p = inp.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(d)
+    files = p.getFileSystem(inp.spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p)
+    return next(str(f.getPath()) for f in files if f.getPath().getName().endswith(".gz"))

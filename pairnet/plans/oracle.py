@@ -232,8 +232,14 @@ _Q: dict[str, tuple[str, tuple[str, ...]]] = {
     "read_info": ("SELECT string_id, preferred_name, annotation FROM info", ()),
     "read_links_gz": ("SELECT protein1, protein2, combined_score FROM links", ()),
     "read_links_strict": ("SELECT protein1, protein2, combined_score FROM links", ()),
-    "links_rejected": ("SELECT 'combined_score' AS \"column\", count(*) FILTER (WHERE combined_score IS NULL) AS rejected "
-                       "FROM links", ()),
+    "read_links_gz_file": ("SELECT protein1, protein2, combined_score FROM links", ()),
+    "links_rejected": ("SELECT CASE WHEN combined_score % 50 < 2 THEN 'fields' WHEN combined_score % 50 = 2 THEN 'value' "
+                       "ELSE 'kept' END AS reason, count(*) AS lines FROM links GROUP BY 1", ()),
+    "links_kept": ("SELECT protein1, protein2, combined_score FROM links WHERE combined_score % 50 > 2", ()),
+    "links_quarantine": ("SELECT CASE WHEN combined_score % 50 < 2 THEN 'fields' ELSE 'value' END AS reject_reason, "
+                         "protein1 || ' ' || protein2 || CASE combined_score % 50 WHEN 0 THEN '' "
+                         "WHEN 1 THEN ' ' || combined_score || ' extra' ELSE ' x' || combined_score END AS raw_line "
+                         "FROM links WHERE combined_score % 50 <= 2", ()),
     "read_evidence": ("SELECT regexp_replace(protein1, '^9\\.', '') AS protein1, "
                       "regexp_replace(protein2, '^9\\.', '') AS protein2, combined_score FROM links", ()),
     "strip_prefix": ("SELECT regexp_replace(string_id, '^9\\.', '') AS string_id, alias, source FROM aliases", ()),
@@ -244,6 +250,10 @@ _Q: dict[str, tuple[str, tuple[str, ...]]] = {
     "sink_delimited": (_network(), CMP_DOUBLES),
     "sink_edges": (_edges(f"SELECT * FROM pairs WHERE {MC} >= 0.061"), ("weight",)),
     "sink_parquet": ("SELECT * FROM cmp", CMP_DOUBLES),
+    "sink_verified": ("SELECT * FROM cmp", CMP_DOUBLES),
+    "sink_manifest": (" UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", count(*) AS \"rows\", count(*) - count({c}) AS nulls FROM cmp"
+        for c in ("protein1", "protein2", *SCORES4, "string_id1", "string_id2", "combined_score")), ()),
     "sink_network": (f"SELECT *, 'best' AS variant FROM ({_network()}) b UNION ALL "
                      f"SELECT *, 'mean' AS variant FROM ({_network('chain_pair_iptm_mean')}) m", CMP_DOUBLES),
     # 2.3 projections
@@ -283,6 +293,13 @@ _Q: dict[str, tuple[str, tuple[str, ...]]] = {
     "id_info_join": ("SELECT m.string_id, m.uniprot_id, i.preferred_name, i.annotation "
                      "FROM idmap m JOIN info i ON m.string_id = i.string_id", ()),
     "compare_scores": ("SELECT * FROM cmp", CMP_DOUBLES),
+    "compare_scores_exact": ("""
+SELECT m.*, l.combined_score FROM (
+  SELECT p.*, a1.string_id AS string_id1, a2.string_id AS string_id2
+  FROM pairs2 p JOIN annotated a1 ON p.protein1 = a1.uniprot_id JOIN annotated a2 ON p.protein2 = a2.uniprot_id) m
+LEFT JOIN (SELECT least(protein1, protein2) AS k1, greatest(protein1, protein2) AS k2, max(combined_score) AS combined_score
+           FROM links GROUP BY 1, 2) l
+  ON least(m.string_id1, m.string_id2) = l.k1 AND greatest(m.string_id1, m.string_id2) = l.k2""", CMP_DOUBLES),
     "left_join_suffix": ("SELECT * FROM annotated", ()),
     "map_pair_ids": ("SELECT * FROM mapped", SCORES4),
     # 2.6 aggregations
@@ -375,10 +392,15 @@ WHERE b.protein_avg_iptm < f.lo OR b.protein_avg_iptm > f.hi""",
                   f"greatest({NORM('protein1')}, {NORM('protein2')}) AS pair_key2 FROM links", ()),
     # 2.11 composed jobs
     "confident_pairs": ("SELECT * FROM cp", ("chain_pair_iptm_best", "chain_pair_iptm_mean", "ptm", "iptm")),
+    "confident_pairs_bucketed": ("SELECT * FROM cp", ("chain_pair_iptm_best", "chain_pair_iptm_mean", "ptm", "iptm")),
     "id_map": ("SELECT * FROM idmap", ()),
     "gene_name_map": ("SELECT * FROM genes", ()),
     "annotated_ids": ("SELECT * FROM annotated", ()),
     "matched_missing": ("SELECT * FROM mm", ()),
+    "matched_missing_exact": ("""
+SELECT h.uniprot_id, h.string_id, i.preferred_name AS string_gene_name, i.annotation
+FROM (SELECT DISTINCT p.protein_id AS uniprot_id, a.string_id FROM need p JOIN aliases_uni a ON p.protein_id = lower(a.alias)) h
+JOIN info i ON h.string_id = i.string_id""", ()),
     "quartile_cascade": (f"""
 SELECT 1 AS round, c1 AS cutoff, (SELECT count(*) FROM pairs p WHERE p.{MC} >= c1) AS kept FROM cutoffs
 UNION ALL SELECT 2, c2, (SELECT count(*) FROM pairs p WHERE p.{MC} >= c1 AND p.{MC} >= c2) FROM cutoffs

@@ -21,10 +21,11 @@ from pairnet.operators import pairs as P
 from pairnet.operators import profile as PR
 from pairnet.operators import stats as S
 from pairnet.operators.reshape import exclude_regex, left_join_suffix
-from pairnet.plans.inputs import ORGANISM, Inputs, stage_parquet_inputs, stage_text_inputs
+from pairnet.plans.inputs import ORGANISM, Inputs, stage_odd_links, stage_one_gz, stage_parquet_inputs, stage_text_inputs
 from pairnet.session import stage_path
 from pairnet.sources import readers as R
 from pairnet.sources import sinks as K
+from pairnet.sources.bucketed import write_bucketed
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
@@ -132,12 +133,28 @@ def q_read_links_strict(i):
     return R.read_links(i.spark, f"{d}/{R.evidence_file_name(N.LINKS_DATA_ID, ORGANISM)}", strict=True)
 
 
+@query("read_links_gz_file")
+def q_read_links_gz_file(i):
+    """One single ``.gz``, parsed once and read from its Parquet copy."""
+    return R.read_links_landed(i.spark, stage_one_gz(i))
+
+
 @query("links_rejected")
 def q_links_rejected(i):
-    """How many scores of the links file aren't whole numbers."""
-    d = stage_text_inputs(i, only=[N.LINKS_DATA_ID])
-    raw = R.read_delimited(i.spark, f"{d}/{R.evidence_file_name(N.LINKS_DATA_ID, ORGANISM)}", " ", quote="")
-    return R.rejected_values(raw, R.score_columns(raw))
+    """How many lines of a links file are rows, have a wrong number of fields,
+    or a score that is no whole number."""
+    return R.reject_counts(R.checked_links(i.spark, stage_odd_links(i)))
+
+
+@query("links_kept")
+def q_links_kept(i):
+    return R.kept_links(R.checked_links(i.spark, stage_odd_links(i)))
+
+
+@query("links_quarantine")
+def q_links_quarantine(i):
+    """The lines that aren't rows, with the reason."""
+    return R.quarantine(R.checked_links(i.spark, stage_odd_links(i)))
 
 
 @query("read_evidence")
@@ -202,6 +219,24 @@ def q_sink_parquet(i):
     return i.spark.read.parquet(path)
 
 
+@query("sink_verified")
+def q_sink_verified(i):
+    """Written with a manifest, read back because it is complete."""
+    path = stage_path(i.spark, "verified")
+    K.write_verified(_cmp(i), path)
+    return i.spark.read.parquet(K.complete(i.spark, path))
+
+
+@query("sink_manifest")
+def q_sink_manifest(i):
+    """Rows and NULLs by column of the comparison's CSV, as observed while it
+    was written."""
+    path = stage_path(i.spark, "manifest")
+    K.write_verified(_cmp(i), path, K.write_csv)
+    m = K.read_manifest(i.spark, path)
+    return i.spark.createDataFrame([(c, m["rows"], n) for c, n in m["nulls"].items()], "column string, rows long, nulls long")
+
+
 @query("sink_network")
 def q_sink_network(i):
     cmp = _cmp(i)
@@ -345,6 +380,16 @@ def q_compare_scores(i):
     return _cmp(i)
 
 
+@query("compare_scores_exact")
+def q_compare_scores_exact(i):
+    """The notebook form: ids matched and pair keys built without
+    normalisation, the id map from the annotated ids."""
+    ids = I.annotated_ids(_proteins(i), i.aliases(), i.info(), normalize=False)
+    cmp = P.compare_scores(i.pairs(), P.distinct_links(i.links()), ids.select(N.UNIPROT_ID, N.STRING_ID), normalize=False)
+    return cmp.select(N.PROTEIN1, N.PROTEIN2, N.BEST, N.MEAN, N.BEST_CORRECTED, N.MEAN_CORRECTED,
+                      N.STRING_ID1, N.STRING_ID2, N.COMBINED_SCORE)
+
+
 @query("left_join_suffix")
 def q_left_join_suffix(i):
     """Annotated ids left-joined to the first local match of each missing id;
@@ -529,12 +574,12 @@ def _bias_for_box(i: Inputs) -> DataFrame:
 
 @query("box_stats")
 def q_box_stats(i):
-    return PR.box_stats(_bias_for_box(i), N.INTERACTION_COUNT, N.PROTEIN_AVG)
+    return PR.box_stats(_bias_for_box(i), N.INTERACTION_COUNT, N.PROTEIN_AVG, materialize=True)
 
 
 @query("box_outliers")
 def q_box_outliers(i):
-    return PR.box_outliers(_bias_for_box(i), N.INTERACTION_COUNT, N.PROTEIN_AVG)
+    return PR.box_outliers(_bias_for_box(i), N.INTERACTION_COUNT, N.PROTEIN_AVG, materialize=True)
 
 
 @query("regression_best")
@@ -597,6 +642,13 @@ def q_confident_pairs(i):
     return _confident(i)
 
 
+@query("confident_pairs_bucketed")
+def q_confident_pairs_bucketed(i):
+    """From tables in buckets of the run name: the join needs no shuffle."""
+    return P.confident_pairs(write_bucketed(i.pairs().select(*PAIR_COLS), N.NAME, 16, "pairs"),
+                             write_bucketed(i.conf(), N.NAME, 16, "confidences"))
+
+
 @query("id_map")
 def q_id_map(i):
     return _idmap(i)
@@ -617,6 +669,12 @@ def q_matched_missing(i):
     return I.matched_missing(_proteins(i), I.gene_name_map(i.pairs()), i.aliases(), i.info())
 
 
+@query("matched_missing_exact")
+def q_matched_missing_exact(i):
+    """The notebook form: the alias lower-cased, the id as it is."""
+    return I.matched_missing(_proteins(i), I.gene_name_map(i.pairs()), i.aliases(), i.info(), normalize=False)
+
+
 @query("quartile_cascade")
 def q_quartile_cascade(i):
     return S.quartile_cascade(i.pairs())[1]

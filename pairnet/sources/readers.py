@@ -5,16 +5,20 @@ Text files are read with every column as a string (no schema-inference pass
 over the data) and the numeric columns are cast afterwards. By default with
 ``try_cast``: a malformed value gives NULL, and ``rejected_values`` counts such
 values. ``strict=True`` fails the job instead, also for a row with a wrong
-number of fields.
+number of fields. ``checked_links`` keeps both apart: rows, and a quarantine of
+the lines that aren't rows, with the reason.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from pairnet.functions import names as N
 from pairnet.functions.expr import all_not_null, strip_prefix
+from pairnet.session import checkpoint
+from pairnet.sources.landing import landed
 
 
 def read_pairs(spark: SparkSession, path: str, drop_null_ids: bool = True) -> DataFrame:
@@ -76,12 +80,65 @@ def score_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c not in (N.PROTEIN1, N.PROTEIN2)]
 
 
+#: Columns that ``checked_links`` adds, and its reasons.
+RAW_LINE, REASON = "raw_line", "reject_reason"
+WRONG_FIELDS, WRONG_VALUE = "fields", "value"
+
+
+def checked_links(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
+    """A links file with every line accounted for: its columns (scores as
+    whole numbers), ``reject_reason`` and ``raw_line``.
+
+    ``fields``: the line has more or fewer fields than the header.
+    ``value``: a score is there but is no whole number. A rejected line's
+    ``raw_line`` holds its text, a kept one has neither. The table is parsed
+    once and written; ``kept_links``, ``quarantine`` and ``reject_counts``
+    read the written copy."""
+    columns = read_delimited(spark, path, " ", quote="").columns
+    schema = StructType([StructField(c, StringType()) for c in [*columns, RAW_LINE]])
+    raw = (
+        spark.read.schema(schema).option("header", True).option("sep", " ").option("quote", "")
+        .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", RAW_LINE)
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+        .csv(path)
+    )
+    scores = score_columns(raw.drop(RAW_LINE))
+    odd = F.lit(False)
+    for c in scores:
+        odd = odd | (F.col(f"`{c}`").isNotNull() & F.col(f"`{c}`").try_cast("bigint").isNull())
+    line = F.concat_ws(" ", *[F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in columns])
+    parsed = _spread(raw, partitions).withColumn(
+        REASON, F.when(F.col(RAW_LINE).isNotNull(), WRONG_FIELDS).when(odd, WRONG_VALUE)) \
+        .withColumn(RAW_LINE, F.coalesce(RAW_LINE, F.when(F.col(REASON).isNotNull(), line)))
+    return checkpoint(cast_longs(parsed, scores), "checked-links")
+
+
+def kept_links(checked: DataFrame) -> DataFrame:
+    return checked.where(F.col(REASON).isNull()).drop(RAW_LINE, REASON)
+
+
+def quarantine(checked: DataFrame) -> DataFrame:
+    """The rejected lines: ``reject_reason``, ``raw_line``."""
+    return checked.where(F.col(REASON).isNotNull()).select(REASON, RAW_LINE)
+
+
+def reject_counts(checked: DataFrame) -> DataFrame:
+    """``reason`` (``kept`` or why not), ``lines``."""
+    return checked.groupBy(F.coalesce(REASON, F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("lines"))
+
+
+def read_links_landed(spark: SparkSession, path: str) -> DataFrame:
+    """As ``read_links``, but parsed once for all jobs and kept as Parquet:
+    the way to read a ``.gz``."""
+    return landed(spark, path, read_links, "links")
+
+
 def read_links(spark: SparkSession, path: str, partitions: int | None = None, strict: bool = False) -> DataFrame:
     """Space-separated links file: ``protein1 protein2 <scores..> combined_score``.
 
     A gzipped file is read by one task (gzip cannot be split);
     ``partitions`` spreads the rows right after the scan so that the work
-    downstream runs in parallel (better still: convert once to Parquet)."""
+    downstream runs in parallel (better still: ``read_links_landed``)."""
     df = _spread(read_delimited(spark, path, " ", quote="", strict=strict), partitions)
     return cast_longs(df, score_columns(df), strict)
 
