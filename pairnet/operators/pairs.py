@@ -177,22 +177,40 @@ COMPARISON_COLUMNS = (N.PROTEIN1, N.PROTEIN2, N.BEST, N.MEAN, N.MEAN_CORRECTED,
                       N.BEST_CORRECTED, N.STRING_ID1, N.STRING_ID2, N.COMBINED_SCORE)
 
 
+#: Links that are screened before they are aggregated, by the plan's estimate
+#: of their bytes (session conf ``pairnet.bloom.minBytes``); fewer are shuffled
+#: faster than a filter is built.
+SCREEN_BYTES = 64 << 20
+
+
+def worth_screening(links: DataFrame) -> bool:
+    least = int(links.sparkSession.conf.get("pairnet.bloom.minBytes", str(SCREEN_BYTES)))
+    return int(str(links._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >= least
+
+
 def compare_scores(pairs: DataFrame, links: DataFrame, idmap: DataFrame,
-                   normalize: bool = True) -> DataFrame:
+                   normalize: bool = True, screen: bool | None = None) -> DataFrame:
     """Predicted pair scores next to the evidence score of the same unordered
     pair of mapped ids; pairs without evidence keep a NULL score.
 
-    Plan: two lookups in the (checked) broadcast id map and the whole-row
-    distinct, written once. A Bloom filter of the pair keys, sized from their
-    count, then drops links that match no pair before they are aggregated and
-    shuffled; it loses none that matches, so the left join is the same. The
-    link scores are written too: over two plain shuffles AQE can split a hot
-    pair key, over an aggregate it cannot.
+    Plan: two lookups in the (checked) broadcast id map, the whole-row
+    distinct, and a shuffle of both sides on the pair key for the left join.
+    ``screen`` (default: where the links are many by their checked size): the
+    mapped pairs are written, and a Bloom filter of their keys, sized from
+    their count, drops links that match no pair before they are aggregated and
+    shuffled; it loses none that matches, so the result is the same. The link
+    scores are written in any case: over two plain shuffles AQE can split a
+    hot pair key, over an aggregate it cannot.
     """
     mapped = map_pair_ids(comparison_pairs(pairs), idmap, keep_norm=normalize)
-    keyed = checkpoint(mapped.select(*COMPARISON_COLUMNS[:-1], F.least("_n1", "_n2").alias(N.PAIR_KEY1),
-                                     F.greatest("_n1", "_n2").alias(N.PAIR_KEY2)), "mapped-pairs")
-    scores = checkpoint(matching_link_scores(links, keyed, normalize), "link-scores")
+    keyed = mapped.select(*COMPARISON_COLUMNS[:-1], F.least("_n1", "_n2").alias(N.PAIR_KEY1),
+                          F.greatest("_n1", "_n2").alias(N.PAIR_KEY2))
+    if worth_screening(links) if screen is None else screen:
+        keyed = checkpoint(keyed, "mapped-pairs")
+        scores = matching_link_scores(links, keyed, normalize)
+    else:
+        scores = link_scores(links, normalize)
+    scores = checkpoint(scores, "link-scores")
     return keyed.join(scores, on=[N.PAIR_KEY1, N.PAIR_KEY2], how="left").select(*COMPARISON_COLUMNS)
 
 

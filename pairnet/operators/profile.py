@@ -52,7 +52,7 @@ def box_stats(df: DataFrame, group: str, value: str, whis: float = 1.5, material
     df = df.select(group, value)
     if materialize:
         df = checkpoint(df, "box")
-    fences = checked_broadcast(_fences(df, group, value, whis))
+    fences = checked_broadcast(_fences(df, group, value, whis, materialize))
     j = df.select(group, value).where(F.col(value).isNotNull()).join(fences, on=group)
     inside = (F.col(value) >= F.col("_lo_fence")) & (F.col(value) <= F.col("_hi_fence"))
     return j.groupBy(group).agg(
@@ -70,14 +70,14 @@ def box_outliers(df: DataFrame, group: str, value: str, whis: float = 1.5, mater
     ``materialize`` writes ``df`` first: it is read four times."""
     if materialize:
         df = checkpoint(df, "box")
-    fences = _fences(df, group, value, whis)
+    fences = _fences(df, group, value, whis, materialize)
     j = df.where(F.col(value).isNotNull()).join(checked_broadcast(fences.select(group, "_lo_fence", "_hi_fence")), on=group)
     return j.where((F.col(value) < F.col("_lo_fence")) | (F.col(value) > F.col("_hi_fence"))) \
         .drop("_lo_fence", "_hi_fence")
 
 
-def _fences(df: DataFrame, group: str, value: str, whis: float) -> DataFrame:
-    qs = exact_quantiles(df, value, [0.25, 0.5, 0.75], keys=[group], out="_v")
+def _fences(df: DataFrame, group: str, value: str, whis: float, written: bool) -> DataFrame:
+    qs = exact_quantiles(df, value, [0.25, 0.5, 0.75], keys=[group], out="_v", written=written)
     wide = qs.groupBy(group).agg(
         F.max(F.when(F.col("q") == 0.25, F.col("_v"))).alias("q1"),
         F.max(F.when(F.col("q") == 0.5, F.col("_v"))).alias("median"),

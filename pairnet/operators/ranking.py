@@ -131,7 +131,7 @@ def _beside(rows: DataFrame, groups: DataFrame, keys: Sequence[str], extra: Colu
 
 def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], keys: Sequence[str] = (),
                     interpolation: str = "linear", out: str = "quantile",
-                    num_blocks: int | None = None, materialize: bool = False,
+                    num_blocks: int | None = None, materialize: bool = False, written: bool = False,
                     accuracy: int = GROUP_ACCURACY) -> DataFrame:
     """Exact quantiles of ``value`` per ``keys`` group (a NULL key is a group
     of its own), NULL values ignored.
@@ -149,7 +149,9 @@ def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], keys: Sequen
     rows themselves are not shuffled and a group with a third of them stays
     spread. A quantile whose bracket misses its ranks takes the whole group as
     its bracket, so results are exact in every case. ``df`` is read three
-    times; ``materialize=True`` writes its key and value columns first.
+    times; ``materialize=True`` writes its key and value columns first. Of such
+    a table, or a ``written`` one, the rows are counted: if they are at most
+    ``single_task_rows``, whole groups are ranked without a sketch.
     """
     keys = list(keys)
     if not keys:
@@ -160,16 +162,23 @@ def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], keys: Sequen
     v = df.select(*keys, F.col(value).alias("_x")).where(x.isNotNull())
     if materialize:
         v = checkpoint(v, "values")
-    margin, m = GROUP_MARGIN / accuracy, len(qs)
-    probes = F.array(*[F.lit(p) for q in qs for p in (max(0.0, q - margin), min(1.0, q + margin))])
-    sketch = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("_cnt"), F.percentile_approx("_x", probes, accuracy).alias("_b"))
-    brackets = checked_broadcast(sketch.select(*keys, "_cnt", *[
-        c for i in range(m) for c in (F.col("_b")[2 * i].alias(f"_lo{i}"), F.col("_b")[2 * i + 1].alias(f"_hi{i}"))]))
+    m = len(qs)
     inside = [(x >= F.col(f"_lo{i}")) & (x <= F.col(f"_hi{i}")) for i in range(m)]
-    counted = _beside(v, brackets, keys).groupBy(*keys).agg(*[
-        c for i in range(m) for c in (F.count_if(x < F.col(f"_lo{i}")).alias(f"_below{i}"),
-                                      F.count_if(inside[i]).alias(f"_in{i}"))])
-    plan = _beside(counted, brackets, keys)
+    if (materialize or written) and v.count() <= single_task_rows(df):
+        none = F.lit(None).cast(v.schema["_x"].dataType)
+        plan = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("_cnt")).withColumns(
+            {name: value for i in range(m) for name, value in (
+                (f"_lo{i}", none), (f"_hi{i}", none), (f"_below{i}", F.lit(0)), (f"_in{i}", F.lit(0)))})
+    else:
+        margin = GROUP_MARGIN / accuracy
+        probes = F.array(*[F.lit(p) for q in qs for p in (max(0.0, q - margin), min(1.0, q + margin))])
+        sketch = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("_cnt"), F.percentile_approx("_x", probes, accuracy).alias("_b"))
+        brackets = checked_broadcast(sketch.select(*keys, "_cnt", *[
+            c for i in range(m) for c in (F.col("_b")[2 * i].alias(f"_lo{i}"), F.col("_b")[2 * i + 1].alias(f"_hi{i}"))]))
+        counted = _beside(v, brackets, keys).groupBy(*keys).agg(*[
+            c for i in range(m) for c in (F.count_if(x < F.col(f"_lo{i}")).alias(f"_below{i}"),
+                                          F.count_if(inside[i]).alias(f"_in{i}"))])
+        plan = _beside(counted, brackets, keys)
     for i, q in enumerate(qs):
         h = (F.col("_cnt") - 1).cast("double") * F.lit(float(q))
         nearest = F.round(h, 0)

@@ -293,6 +293,7 @@ _Q: dict[str, tuple[str, tuple[str, ...]]] = {
     "id_info_join": ("SELECT m.string_id, m.uniprot_id, i.preferred_name, i.annotation "
                      "FROM idmap m JOIN info i ON m.string_id = i.string_id", ()),
     "compare_scores": ("SELECT * FROM cmp", CMP_DOUBLES),
+    "compare_scores_screened": ("SELECT * FROM cmp", CMP_DOUBLES),
     "compare_scores_exact": ("""
 SELECT m.*, l.combined_score FROM (
   SELECT p.*, a1.string_id AS string_id1, a2.string_id AS string_id2

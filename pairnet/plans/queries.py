@@ -380,6 +380,12 @@ def q_compare_scores(i):
     return _cmp(i)
 
 
+@query("compare_scores_screened")
+def q_compare_scores_screened(i):
+    """The links screened by a Bloom filter of the pair keys, whatever their size."""
+    return P.compare_scores(i.pairs(), i.links(), _idmap(i), screen=True)
+
+
 @query("compare_scores_exact")
 def q_compare_scores_exact(i):
     """The notebook form: ids matched and pair keys built without

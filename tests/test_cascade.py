@@ -73,15 +73,15 @@ def test_empty_columns(spark):
     assert nested_cutoffs(df, "v", 0.75, 3) == [] and nested_cutoffs(df.limit(0), "v", 0.75, 3) == []
 
 
-@pytest.mark.parametrize("accuracy", [20, 2000])
-def test_grouped_quantiles_are_exact(spark, accuracy):
+@pytest.mark.parametrize("accuracy, materialize", [(20, False), (2000, False), (2000, True)])
+def test_grouped_quantiles_are_exact(spark, accuracy, materialize):
     """A coarse sketch's brackets miss ranks of small groups: they fall back."""
     rng = np.random.default_rng(7)
     rows = [(g, float(v)) for g, n in (("hot", 6000), ("b", 700), ("c", 1), (None, 40))
             for v in (rng.random(n) if g != "b" else rng.integers(0, 3, n))]
     df = spark.createDataFrame(rows + [("none", None)], "g string, v double").repartition(4)
     for how in ("linear", "nearest"):
-        got = {(r["g"], r["q"]): r["quantile"] for r in exact_quantiles(df, "v", [0.0, 0.25, 0.5, 0.99, 1.0], ["g"], how, accuracy=accuracy).collect()}
+        got = {(r["g"], r["q"]): r["quantile"] for r in exact_quantiles(df, "v", [0.0, 0.25, 0.5, 0.99, 1.0], ["g"], how, accuracy=accuracy, materialize=materialize).collect()}
         assert len(got) == 4 * 5
         for (g, q), v in got.items():
             x = np.sort([b for a, b in rows if a == g])
