@@ -3,14 +3,18 @@
 An individual is a partition of documents' pieces into bins (sequences).
 Crossover injects whole well-filled bins of one parent into the other, takes
 out the bins that hold any injected piece twice, and puts the displaced pieces
-back by best fit, longest first. Mutation dissolves the emptiest bins.
+back by best fit, longest first. Mutation dissolves the emptiest bins, lets
+the others swap one or two pieces for loose ones that fill them better, and
+best-fits what is loose then.
 
 Pieces are dealt by hash into groups of bounded size. Every group is bred on
 several islands (a row each, spread over the cluster); between epochs the
 elite of an island moves to the next one of its group. The best individual of
-a group's islands wins. Bins that a group leaves poorly filled are dissolved
-and their pieces form the groups of the next level, until one group is left,
-so unused room doesn't grow with the number of groups.
+a group's islands wins. The emptiest bins with room that a group leaves (an
+eighth of its bins, up to half if they are poorly filled) are dissolved and
+their pieces form the groups of the next level, until one group is left, so
+unused room doesn't grow with the number of groups. A group whose other bins
+are all full needs no breeding: what it leaves open is packed anew anyway.
 """
 
 from __future__ import annotations
@@ -18,12 +22,14 @@ from __future__ import annotations
 import random
 import struct
 import zlib
+from bisect import bisect_right, insort
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairnet.llm.common import narrow, parts_for, shuffle_parts, text_batches
@@ -31,12 +37,22 @@ from pairnet.llm.encoders import encoder
 from pairnet.session import checkpoint
 
 GROUP_PIECES = 2048
+#: Full sequences that a group's pieces fill at least, on average.
+GROUP_BINS = 64
 ISLANDS = 3
 EPOCHS = 2
 POPULATION = 6
 GENERATIONS = 6
-#: Bins below this share of the room are dissolved for the next level.
+#: Of the last level, which is one group: its leftovers are all that is lost.
+LAST_GENERATIONS = 40
+#: Share of a group's bins that are dissolved for the next level, and the
+#: share up to which those filled below ``POOR`` are too.
+OPEN, OPEN_POOR = 1 / 8, 1 / 2
 POOR = 0.9
+#: Bins of up to so many pieces also swap two pieces at a time.
+WIDE = 8
+#: Up to so many displaced pieces are offered to the bins for swaps.
+LOOSE = 64
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 
@@ -121,6 +137,9 @@ def crossover(one, two, lengths, capacity, rng) -> list[list[int]]:
     own = {i for b in injected for i in b}
     kept = [b for b in one if own.isdisjoint(b)]
     displaced = [i for b in one if not own.isdisjoint(b) for i in b if i not in own]
+    if len(displaced) <= LOOSE:
+        kept = [list(b) for b in kept]
+        displaced = swapped(kept, displaced, lengths, capacity)
     displaced.sort(key=lambda i: -lengths[i])
     return best_fit(displaced, lengths, capacity, kept + injected)
 
@@ -128,39 +147,86 @@ def crossover(one, two, lengths, capacity, rng) -> list[list[int]]:
 def mutate(bins, lengths, capacity, rng) -> list[list[int]]:
     ranked = sorted(bins, key=lambda b: sum(lengths[i] for i in b))
     n = min(len(ranked), 1 + rng.randrange(4))
-    away = ranked[:n] + [ranked[rng.randrange(len(ranked))]]
+    away = ranked[:n] + rng.sample(ranked, min(len(ranked), 1 << rng.randrange(5)))
     gone = {id(b) for b in away}
-    loose = list({i for b in away for i in b})
+    kept = [list(b) for b in ranked if id(b) not in gone]
+    rng.shuffle(kept)
+    loose = swapped(kept, {i for b in away for i in b}, lengths, capacity)
     loose.sort(key=lambda i: -lengths[i] * (0.8 + 0.4 * rng.random()))
-    return best_fit(loose, lengths, capacity, [b for b in ranked if id(b) not in gone])
+    return best_fit(loose, lengths, capacity, kept)
+
+
+def swapped(bins: list[list[int]], loose, lengths: list[int], capacity: int) -> list[int]:
+    """Every bin with room gives up one or two pieces for one or two ``loose``
+    ones that fill it better, as far as there are any; returns what is loose
+    after that. Loose pieces only get shorter, so they are easier to place."""
+    order = sorted((lengths[i], i) for i in loose)
+    for b in bins:
+        free = capacity - sum(lengths[i] for i in b)
+        if not free or not order:
+            continue
+        best, gain = None, 0
+        for out in [*((i,) for i in b), *(combinations(b, 2) if len(b) <= WIDE else ())]:
+            own = sum(lengths[i] for i in out)
+            top = own + free
+            one = bisect_right(order, (top, len(lengths))) - 1
+            if one >= 0 and order[one][0] - own > gain:
+                best, gain = (out, (order[one],)), order[one][0] - own
+            lo, hi = 0, len(order) - 1
+            while lo < hi and gain < free:
+                both = order[lo][0] + order[hi][0]
+                if both > top:
+                    hi -= 1
+                    continue
+                if both - own > gain:
+                    best, gain = (out, (order[lo], order[hi])), both - own
+                lo += 1
+            if gain == free:
+                break
+        if best:
+            out, into = best
+            b[:] = [i for i in b if i not in out] + [i for _, i in into]
+            for x in into:
+                order.remove(x)
+            for i in out:
+                insort(order, (lengths[i], i))
+    return [i for _, i in order]
 
 
 def evolve(lengths: list[int], population: list[list[list[int]]], capacity: int, seed: str,
-           size: int = POPULATION, generations: int = GENERATIONS) -> list[list[list[int]]]:
+           size: int = POPULATION, generations: int = GENERATIONS, spare: float = 0.0) -> list[list[list[int]]]:
     """The population after some generations, best first; ends at once when
-    the best one uses no more bins than the total length needs."""
+    the best one uses no more bins than the total length needs, or has room in
+    no more than the share ``spare`` of its bins (these are packed anew)."""
     rng = random.Random(seed)
     least = -(-sum(lengths) // capacity)
     n = len(lengths)
+
+    def good(bins: list[list[int]]) -> bool:
+        if len(bins) <= least:
+            return True
+        return spare > 0 and sum(sum(lengths[i] for i in b) < capacity for b in bins) <= max(1, int(spare * len(bins)))
+
     population = list(population)
     while len(population) < size:
         spread = 0.0 if not population else 0.3
         order = sorted(range(n), key=lambda i: -lengths[i] * (1 + spread * (rng.random() - 0.5)))
         population.append(best_fit(order, lengths, capacity))
-        if len(population[-1]) <= least:
+        if good(population[-1]):
             break
     scored = sorted(((_score(b, lengths), k, b) for k, b in enumerate(population)), key=lambda x: x[:2])
     for g in range(generations):
-        if scored[0][0][0] <= least:
+        if good(scored[0][2]):
             break
         children = []
-        for k in range(size // 2):
+        for _ in range(size // 2):
             one, two = (min(rng.sample(range(len(scored)), min(2, len(scored)))) for _ in range(2))
-            child = crossover(scored[one][2], scored[two][2], lengths, capacity, rng)
-            if rng.random() < 0.5:
-                child = mutate(child, lengths, capacity, rng)
-            children.append((_score(child, lengths), (g + 1) * size + k, child))
-        scored = sorted(scored + children, key=lambda x: x[:2])[:size]
+            for child in (crossover(scored[one][2], scored[two][2], lengths, capacity, rng),
+                          mutate(scored[one][2], lengths, capacity, rng)):
+                children.append((_score(child, lengths), (g + 1) * size + len(children), child))
+        # One of each score, so that the parents stay different.
+        unlike = {x[0]: x for x in sorted(scored + children, key=lambda x: x[:2], reverse=True)}
+        scored = sorted(unlike.values(), key=lambda x: x[:2])[:size]
     return [b for _, _, b in scored]
 
 
@@ -180,26 +246,26 @@ def _unpacked(raw: bytes) -> list[list[int]]:
 STATE = "grp long, island int, lengths array<int>, population array<binary>, n_bins int"
 
 
-def _bred(state: DataFrame, capacity: int, level: int, epoch: int) -> DataFrame:
+def _bred(state: DataFrame, capacity: int, level: int, epoch: int, spare: float) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
             for grp, island, lengths, population in zip(f["grp"], f["island"], f["lengths"], f["population"]):
                 lengths = [int(x) for x in lengths]
                 bred = evolve(lengths, [_unpacked(x) for x in population], capacity,
-                              f"{level}/{epoch}/{grp}/{island}")
+                              f"{level}/{epoch}/{grp}/{island}", spare=spare,
+                              generations=GENERATIONS if spare else LAST_GENERATIONS)
                 out.append((grp, island, lengths, [_packed(b, len(lengths)) for b in bred], len(bred[0])))
             yield pd.DataFrame(out, columns=["grp", "island", "lengths", "population", "n_bins"])
 
     return state.mapInPandas(run, STATE)
 
 
-def pack_level(pieces: DataFrame, n_pieces: int, capacity: int, level: int, islands: int = ISLANDS,
+def pack_level(pieces: DataFrame, groups: int, capacity: int, level: int, islands: int = ISLANDS,
                epochs: int = EPOCHS) -> DataFrame:
     """One level: ``row``, ``length``, ``grp``, ``bin``, ``offset``, ``fill``."""
-    groups = parts_for(n_pieces, GROUP_PIECES)
     dealt = pieces.select("row", "length", F.pmod(F.xxhash64("row", F.lit(level)), F.lit(groups)).alias("grp"))
-    # A group holds about GROUP_PIECES pieces whatever the data: dealt by hash of a row number.
+    # A group holds about GROUP_PIECES pieces, or GROUP_BINS sequences, whatever the data: dealt by hash of a row number.
     items = checkpoint(dealt.groupBy("grp").agg(
         F.sort_array(F.collect_list(F.struct(F.col("length").cast("int").alias("length"), F.col("row")))).alias("items")), "items")
     parts = min(groups * islands, max(shuffle_parts(pieces), 2 * pieces.sparkSession.sparkContext.defaultParallelism))
@@ -213,7 +279,8 @@ def pack_level(pieces: DataFrame, n_pieces: int, capacity: int, level: int, isla
                                  F.slice("population", 1, 1).alias("guest"))
             state = state.join(elite, ["grp", "island"]).select(
                 "grp", "island", "lengths", F.concat("population", "guest").alias("population"))
-        state = checkpoint(_bred(state.repartition(parts, "grp", "island"), capacity, level, epoch), "islands")
+        state = checkpoint(_bred(state.repartition(parts, "grp", "island"), capacity, level, epoch,
+                                 OPEN if groups > 1 else 0.0), "islands")
     best = state.groupBy("grp").agg(F.min_by(F.col("population")[0], F.struct("n_bins", "island")).alias("best"))
 
     def lay(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -234,6 +301,11 @@ def pack_level(pieces: DataFrame, n_pieces: int, capacity: int, level: int, isla
         lay, "row long, length long, grp long, bin long, offset long, fill long")
 
 
+def _totals(pieces: DataFrame) -> tuple[int, int]:
+    r = pieces.agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("size")).first()
+    return int(r["n"]), int(r["size"] or 0)
+
+
 def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     """``sequence_id`` and ``offset`` for every row of ``pieces`` (a table
     with a ``length`` of 1 to ``capacity``), beside all its columns.
@@ -245,25 +317,23 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     placed = [pieces.where(F.col("length") >= capacity).select(
         "row", (F.lit(-1) - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
     left = pieces.where(F.col("length") < capacity).select("row", "length")
-    level, n = 0, left.count()
+    level, (n, size) = 0, _totals(left)
     while n:
-        groups = parts_for(n, GROUP_PIECES)
-        done = checkpoint(pack_level(left, n, capacity, level), "packed")
+        groups = max(1, min(parts_for(n, GROUP_PIECES), size // (GROUP_BINS * capacity)))
+        # The emptiest bins of each group go on; a group is small, so its ranks are too.
+        grp = Window.partitionBy("grp")
+        nth, bins = F.dense_rank().over(grp.orderBy("fill", "bin")), F.max("bin").over(grp) + 1
+        share = F.when(F.col("fill") < int(POOR * capacity), OPEN_POOR).otherwise(OPEN)
+        done = checkpoint(pack_level(left, groups, capacity, level).withColumn(
+            "open", (F.col("fill") < capacity) & (nth <= F.greatest(F.lit(1.0), share * bins))), "packed")
+        before, n = n, 0
         if groups > 1:
-            # Poor bins go on, and the poorest of each group in any case.
-            worst = done.groupBy("grp").agg(F.min(F.struct("fill", "bin"))["bin"].alias("worst"))
-            done = done.join(worst, "grp")
-            poor = (F.col("fill") < int(POOR * capacity)) | ((F.col("bin") == F.col("worst"))
-                                                             & (F.col("fill") < capacity))
-            left = done.where(poor).select("row", "length")
-            left_n = left.count()
-            if left_n < n:
-                done = done.where(~poor)
-                n = left_n
+            left = done.where("open").select("row", "length")
+            n, size = _totals(left)
+            if n < before:
+                done = done.where("not open")
             else:  # nothing gained: these bins stand
                 n = 0
-        else:
-            n = 0
         placed.append(done.select("row", ((F.lit(level).cast("long") * (1 << 52)) + F.col("grp") * (1 << 14)
                                           + F.col("bin")).alias("sequence_id"), "offset"))
         level += 1

@@ -108,6 +108,7 @@ def test_intervals_share_their_prefix():
 # 2
 def test_packing(spark, monkeypatch):
     monkeypatch.setattr(packing, "GROUP_PIECES", 40)  # several groups and levels
+    monkeypatch.setattr(packing, "GROUP_BINS", 2)
     docs = small(spark)
     got = packing.packed_documents(docs, BPE, 512, with_ids=True)
     rows = got.collect()
@@ -151,6 +152,54 @@ def test_genetic_operators_keep_every_piece():
     assert sorted(map(sorted, again)) == sorted(map(sorted, bred[0]))
 
 
+def test_packing_is_as_good_as_one_best_fit_of_all(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_PIECES", 256)
+    rng = random.Random(4)
+    for top, more in ((60, 0), (100, 1)):  # many short pieces; many over half a sequence, where groups cost one more
+        lengths = [min(199, 1 + int(rng.expovariate(1 / top))) for _ in range(3000)]
+        whole = len(packing.best_fit(sorted(range(3000), key=lambda i: -lengths[i]), lengths, 200))
+        got = packing.pack(spark.createDataFrame([(i, x) for i, x in enumerate(lengths)], "doc_id long, length long"), 200)
+        bins = {}
+        for r in got.collect():
+            bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        assert sum(n for b in bins.values() for _, n in b) == sum(lengths)
+        assert all(sum(n for _, n in b) <= 200 for b in bins.values())
+        assert len(bins) <= whole + more, (top, len(bins), whole)
+
+
+def test_packing_of_many_tiny_pieces_and_of_pieces_that_never_fit_together(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_PIECES", 64)
+    for length, n, best in ((1, 1500, 8), (120, 500, 500)):
+        rows = spark.range(n).selectExpr("id AS doc_id", f"{length}L AS length")
+        assert packing.pack(rows, 200).select("sequence_id").distinct().count() == best
+
+
+def test_breeding_saves_sequences_that_the_seed_needs():
+    """Bins cut into three pieces each, so a packing without room exists."""
+    seeds, reached = [], []
+    for k in range(10):
+        rng = random.Random(k)
+        lengths = []
+        for _ in range(12):
+            a = rng.randrange(300, 450)
+            b = rng.randrange(250, min(400, 900 - a))
+            lengths += [a, b, 1000 - a - b]
+        seed = packing.best_fit(sorted(range(36), key=lambda i: -lengths[i]), lengths, 1000)
+        bred = packing.evolve(lengths, [], 1000, str(k), generations=200)[0]
+        assert sorted(i for b in bred for i in b) == list(range(36))
+        assert all(sum(lengths[i] for i in b) <= 1000 for b in bred) and len(bred) <= len(seed)
+        seeds.append(len(seed))
+        reached.append(len(bred))
+    assert min(seeds) == 13 and sum(n == 12 for n in reached) >= 2 and sum(reached) <= sum(seeds) - 5
+
+
+def test_swaps_keep_every_piece_and_fill_bins():
+    lengths = [60, 30, 50, 40, 35, 48, 7]
+    bins = [[0, 1], [2, 3]]
+    loose = packing.swapped(bins, {4, 5, 6}, lengths, 100)
+    assert sorted(loose) == [1, 3, 6] and [sorted(b) for b in bins] == [[0, 4], [2, 5]]
+
+
 # 3, 6
 def test_token_counts_equal_the_library(spark):
     import sentencepiece
