@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairnet.llm.common import parts_for, quoted
+from pairnet.llm.common import fewest, parts_for, quoted
 from pairnet.session import checkpoint
 
 PROJECTED = 8
@@ -185,7 +185,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id
 
     # The tree's top, from a bounded sample of projections.
     cells = 1 << max(0, min(MOST_CELLS, -(-n // CELL)).bit_length() - 1)
-    sample = entries.orderBy(F.xxhash64("rep"), "rep").limit(min(SAMPLE, 32 * cells)).select("v").toPandas()
+    sample = fewest(entries.select("rep", "v"), "rep", n, min(SAMPLE, 32 * cells)).select("v").toPandas()
     nodes = splits(projected(np.stack(sample["v"]), largest), cells)
     parts = parts_for(n, cells * PART)
 

@@ -12,11 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import AtomicType
 
-from pairnet.session import shared_dir
+from pairnet.session import checkpoint, shared_dir
 from pairnet.sources.fixtures import table
 
 __all__ = ["documents", "narrow", "quoted", "input_bytes", "parts_for", "text_batches",
-           "shared_dir", "table", "shuffle_parts", "held_out", "bounded_sample", "nested", "atoms"]
+           "shared_dir", "table", "shuffle_parts", "held_out", "bounded_sample", "fewest", "nested", "atoms"]
 
 
 def quoted(name: str) -> Column:
@@ -75,12 +75,47 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == 0
 
 
+#: Values with over so many times the wanted rows are thinned before their rows are ranked.
+MUCH = 4
+
+
+def _limit(n: Column, most: int) -> Column:
+    """The hash below which about twice ``most`` of ``n`` rows lie."""
+    return (F.lit(2.0 * most) / n * F.lit(2.0 ** 64) - F.lit(2.0 ** 63)).cast("long")
+
+
 def bounded_sample(rows: DataFrame, per: str, most: int) -> DataFrame:
     """At most ``most`` rows of each value of ``per``: the smallest hashes of
-    ``doc_id``. A partial top-k a task, so a value with most of the rows sends
-    ``most`` rows a task."""
+    ``doc_id``, written. Of a value with many rows only those below a hash that
+    its count sets (about twice ``most`` rows in all, however many tasks) are
+    ranked; should fewer than ``most`` lie below one, all rows are. ``rows`` is
+    written first, so it should be narrow."""
+    rows = checkpoint(rows, "to-sample")
     w = Window.partitionBy(per).orderBy(F.xxhash64("doc_id"), "doc_id")
-    return rows.withColumn("_nth", F.row_number().over(w)).where(F.col("_nth") <= most).drop("_nth")
+
+    def best(of: DataFrame) -> DataFrame:
+        return checkpoint(of.withColumn("_nth", F.row_number().over(w)).where(F.col("_nth") <= most).drop("_nth"), "sample")
+
+    many = rows.groupBy(per).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > MUCH * most)
+    many = checkpoint(many.select(F.col(per).alias("_per"), _limit(F.col("_n"), most).alias("_below")), "many")
+    below = rows.join(many, F.col(per) == F.col("_per"), "left") \
+        .where(F.col("_below").isNull() | (F.xxhash64("doc_id") <= F.col("_below"))).select(*rows.columns)
+    out = best(below)
+    got = out.groupBy(per).agg(F.count(F.lit(1)).alias("_n"))
+    short = many.join(got, F.col(per) == F.col("_per"), "left").where(F.coalesce("_n", F.lit(0)) < most)
+    return out if short.isEmpty() else best(rows)
+
+
+def fewest(rows: DataFrame, key: str, n: int, most: int) -> DataFrame:
+    """The ``most`` rows with the smallest hashes of ``key``, of ``n``: a hash
+    that the count sets thins the rows before they are ranked in one task; if
+    fewer than ``most`` lie below it, all rows are ranked."""
+    h = F.xxhash64(key)
+    if n > MUCH * most:
+        below = rows.where(h <= _limit(F.lit(float(n)), most))
+        if below.select(key).limit(most).count() == most:
+            rows = below
+    return rows.orderBy(h, key).limit(most)
 
 
 def nested(docs: DataFrame, **keys: Column) -> DataFrame:

@@ -4,7 +4,9 @@ Large-star links every larger neighbour of a node to the node's smallest
 neighbour; small-star links the smaller ones and the node itself to the
 smallest. Both keep the components, and the edges turn into stars in
 logarithmically many rounds. A round is two aggregates with map-side
-combination and two joins; every round is written to the shared folder.
+combination and two joins; every round is written to the shared folder. The
+aggregates are written too: their joins with the edges have two plain shuffles
+then, the form in which adaptive execution splits a hub's edges among tasks.
 """
 
 from __future__ import annotations
@@ -19,14 +21,14 @@ MAX_ROUNDS = 60
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    least = checkpoint(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
     return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")) \
         .where("a <> b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    least = checkpoint(down.groupBy("a").agg(F.min("b").alias("m")), "least")
     linked = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return linked.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
@@ -42,5 +44,5 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == seen or not mark[0]:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         seen = mark
-        now = checkpoint(_small_star(_large_star(now)), "edges")
+        now = checkpoint(_small_star(checkpoint(_large_star(now), "edges")), "edges")
     raise RuntimeError("the components did not settle")

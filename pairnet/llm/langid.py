@@ -154,7 +154,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     own = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).cast("string").alias("text"),
                       quoted(lang_col).cast("string").alias("lang"))
     own = own.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    ids = checkpoint(bounded_sample(own.select("doc_id", "lang"), "lang", FIT_DOCS), "sample")
+    ids = bounded_sample(own.select("doc_id", "lang"), "lang", FIT_DOCS)
     names = [r["lang"] for r in ids.select("lang").distinct().orderBy("lang").collect()]
     if not names:
         return Filter((), np.zeros(SLOTS, np.uint8), np.zeros(0))

@@ -160,7 +160,8 @@ def write_ids(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int | N
 
     Null texts count as empty and still get ``end_id``. A null ``doc_id``
     sorts first and is marked in the index. Rows that share a ``doc_id`` are
-    all written, in the order of their texts. Other columns are ignored. An
+    all written, in the order of their texts' hashes, and may fill several
+    files, also where the texts are equal. Other columns are ignored. An
     empty table gives no file and an empty manifest. Memory: one frame and
     one slice of texts a task; a range of ids is one file.
     """
@@ -169,9 +170,12 @@ def write_ids(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int | N
     n, size = input_bytes(rows)
     if n == 0:
         return spark.createDataFrame([], MANIFEST)
+    # One id may have a third of all rows, and these one text: hash and row number cut them.
+    order = [F.col("doc_id").asc_nulls_first(), F.col("hash"), F.col("nth")]
     ordered = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text")) \
-        .repartitionByRange(parts_for(size + 16 * n, file_bytes), F.col("doc_id").asc_nulls_first()) \
-        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+        .withColumn("hash", F.xxhash64("text")).withColumn("nth", F.monotonically_increasing_id()) \
+        .repartitionByRange(parts_for(size + 16 * n, file_bytes), *order).sortWithinPartitions(*order) \
+        .select("doc_id", "text")
     end = b"" if end_id is None else struct.pack("<I", end_id)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

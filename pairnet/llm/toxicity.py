@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairnet.llm.common import held_out, narrow, quoted, text_batches
+from pairnet.llm.common import fewest, held_out, narrow, quoted, text_batches
 from pairnet.llm.encoders import PieceCache
 from pairnet.llm.langid import letters
 from pairnet.session import checkpoint
@@ -393,9 +393,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     shared = spark.sparkContext.broadcast(tables)
     marked = labels.select(quoted(label_id).cast("long").alias("doc_id"), quoted(label_col).cast("int").alias("y")) \
         .where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("doc_id")))
-    marked = marked.groupBy("doc_id").agg(F.max("y").alias("y"))
+    marked = checkpoint(marked.groupBy("doc_id").agg(F.max("y").alias("y")), "labels")
     # Top-k by hash of the id: bounded, so the join below may broadcast it.
-    sample = checkpoint(marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_DOCS), "sample")
+    sample = checkpoint(fewest(marked, "doc_id", marked.count(), FIT_DOCS), "sample")
     texts = narrow(docs, id_col, text_col).where(F.col("text").isNotNull()).join(F.broadcast(sample), "doc_id")
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -466,6 +466,59 @@ def test_simhash_links_of_hot_buckets(spark, monkeypatch, hot):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+def test_components_of_a_hub_are_split_among_tasks(spark):
+    """Half of the edges at one node: right roots, and a join that adaptive
+    execution can split (two plain shuffles of written tables)."""
+    from pairnet.llm import components as star
+
+    hub = spark.range(1, 2001).selectExpr("0L AS a", "id AS b")
+    chain = spark.range(5000, 7000).selectExpr("id AS a", "id + 1 AS b")
+    edges = hub.unionByName(chain)
+    root = {r["node"]: r["root"] for r in components(edges).collect()}
+    assert root == {**{k: 0 for k in range(1, 2001)}, **{k: 5000 for k in range(5001, 7001)}}
+    low = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "8k",
+           "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k",
+           "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.adaptive.enabled": "true"}
+    old = {k: spark.conf.get(k, None) for k in low}
+    try:
+        for k, v in low.items():
+            spark.conf.set(k, v)
+        # A hub below all its neighbours for the large star, above them for the small one.
+        for step, hub in ((star._large_star, 0), (star._small_star, 100_000)):
+            done = step(common.checkpoint(spark.range(1, 40001).selectExpr(f"{hub}L AS a", "id AS b").repartition(8), "edges"))
+            done.collect()
+            assert "skew=true" in done._jdf.queryExecution().executedPlan().toString(), step.__name__
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_samples_are_the_smallest_hashes_also_of_hot_values(spark):
+    rows = spark.range(3000).selectExpr("id AS doc_id", "IF(id % 3 > 0, 'hot', concat('x', id % 7)) AS lang")
+    got = rows_of(common.bounded_sample(rows, "lang", 40), "doc_id", "lang")
+    ranked = rows.selectExpr("*", "xxhash64(doc_id) AS h").collect()
+    want = []
+    for lang in {r["lang"] for r in ranked}:
+        want += [(r["doc_id"], lang) for r in sorted((r for r in ranked if r["lang"] == lang), key=lambda r: r["h"])[:40]]
+    assert got == sorted(want, key=repr)
+    best = [r["doc_id"] for r in sorted(ranked, key=lambda r: r["h"])[:50]]
+    assert [r["doc_id"] for r in common.fewest(rows, "doc_id", 3000, 50).collect()] == best
+    same = spark.range(3000).selectExpr("7L AS doc_id", "'hot' AS lang")  # one hash: below the limit are all or none
+    assert common.bounded_sample(same, "lang", 40).count() == 40 == common.fewest(same, "doc_id", 3000, 40).count()
+    assert common.bounded_sample(rows.limit(0), "lang", 40).count() == 0
+
+
+def test_token_files_of_one_id_fill_several_files(spark, tmp_path):
+    rows = [(None, f"text {k % 400}") for k in range(1200)] + [(None, "one text")] * 600 + [(k, "a") for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    manifest = token_files.write_ids(docs, f"file://{tmp_path}/ids", BPE, 2, file_bytes=4000)
+    files = [r["n_docs"] for r in manifest.collect()]
+    assert sum(files) == 2000 and max(files) < 500 and len(files) > 6
+    got = token_files.token_digest(docs, BPE).orderBy("start").collect()
+    assert len(got) == 2000 and [r["doc_id"] for r in got[1800:]] == list(range(200))
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(got, got[1:])) and got[0]["start"] == 0
+
+
 def test_masks_bring_every_pair_together():
     rng = random.Random(5)
     for blocks in range(5, 9):
