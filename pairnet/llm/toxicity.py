@@ -64,8 +64,13 @@ U = np.uint64
 #: have letters) and of 2-, 3- and 4-grams.
 TABLES = {1: 1 << 18, 2: 1 << 13, 3: 1 << 16, 4: 1 << 19}
 CHUNK = 1 << 12
-#: Probabilities that a character model keeps, and those of whole alphabets.
-KNOWN, AFTER = 200_000, 1 << 20
+#: Probabilities that a character model keeps, those of letters in order, and
+#: letters that may follow a context ranked at once.
+KNOWN, AFTER, FIRST = 200_000, 1 << 20, 32
+#: States that the search of one token takes for an exact path, those that it
+#: takes for each step on beyond them, and the letters whose ranking counts as
+#: one more.
+STATES, STRIDE, RANKED = 30_000, 100, 256
 
 
 # --- character language model ------------------------------------------------
@@ -111,7 +116,7 @@ class CharModel:
     def __init__(self, tables: dict[int, np.ndarray]):
         self.tables, self.known = tables, {}
         self.codes = np.flatnonzero(tables[1])
-        self.alphabet, self.ordered, self.read = [chr(c) for c in self.codes], {}, {}
+        self.alphabet, self.ordered, self.ranked, self.read = [chr(c) for c in self.codes], {}, 0, {}
 
     def _count(self, gram: str) -> float:
         return float(self.tables[len(gram)][_slot(gram)])
@@ -130,13 +135,12 @@ class CharModel:
             got = self.known[context, c] = math.log(min(1.0, max(p, 1e-9)))
         return got
 
-    def after(self, context: str) -> list[tuple[float, str]]:
-        """Every letter of the alphabet after the last three characters, by
-        falling ``logp``."""
+    def after(self, context: str, nth: int) -> tuple[float, str]:
+        """The ``nth`` letter of the alphabet after the last three characters
+        by falling ``logp`` (of equals the smaller first). The first ``FIRST``
+        are ranked alone; few searches need more."""
         got = self.ordered.get(context)
-        if got is None:
-            if len(self.ordered) * len(self.codes) > AFTER:
-                self.ordered.clear()
+        if got is None or nth >= len(got):
             p = np.full(len(self.codes), 1 / 64)
             for size in (3, 4):
                 if len(context) >= size - 1:
@@ -145,47 +149,95 @@ class CharModel:
                     n = self.tables[size][_slots([*codes, self.codes], size)]
                     p = (n + 4 * p) / (self._count(last) + 4)
             p = np.log(np.clip(p, 1e-9, 1.0))
-            order = np.argsort(-p, kind="stable")
-            got = self.ordered[context] = [(float(p[k]), self.alphabet[k]) for k in order]
-        return got
+            at = np.arange(len(p))
+            if nth < FIRST < len(p):
+                at = np.flatnonzero(p >= np.partition(p, len(p) - FIRST)[len(p) - FIRST])
+            at = at[np.argsort(-p[at], kind="stable")]
+            if nth < FIRST:
+                at = at[:FIRST]
+            if self.ranked > AFTER:
+                self.ordered.clear()
+                self.ranked = 0
+            self.ranked += len(at)
+            got = self.ordered[context] = [(float(p[k]), self.alphabet[k]) for k in at]
+        return got[nth]
 
 
 # --- channel -------------------------------------------------------------------
 
+def parts(token: str) -> Iterator[tuple[tuple[str, bool], ...]]:
+    """The token's characters, each with whether it stands in a run of three
+    or more, cut where three different letters in a row follow a choice: there
+    the context is the same on every path, so the cut changes no path."""
+    own, open_, fixed = [], False, 0
+    for m in re.finditer(r"(.)\1*", token, re.DOTALL):
+        c, n = m[1], m.end() - m.start()
+        own += [(c, n > 2)] * n
+        open_ |= not c.isalpha() or n > 1
+        fixed = 0 if not c.isalpha() else min(fixed, 2) + 1 if n == 1 else 1
+        if fixed == 3 and open_:
+            yield tuple(own)
+            own, open_ = [], False
+    if own:
+        yield tuple(own)
+
+
 def restore(token: str, model: CharModel) -> str:
     """The most probable word behind a lower-case token: the Viterbi path over
-    the lattice of what each character may stand for. A state is a place and
-    the last three letters; states are taken by their cost and the least cost
-    of the characters that are left, so the first end is the best of all paths
-    and no path is given up. A mask's letters come one by one, by falling
-    probability. The letters up to the first choice are on every path."""
+    the lattice of what each character may stand for, found part by part.
+    The letters up to the first choice are on every path. The path is exact
+    for a token whose search takes at most ``STATES`` states. A longer search
+    (hundreds of masks and look-alikes in one token) goes on in strides: after
+    every ``STRIDE`` states the best path to the farthest place reached is
+    settled, so that time and memory stay in proportion to the length and
+    every character is still read."""
     first = next((k for k, c in enumerate(token) if not c.isalpha() or token[k + 1:k + 2] == c), len(token))
-    start = ("\0" + token[:first])[-3:]
-    got = model.read.get((start, token[first:]))
-    if got is None:
-        if len(model.read) > KNOWN:
-            model.read.clear()
-        got = model.read[start, token[first:]] = _best(start, token[first:], model)
-    return token[:first] + got
-
-
-def _best(start: str, token: str, model: CharModel) -> str:
-    """The letters of the best path for ``token`` after the context ``start``."""
+    out, start, left = [token[:first]], ("\0" + token[:first])[-3:], STATES
+    cut = list(parts(token[first:]))
+    for k, part in enumerate(cut):
+        key = start, part, k == len(cut) - 1
+        got = model.read.get(key)
+        if got is None or got[1] > left != STATES:  # what is kept is exact or had all states to take
+            got = _best(*key, left, model)
+            if left == STATES or got[1] <= left:
+                if len(model.read) > KNOWN:
+                    model.read.clear()
+                model.read[key] = got
+        out.append(got[0])
+        start, left = (start + got[0])[-3:], max(STRIDE, left - got[1])
+    return "".join(out)
+
+
+def _best(start: str, part: tuple[tuple[str, bool], ...], last: bool, most: int, model: CharModel) -> tuple[str, int]:
+    """The letters of the best path for a part after the context ``start``,
+    and the states taken. The ``last`` part of a token ends at a word's edge.
+    A state is a place and the last three letters; states are taken by their
+    cost and the least cost of the characters that are left, so the first end
+    is the best of all paths. A mask's letters come one by one, by falling
+    probability. After ``most`` states it goes on in strides."""
     steps, least = [], [0.0]
-    for m in re.finditer(r"(.)\1*", token, re.DOTALL):
-        c, n = m[1], m.end() - m.start()
+    for c, drawn in part:
         emit = [(c, 0.0)] if c.isalpha() else [(x, math.log(len(LOOKS[c])) - LOOK) for x in LOOKS.get(c, "")]
         drop, masked = None if c.isalpha() else -DROP_SYMBOL, c in MASKS
-        steps += [(emit, drop, masked, *(-x for x in REPEAT[n > 2]))] * n
+        steps.append((emit, drop, masked, *(-x for x in REPEAT[drawn])))
     for emit, drop, masked, *_ in reversed(steps):
         least.append(least[-1] + min([x for _, x in emit] + [-MASK] * masked + [drop] * (drop is not None)))
     least.reverse()  # of the characters from each place on
+    rank = len(model.alphabet) // RANKED
     # (bound, place counted backwards, word, context, cost, next letter of a mask or -1)
     heap, done = [(least[0], 0, "", start, 0.0, -1)], set()
+    settled, taken, stop = [], 0, most
     while True:
+        if taken > stop:  # settle the best path to the farthest place
+            _, at, word, context, *_ = min(heap, key=lambda state: (state[1], state[0]))
+            settled.append(word)
+            if at < -len(steps):
+                return "".join(settled), taken
+            heap, done, stop = [(least[-at], at, "", context, 0.0, -1)], set(), taken + STRIDE
         _, at, word, context, cost, nth = heappop(heap)
-        if at == -len(steps) - 1:
-            return word
+        taken += 1
+        if at == -len(steps) - 1 or at == -len(steps) and not last:
+            return "".join([*settled, word]), taken
         if nth < 0:
             if (at, context) in done:
                 continue
@@ -197,7 +249,7 @@ def _best(start: str, token: str, model: CharModel) -> str:
         emit, drop, masked, once, again = steps[-at]
         left = least[1 - at]
         if nth >= 0:  # a mask's letter, and the next one's turn
-            p, x = model.after(context)[nth]
+            p, x = model.after(context, nth)
             own = cost - MASK - p + (again if x == context[-1] else 0.0)
             heappush(heap, (own + left, at - 1, word + x, (context + x)[-3:], own, -1))
             nth += 1
@@ -212,8 +264,9 @@ def _best(start: str, token: str, model: CharModel) -> str:
                 own -= model.logp(context, x)
                 heappush(heap, (own + left, at - 1, word + x, (context + x)[-3:], own, -1))
             nth = 0  # a mask that draws the letter out costs more than one dropped
+            taken += rank * masked
         if masked and nth < len(model.alphabet):
-            heappush(heap, (cost - MASK - model.after(context)[nth][0] + left, at, word, context, cost, nth))
+            heappush(heap, (cost - MASK - model.after(context, nth)[0] + left, at, word, context, cost, nth))
 
 
 _WORD = re.compile(r"[^\W\d_]+")

@@ -4,6 +4,7 @@ results, round trips and held-out accuracy, on small tables and sf0.001."""
 import hashlib
 import random
 import struct
+import time
 import zlib
 from collections import Counter
 
@@ -643,6 +644,31 @@ def test_the_path_is_the_best_of_all(token):
     assert abs(paths[toxicity.restore(token, chars)] - max(paths.values())) < 1e-9
 
 
+@pytest.mark.parametrize("token", ["1diot*oron", "l0ser*rash", "tr0sh*um", "scu*stup1d", "mm0ronthis*s", "*hat0there*"])
+def test_cuts_behind_three_letters_change_no_path(token):
+    chars = char_model()
+    paths = all_paths(token, chars)
+    assert len(list(toxicity.parts(token))) > 1
+    assert abs(paths[toxicity.restore(token, chars)] - max(paths.values())) < 1e-9
+
+
+@pytest.mark.parametrize("alphabet", [0, 5000])
+def test_long_tokens_take_bounded_time(alphabet):
+    draw = random.Random(5)
+    tokens = ["a1*0" * 2500, "a" + "*#%" * 3333, "a" + "".join(draw.choices("*#%013457@$!|", k=9999)),
+              "".join(draw.choices("abcdestio*#013457@", k=10_000))]
+    tables = char_model().tables
+    tables[1][0x4E00:0x4E00 + alphabet] += 3
+    for token in tokens:
+        warm, at = toxicity.CharModel(tables), time.time()
+        word = toxicity.restore(token, warm)
+        assert time.time() - at < 20  # far under it; without a bound it does not end
+        assert word and word == toxicity.restore(token, warm)
+        toxicity.restore(token[7:], warm)  # what is kept from other tokens decides nothing
+        toxicity.restore(token[:60], warm)
+        assert word == toxicity.restore(token, warm) == toxicity.restore(token, toxicity.CharModel(tables))
+
+
 def test_paths_that_a_beam_would_lose():
     """Only the last letters tell that the first are not those of common words."""
     tables = {size: np.zeros(n, np.int64) for size, n in toxicity.TABLES.items()}
