@@ -644,7 +644,7 @@ def test_the_path_is_the_best_of_all(token):
     assert abs(paths[toxicity.restore(token, chars)] - max(paths.values())) < 1e-9
 
 
-@pytest.mark.parametrize("token", ["1diot*oron", "l0ser*rash", "tr0sh*um", "scu*stup1d", "mm0ronthis*s", "*hat0there*"])
+@pytest.mark.parametrize("token", ["1diot*oron", "l0ser*rash", "t0ash*um", "scu*stup1d", "mm0ronthis*s", "*hat0there*"])
 def test_cuts_behind_three_letters_change_no_path(token):
     chars = char_model()
     paths = all_paths(token, chars)
