@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairnet.llm.common import input_bytes, narrow, parts_for, shuffle_parts
+from pairnet.session import checkpoint
 
 KMER = 24
 BLOCK_BYTES = 4 << 20
@@ -406,7 +407,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
 
     Strings are judged on the input. A null text is empty. Rows that share an
     id are one document to each other: nothing is removed between them; a null
-    id is smaller than any other. Texts shorter than ``length`` stay whole.
+    id is smaller than any other. Rows with one id are dealt into blocks by
+    their texts, so only rows equal in both come together. Texts shorter than ``length`` stay whole.
     Other columns are ignored; an empty table gives an empty result."""
     if length < 4:
         raise ValueError("length of at least 4")
@@ -417,15 +419,18 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     shards, parts = parts_for(size, SHARD_BYTES), max(shuffle_parts(docs), parts_for(size + n, PART_BYTES))
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     own_id = F.coalesce("doc_id", F.lit(NO_ID))
-    block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks))
+    # By text too: one id, or none, may have a third of all rows.
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))
     dealt = rows.select("doc_id", text.alias("text"), block.alias("block")).repartition(parts, "block")
     # Whole copies: long enough, and under a larger id than the first of them.
     digests = rows.where(F.octet_length("text") >= length).select(
-        "doc_id", own_id.alias("id"), F.unhex(F.sha2(F.col("text"), 256)).alias("digest"))
+        block.alias("block"), own_id.alias("id"), F.unhex(F.sha2(F.col("text"), 256)).alias("digest"))
+    # Written first, so that the join can split a digest with many of the rows.
     first = digests.groupBy("digest").agg(F.min("id").alias("least"), F.max("id").alias("most")) \
         .where("least < most").select(F.col("digest").alias("d"), "least")
+    first = checkpoint(first, "first-copies")
     copies = digests.join(first, (F.col("digest") == F.col("d")) & (F.col("id") > F.col("least"))).distinct().select(
-        block.alias("block"), F.col("id").alias("bucket"), F.lit(2).alias("kind"), F.lit(1).alias("n"),
+        "block", F.col("id").alias("bucket"), F.lit(2).alias("kind"), F.lit(1).alias("n"),
         F.col("digest").alias("data"))
 
     def only(t: pa.Table, kind: int) -> pa.Table:

@@ -89,6 +89,21 @@ def test_suffix_dedup_many_blocks(spark, monkeypatch):
     assert rows_of(suffix_dedup.remove_repeats(small(spark)), *REPEAT_COLUMNS) == repeats(docs, 50)
 
 
+def test_suffix_dedup_of_one_hot_id_fills_many_blocks(spark, monkeypatch):
+    """A third of the rows without an id, in several blocks: the same result."""
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 40_000)
+    docs = [(None if k % 3 == 0 else r["doc_id"], r["text"]) for k, r in enumerate(small(spark).orderBy("doc_id").collect())]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4).cache()
+    n, size = common.input_bytes(df)
+    wanted = common.parts_for(size + n, 40_000)
+    none = df.where("doc_id is null")
+    blocks = none.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(wanted)).alias("b")).groupBy("b").count()
+    assert wanted > 4 and blocks.agg(F.max("count")).first()[0] < none.count() / 2
+    want = repeats([(suffix_dedup.NO_ID if k is None else k, (t or "").encode()) for k, t in docs], 50)
+    got = rows_of(suffix_dedup.remove_repeats(df).fillna({"doc_id": suffix_dedup.NO_ID}), *REPEAT_COLUMNS)
+    assert got == want
+
+
 def test_suffix_dedup_edges(spark):
     got = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(edge(spark)).collect() if r["doc_id"] is not None}
     assert got[0]["n_bytes"] == 0 and got[0]["kept_sha256"] == hashlib.sha256(b"").hexdigest()
