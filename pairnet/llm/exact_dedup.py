@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairnet.llm.common import atoms, narrow, nested, parts_for, quoted, text_batches
+from pairnet.operators.screens import screened
 from pairnet.session import checkpoint
 
 BUCKET_KEYS = 1 << 16
@@ -224,7 +225,8 @@ def exact_groups(docs: DataFrame, batches: int = BATCHES, id_col: str = "doc_id"
     # Byte checks: the texts of every group with two or more rows.
     wanted = rows.join(repeated, "digest", "left_semi") \
         .select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
-    texts = digests(docs, id_col, text_col, digest, with_text=True)
+    # Only texts whose digest may be repeated are shuffled.
+    texts = screened(digests(docs, id_col, text_col, digest, with_text=True), [F.col("digest")], repeated, [F.col("digest")])
     texts = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["_id"]) & (F.col("digest") == F.col("_digest"))) \
         .select("doc_id", "digest", "text")
     same = F.min("text").eqNullSafe(F.max("text"))

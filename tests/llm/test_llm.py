@@ -307,6 +307,23 @@ def test_exact_dedup(spark, digest, batches):
     assert exact_dedup.exact_groups(df.limit(0), batches).count() == 0
 
 
+def test_only_texts_of_repeated_digests_are_shuffled(spark, monkeypatch):
+    texts = [f"text {k}" for k in range(3000)] + ["one of many"] * 40 + [None] * 3 + [""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    passed, screen = [], exact_dedup.screened
+
+    def counted(*args):
+        out = screen(*args)
+        passed.append(out.count())
+        return out
+
+    monkeypatch.setattr(exact_dedup, "screened", counted)
+    got = exact_dedup.exact_groups(df).collect()
+    assert 44 <= passed[0] < 44 + 3000 / 50  # all that are repeated, and few of the others
+    assert sorted(r["group_size"] for r in got) == [1] * 3000 + [4] * 4 + [40] * 40
+    assert {r["keep_id"] for r in got if r["group_size"] > 1} == {3039, 3043}
+
+
 def test_exact_groups_come_from_the_screen(spark, monkeypatch):
     """Repeats in a later batch join a group only by way of the filter."""
     df = spark.createDataFrame([(k, f"Text {k % 4}") for k in range(40)], "doc_id long, text string")
