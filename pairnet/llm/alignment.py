@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairnet.llm.common import narrow, text_batches
-from pairnet.llm.encoders import Encoder, Kept, bounds, byte_letters, laid_out, split_parts
+from pairnet.llm.encoders import Encoder, Kept, bounds, byte_letters, joined, laid_out, split_parts
 from pairnet.session import checkpoint
 
 SPACE = "▁"
@@ -154,11 +154,11 @@ class Aligner:
         #: Ids of a link as they are stored.
         self.kind = "<u2" if max(len(rows), len(pieces)) <= 1 << 16 else "<u4"
 
-    def _b_parts(self, parts: list[str]) -> list[list[int]]:
+    def _b_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """A part that begins with a line feed follows no space: the space
         that the model puts in front is a token of its own there."""
         rows = self.b.encode(parts, num_threads=1)
-        return [r[1:] if p[:1] == "\n" and r[:1] == [self.front] else r for p, r in zip(parts, rows)]
+        return joined([r[1:] if p[:1] == "\n" and r[:1] == [self.front] else r for p, r in zip(parts, rows)])
 
     def units(self, texts: pa.Array) -> tuple[Units, np.ndarray, np.ndarray]:
         """The units of a slice of texts, each occurrence's unit, and each

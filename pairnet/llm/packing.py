@@ -14,7 +14,8 @@ a group's islands wins. The emptiest bins with room that a group leaves (an
 eighth of its bins, up to half if they are poorly filled) are dissolved and
 their pieces form the groups of the next level, until one group is left, so
 unused room doesn't grow with the number of groups. A group whose other bins
-are all full needs no breeding: what it leaves open is packed anew anyway.
+are full, but for a few tokens, needs no breeding: what it leaves open is packed
+anew anyway, and breeding hardly fills what stands any better.
 """
 
 from __future__ import annotations
@@ -49,6 +50,8 @@ LAST_GENERATIONS = 40
 #: share up to which those filled below ``POOR`` are too.
 OPEN, OPEN_POOR = 1 / 8, 1 / 2
 POOR = 0.9
+#: Share of a group's tokens up to which the room in the bins that stand is left there.
+SETTLED = 1 / 4096
 #: Bins of up to so many pieces also swap two pieces at a time.
 WIDE = 8
 #: Up to so many displaced pieces are offered to the bins for swaps.
@@ -67,7 +70,7 @@ def cut(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path)
-        for b in text_batches(batches, 16 << 20, 20_000):
+        for b in text_batches(batches, 8 << 20, 20_000):
             out: list[tuple] = []
             for doc_id, ids in zip(b.column("doc_id").to_pylist(), enc.encode(b.column("text"))):
                 ids += end
@@ -196,16 +199,21 @@ def swapped(bins: list[list[int]], loose, lengths: list[int], capacity: int) ->
 def evolve(lengths: list[int], population: list[list[list[int]]], capacity: int, seed: str,
            size: int = POPULATION, generations: int = GENERATIONS, spare: float = 0.0) -> list[list[list[int]]]:
     """The population after some generations, best first; ends at once when
-    the best one uses no more bins than the total length needs, or has room in
-    no more than the share ``spare`` of its bins (these are packed anew)."""
+    the best one uses no more bins than the total length needs, or has hardly
+    any room (``SETTLED``) but in the share ``spare`` of its bins, the emptiest
+    ones (these are packed anew)."""
     rng = random.Random(seed)
-    least = -(-sum(lengths) // capacity)
+    total = sum(lengths)
+    least = -(-total // capacity)
     n = len(lengths)
 
     def good(bins: list[list[int]]) -> bool:
         if len(bins) <= least:
             return True
-        return spare > 0 and sum(sum(lengths[i] for i in b) < capacity for b in bins) <= max(1, int(spare * len(bins)))
+        if not spare:
+            return False
+        room = sorted((capacity - sum(lengths[i] for i in b) for b in bins), reverse=True)
+        return sum(room[max(1, int(spare * len(bins))):]) <= SETTLED * total
 
     population = list(population)
     while len(population) < size:

@@ -183,6 +183,14 @@ def test_packing_is_as_good_as_one_best_fit_of_all(spark, monkeypatch):
         assert len(bins) <= whole + more, (top, len(bins), whole)
 
 
+def test_group_whose_standing_bins_are_full_is_not_bred():
+    # 600 full bins of two, and five pieces that fit with nothing: best fit takes more bins than the tokens need.
+    lengths = sorted([*range(700, 1300), *(2000 - x for x in range(700, 1300)), *[1001] * 5])
+    assert len(packing.best_fit(sorted(range(1205), key=lambda i: -lengths[i]), lengths, 2000)) > -(-sum(lengths) // 2000)
+    assert len(packing.evolve(lengths, [], 2000, "x", spare=1 / 8)) == 1  # these go to the next level
+    assert len(packing.evolve(lengths, [], 2000, "x", generations=1)) > 1  # the last level is bred
+
+
 def test_packing_of_many_tiny_pieces_and_of_pieces_that_never_fit_together(spark, monkeypatch):
     monkeypatch.setattr(packing, "GROUP_PIECES", 64)
     for length, n, best in ((1, 1500, 8), (120, 500, 500)):
