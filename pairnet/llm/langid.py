@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from pairnet.llm.common import bounded_sample, held_out, narrow, quoted, text_batches
 from pairnet.session import checkpoint
@@ -35,6 +36,8 @@ SHARE = 0.5
 SIZES = (2, 3, 4)
 SLOTS = 1 << 20
 HASHES = 4
+#: Bytes of text worked on at a time: n-grams take some hundred times as much.
+SLICE = 1 << 18
 #: Languages of a mask's word.
 WORD = 64
 UNKNOWN = "und"
@@ -162,7 +165,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     chosen = own.join(ids.distinct(), ["doc_id", "lang"], "left_semi").select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_batches(batches, 16 << 20, 1 << 20):
+        for b in text_batches(batches, SLICE, 1 << 20):
             langs = np.array(b.column("lang").to_pylist(), object)
             texts = b.column("text").to_pylist()
             for lang in sorted(set(langs)):
@@ -200,7 +203,7 @@ def predict(docs: DataFrame, model: Filter, id_col: str = "doc_id", text_col: st
     rows = narrow(docs, id_col, text_col).select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_batches(batches, 1 << 20):
+        for b in text_batches(batches, SLICE):
             lang, score = shared.value.predict(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("held_out"), pa.array(lang), pa.array(score)],
@@ -214,22 +217,25 @@ def with_language(docs: DataFrame, model: Filter, text_col: str = "text") -> Dat
     ``und``), with all their columns: those with a letter, also by a model that
     learned no language and so can't name one."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    name = "own text"
-    while name in docs.columns:
-        name += " "
-    own = docs.withColumn(name, quoted(text_col).cast("string"))
     keep = [f.name for f in docs.schema]
+    if keep.count(text_col) == 1 and docs.schema[text_col].dataType == StringType():
+        own, at = docs, keep.index(text_col)  # read in place: no second copy of the texts
+    else:
+        name = "own text"
+        while name in docs.columns:
+            name += " "
+        own, at = docs.withColumn(name, quoted(text_col).cast("string")), len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, known = len(keep), []
+            known = []
             only = pa.RecordBatch.from_arrays([b.column(at)], ["text"])
-            for part in text_batches([only], 1 << 20):
+            for part in text_batches([only], SLICE):
                 texts = part.column(0).to_pylist()
                 if shared.value.languages:
                     known += [x != UNKNOWN for x in shared.value.predict(texts)[0]]
                 else:
                     known += [any(c.isalpha() for c in t or "") for t in texts]
-            yield b.select(list(range(at))).filter(pa.array(known, pa.bool_()))
+            yield b.select(list(range(len(keep)))).filter(pa.array(known, pa.bool_()))
 
     return own.mapInArrow(run, docs.schema)

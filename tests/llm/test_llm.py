@@ -431,6 +431,14 @@ def test_language_stage_without_labels(spark):
     assert sorted(r["text"] for r in kept.collect()) == sorted(want) and want
 
 
+def test_language_stage_reads_texts_in_place(spark):
+    docs, model = edge(spark), langid.Filter((), np.zeros(langid.SLOTS, np.uint8), np.zeros(0))
+    kept = langid.with_language(docs, model)
+    assert "own text" not in kept._jdf.queryExecution().toString()
+    other = langid.with_language(docs.withColumnRenamed("text", "Text"), model)
+    assert other.columns == ["Text" if c == "text" else c for c in docs.columns] and other.count() == kept.count() > 0
+
+
 def test_filter_false_positives_are_corrected():
     rng = np.random.default_rng(1)
     own = rng.integers(0, 1 << 63, 20_000, dtype=np.uint64)
