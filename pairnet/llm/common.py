@@ -3,6 +3,7 @@ sizes that set partition counts, and Arrow batch access."""
 
 from __future__ import annotations
 
+import ctypes
 import math
 from collections.abc import Iterable, Iterator
 
@@ -15,7 +16,7 @@ from pyspark.sql.types import AtomicType
 from pairnet.session import checkpoint, shared_dir
 from pairnet.sources.fixtures import table
 
-__all__ = ["documents", "narrow", "quoted", "input_bytes", "parts_for", "text_batches",
+__all__ = ["documents", "narrow", "quoted", "input_bytes", "parts_for", "text_batches", "release", "small_batches",
            "shared_dir", "table", "shuffle_parts", "held_out", "bounded_sample", "fewest", "nested", "atoms"]
 
 
@@ -50,11 +51,33 @@ def parts_for(total: int, each: int, least: int = 1) -> int:
     return max(least, math.ceil(total / each))
 
 
+#: Bytes of an Arrow batch that the JVM builds for a Python task, at most about.
+BATCH_BYTES = "4m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session's Python tasks get Arrow batches of about
+    ``BATCH_BYTES`` (Spark's default of 10 000 rows is 30 MB of documents, held
+    several times by the JVM and by the worker), unless a size was set."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(key, spark.conf.get(key, BATCH_BYTES))
+
+
+def release() -> None:
+    """Gives freed memory back to the system: a worker outlives its task, and
+    what it took stays part of the executor's memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
+
+
 def text_batches(batches: Iterable[pa.RecordBatch], max_bytes: int = 4 << 20,
                  max_rows: int = 2000, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Slices of Arrow batches with at most about ``max_bytes`` of ``column`` each
     (a longer text makes a slice of its own), so that the Python copies of a
-    slice stay small whatever the batch holds."""
+    slice stay small whatever the batch holds. Behind the last one, freed
+    memory goes back to the system."""
     for b in batches:
         at = 0
         if b.num_rows == 0:
@@ -67,6 +90,7 @@ def text_batches(batches: Iterable[pa.RecordBatch], max_bytes: int = 4 << 20,
                 end += 1
             yield b.slice(at, end - at)
             at = end
+    release()
 
 
 def held_out(doc_id: Column, folds: int = 5) -> Column:

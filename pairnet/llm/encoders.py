@@ -190,8 +190,12 @@ class Encoder:
             and not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized")
                         or any(c.isspace() for c in t["content"]) for t in added)
         )
-        self.merge, self.letters = self.tok.model.tokenize, byte_letters()
-        self.rest, self.heads, self.tails = Kept(keep), Kept(keep), Kept(keep)
+        self.merge, self.letters, self.keep = self.tok.model.tokenize, byte_letters(), keep
+        self.forget()
+
+    def forget(self) -> None:
+        """Drops all parts it keeps."""
+        self.rest, self.heads, self.tails = Kept(self.keep), Kept(self.keep), Kept(self.keep)
 
     def direct(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -290,7 +294,8 @@ _ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
 def encoder(path: str, specials: bool = True) -> Encoder:
-    """One encoder a worker process and file; its cache outlives a task."""
+    """One encoder a worker process and file; its cache outlives a task that
+    doesn't ``forget`` it."""
     if (path, specials) not in _ENCODERS:
         _ENCODERS[path, specials] = Encoder(path, specials)
     return _ENCODERS[path, specials]

@@ -33,10 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairnet.llm.common import narrow, parts_for, shuffle_parts, text_batches
+from pairnet.llm.common import narrow, parts_for, release, shuffle_parts, text_batches
 from pairnet.llm.encoders import encoder
 from pairnet.session import checkpoint
 
+#: Bytes of text encoded at a time.
+SLICE = 4 << 20
 GROUP_PIECES = 2048
 #: Full sequences that a group's pieces fill at least, on average.
 GROUP_BINS = 64
@@ -70,7 +72,7 @@ def cut(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path)
-        for b in text_batches(batches, 8 << 20, 20_000):
+        for b in text_batches(batches, SLICE, 20_000):
             out: list[tuple] = []
             for doc_id, ids in zip(b.column("doc_id").to_pylist(), enc.encode(b.column("text"))):
                 ids += end
@@ -84,6 +86,8 @@ def cut(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)],
                                              [x.split()[0] for x in PIECES.split(", ")])
+        enc.forget()
+        release()
 
     out = rows.mapInArrow(run, PIECES)
     return out if with_ids else out.drop("ids")

@@ -3,12 +3,14 @@ results, round trips and held-out accuracy, on small tables and sf0.001."""
 
 import hashlib
 import random
+import shutil
 import struct
 import time
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -751,6 +753,42 @@ def test_pipeline_stages(spark):
         "language ID", "exact dedup", "SimHash near-dedup", "mixing", "packing"]
 
 
+def test_pipeline_stages_give_python_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(0, 6000, 1, 1).select(F.repeat(F.lit("many words "), 500).alias("text"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "size"])
+
+    spark.conf.unset(key)
+    try:
+        corpus_pipeline.language_id(spark, edge(spark).withColumn("lang", F.lit(None).cast("string")), None)
+        got = docs.mapInArrow(sizes, "n long, size long").collect()
+        assert sum(r["n"] for r in got) == 6000 and max(r["size"] for r in got) < 6 << 20
+        spark.conf.set(key, "1m")  # a size of the user's own stays
+        common.small_batches(spark)
+        assert spark.conf.get(key) in ("1m", "1048576b", "1048576")
+    finally:
+        spark.conf.unset(key)
+
+
+def test_packing_leaves_no_parts_in_its_workers(spark, tmp_path):
+    path = shutil.copy(BPE, tmp_path / "own.json")  # an encoder that no other test has loaded
+    packing.cut(small(spark), str(path)).collect()
+
+    def held(batches):
+        from pairnet.llm.encoders import _ENCODERS
+
+        n = sum(b.num_rows for b in batches)
+        e = _ENCODERS.get((str(path), True))
+        kept = -1 if e is None else sum(len(x.place) for x in (e.rest, e.heads, e.tails))
+        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([kept])], ["n", "kept"])
+
+    kept = {r["kept"] for r in spark.range(0, 64, 1, 8).mapInArrow(held, "n long, kept long").collect()}
+    assert max(kept) == 0, kept
+
+
 def test_registered():
     names = set(E.queries())
     assert {f"op{n}_" for n in range(1, 14)} <= {x.split("_")[0] + "_" for x in names} and "pipeline" in names
